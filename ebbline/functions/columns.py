@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 # Fixed value: days in the mean Gregorian month (365.2425 / 12).
 MEAN_MONTH_DAYS = 30.436875
 
+# Natural log of a reading, with a zero counted as 0.1.
+LOG_VOLUME = "ln(CASE WHEN volume_kgals = 0 THEN 0.1D ELSE volume_kgals END)"
+
 
 def null_for_nan(df: DataFrame) -> DataFrame:
     """Replace NaN by NULL in every floating-point column."""
@@ -65,23 +68,6 @@ def late_flag(late_charge: Column) -> Column:
     return (F.coalesce(late_charge, F.lit(0.0)) > 0).cast("int")
 
 
-def log_volume(volume: Column) -> Column:
-    """Natural log with a zero reading counted as 0.1."""
-    return F.log(F.when(volume == 0, F.lit(0.1)).otherwise(volume))
-
-
-def z_score(x: Column, n: Column, mean: Column, std: Column) -> Column:
-    """Anomaly against the series; 0 throughout if there are fewer than 3 records or no spread."""
-    usable = (n > 2) & (F.coalesce(std, F.lit(0.0)) > 0)
-    return F.when(usable, (x - mean) / std).otherwise(F.lit(0.0))
-
-
-def z_score_long(x: Column, n: Column, mean: Column, std: Column, default: float = 0.0) -> Column:
-    """Anomaly for series of more than 24 records; the default otherwise and for missing values."""
-    usable = (n > 24) & (F.coalesce(std, F.lit(0.0)) > 0)
-    return F.when(usable, F.coalesce((x - mean) / std, F.lit(default))).otherwise(F.lit(default))
-
-
 def md5_of(*cols: str) -> Column:
     """Hex digest of the columns joined by '|': the reproducible stand-in for a random order."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).cast("binary"))
+    return F.expr(f"md5(binary(concat_ws('|', {', '.join(f'string(`{c}`)' for c in cols)})))")

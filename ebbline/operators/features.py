@@ -12,7 +12,6 @@ from ebbline.operators import segments as seg
 from ebbline.operators import series
 from ebbline.operators.series import CHARGE_ID, CHARGE_TS, VOLUME_ID, VOLUME_TS, at
 from ebbline.plans.skew import HOT_ROWS, first_per_key, md5_rank, slice_hot_keys
-
 from ebbline.schemas import FEATURE_COLUMNS, IMPUTED_STATS
 from ebbline.sources.warehouse import new_folder, store
 
@@ -50,34 +49,36 @@ def customer_metadata(occupants: DataFrame, location: DataFrame, meter: DataFram
     A default stands in only where the row is missing; a NULL inside a found row stays.
     """
     place = first_per_key(
-        location.select("location_id", "latitude", "longitude", "meter_address", "municipality"),
-        ["location_id"], [F.col("meter_address"), F.col("latitude"), F.col("longitude")],
-    ).withColumn("_place", F.lit(True))
-    first_meter = meter.filter(F.col("location_id").isNotNull()).groupBy("location_id").agg(
-        F.min("meter_id").alias("meter_id")
+        location.selectExpr(
+            "location_id", "latitude AS _lat", "longitude AS _lon", "meter_address AS _address",
+            "municipality AS _town", "true AS _place",
+        ),
+        ["location_id"], [F.expr("_address"), F.expr("_lat"), F.expr("_lon")],
+    )
+    first_meter = meter.filter("location_id IS NOT NULL").groupBy("location_id").agg(
+        F.expr("min(meter_id) AS meter_id")
     )
     device = first_per_key(
-        meter.select("meter_id", "location_id", "cust_type", "cust_type_code", "meter_size"),
-        ["meter_id"], [F.col("location_id")],
-    ).drop("location_id").withColumn("_device", F.lit(True))
-
-    def found(flag: str, column: str, default) -> Column:
-        return F.when(F.col(flag).isNotNull(), F.col(column)).otherwise(F.lit(default))
-
+        meter.selectExpr(
+            "meter_id", "location_id AS _at", "cust_type AS _type", "cust_type_code AS _code",
+            "meter_size AS _size", "true AS _device",
+        ),
+        ["meter_id"], [F.expr("_at")],
+    )
     return (
         occupants.join(place, "location_id", "left")
         .join(first_meter, "location_id", "left")
         .join(device, "meter_id", "left")
-        .withColumns({
-            "latitude": found("_place", "latitude", 0.0),
-            "longitude": found("_place", "longitude", 0.0),
-            "meter_address": found("_place", "meter_address", "unknown"),
-            "municipality": found("_place", "municipality", -1),
-            "cust_type": found("_device", "cust_type", "unknown"),
-            "cust_type_code": found("_device", "cust_type_code", -1),
-            "meter_size": found("_device", "meter_size", -1.0),
-        })
-        .drop("_place", "_device", "meter_id")
+        .selectExpr(
+            *[f"`{c}`" for c in occupants.columns],
+            "CASE WHEN _place THEN _lat ELSE 0D END AS latitude",
+            "CASE WHEN _place THEN _lon ELSE 0D END AS longitude",
+            "CASE WHEN _place THEN _address ELSE 'unknown' END AS meter_address",
+            "CASE WHEN _place THEN _town ELSE -1 END AS municipality",
+            "CASE WHEN _device THEN _type ELSE 'unknown' END AS cust_type",
+            "CASE WHEN _device THEN _code ELSE -1 END AS cust_type_code",
+            "CASE WHEN _device THEN _size ELSE -1D END AS meter_size",
+        )
     )
 
 
@@ -85,9 +86,9 @@ def customer_metadata(occupants: DataFrame, location: DataFrame, meter: DataFram
 
 def charge_aggregates() -> list[Column]:
     return [
-        F.avg("late").alias("f_late"),
-        F.avg("total_charge").alias("mean_charge_tot"),
-        F.avg("late_charge").alias("mean_charge_late"),
+        F.expr("avg(late) AS f_late"),
+        F.expr("avg(total_charge) AS mean_charge_tot"),
+        F.expr("avg(late_charge) AS mean_charge_late"),
     ]
 
 
@@ -96,12 +97,13 @@ def usage_aggregates() -> list[Column]:
 
     Skewness is undefined if a reading is missing, and 0 for a constant window.
     """
-    v = F.col("volume_kgals")
     return [
-        F.avg(v).alias("mean_vol"),
-        (F.count_if(v == 0) / F.first("n_samples")).alias("f_zero_vol"),
-        F.when(F.count(v) == F.count(F.lit(1)), F.coalesce(F.abs(F.skewness(v)), F.lit(0.0)))
-        .alias("skew_vol"),
+        F.expr("avg(volume_kgals) AS mean_vol"),
+        F.expr("count_if(volume_kgals = 0) / first(n_samples) AS f_zero_vol"),
+        F.expr(
+            "CASE WHEN count(volume_kgals) = count(1)"
+            " THEN coalesce(abs(skewness(volume_kgals)), 0D) END AS skew_vol"
+        ),
     ]
 
 
@@ -111,14 +113,15 @@ def anomaly_aggregates(kind: str) -> list[Column]:
     ``kind`` is anom or manom.  The denominator counts the volume anomalies, for the
     logarithms too.
     """
-    known = F.count(f"volume_kgals_{kind}")
+    known = f"count(volume_kgals_{kind})"
     out: list[Column] = []
     for column, name in (("volume_kgals", "vol"), ("vol_log", "vol_log")):
-        size = F.abs(F.col(f"{column}_{kind}"))
+        size = f"abs({column}_{kind})"
         out += [
-            F.try_divide(F.count_if(size > k), known).alias(f"f_{kind}{k}_{name}") for k in (3, 4, 5)
+            F.expr(f"try_divide(count_if({size} > {k}), {known}) AS f_{kind}{k}_{name}")
+            for k in (3, 4, 5)
         ]
-        out.append(F.when(known > 0, F.max(size)).alias(f"max_{kind}_{name}"))
+        out.append(F.expr(f"CASE WHEN {known} > 0 THEN max({size}) END AS max_{kind}_{name}"))
     return out
 
 
@@ -128,9 +131,9 @@ def volume_aggregates() -> list[Column]:
 
 def coverage_aggregates() -> list[Column]:
     return [
-        F.count(F.lit(1)).alias("n_records"),
-        F.count("volume_kgals_anom").alias("n_anom"),
-        F.count("volume_kgals_manom").alias("n_manom"),
+        F.expr("count(1) AS n_records"),
+        F.expr("count(volume_kgals_anom) AS n_anom"),
+        F.expr("count(volume_kgals_manom) AS n_manom"),
     ]
 
 
@@ -219,7 +222,7 @@ def latest_records(
         series.clip_history(records, ts, ref)
         .withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") <= max(n_samples))
-        .withColumn("n_samples", F.explode(F.array(*[F.lit(int(n)) for n in n_samples])))
+        .withColumn("n_samples", seg.each_length(n_samples))
         .filter(F.col("_rn") <= F.col("n_samples"))
         .withColumns({"segment": F.lit(0), "window": F.lit(0)})
         .drop("_rn")
@@ -227,7 +230,7 @@ def latest_records(
 
 
 def _current_windows(charge, volume, cutoffs, ref, n_samples, seasonal, hot_rows):
-    lengths = F.explode(F.array(*[F.lit(int(n)) for n in n_samples])).alias("n_samples")
+    lengths = seg.each_length(n_samples).alias("n_samples")
     customers = series.usable_series(charge, volume, ref).select(
         KEY, F.lit(0).alias("segment"), F.lit(0).alias("window"), lengths
     )
@@ -287,8 +290,7 @@ def feature_tables(
     return (
         windows.join(customers, KEY)
         .withColumns({
-            "cutoff_strict": (F.col("label") == 2).cast("int"),
-            "cut_prior": (F.col("nCutPrior") > 0).cast("int"),
+            "cutoff_strict": F.expr("int(label = 2)"), "cut_prior": F.expr("int(nCutPrior > 0)"),
         })
         .select("n_samples", *FEATURE_COLUMNS)
     )
@@ -315,52 +317,47 @@ def impute_cutoff_stats(features: DataFrame, label: str = "cutoff_strict") -> Da
     scope = ["n_samples"] if "n_samples" in features.columns else []
     cut = features.filter(F.col(label) == 1)
 
-    def cells(wanted, value) -> Column:
-        return F.explode(F.array_compact(F.array(*[
-            F.when(wanted(c), F.struct(F.lit(i).alias("column"), value(c).alias("value")))
+    def cells(wanted: str, value: str) -> str:
+        """One row per column number for which the condition holds."""
+        parts = ", ".join(
+            f"CASE WHEN {wanted.format(c=c)} THEN named_struct('column', {i}, 'value', {value.format(c=c)}) END"
             for c, i in position.items()
-        ]))).alias("cell")
+        )
+        return f"inline(array_compact(array({parts})))"
 
-    donors = cut.select(
-        *scope, KEY, "segment", "window",
-        cells(lambda c: F.col(c).isNotNull(), lambda c: F.col(c)),
-    ).select(*scope, KEY, "segment", "window", "cell.column", "cell.value")
+    donors = cut.selectExpr(*scope, KEY, "segment", "`window`", cells("{c} IS NOT NULL", "{c}"))
     ranked = md5_rank(
         donors, [*scope, "column"], md5_of(KEY, "segment", "window"), out="number"
-    ).select(*scope, "column", (F.col("number") - 1).alias("number"), "value")
-    pool = donors.groupBy(*scope, "column").agg(F.count(F.lit(1)).alias("donors"))
+    ).selectExpr(*scope, "`column`", "number - 1 AS number", "value")
+    pool = donors.groupBy(*scope, "column").agg(F.expr("count(1) AS donors"))
 
     receivers = (
         cut.groupBy(*scope, KEY)
         .agg(
-            F.first("location_id").alias("location_id"),
-            *[F.max(F.col(c).isNull()).alias(c) for c in IMPUTED_STATS],
+            F.expr("first(location_id) AS location_id"),
+            *[F.expr(f"max({c} IS NULL) AS {c}") for c in IMPUTED_STATS],
         )
-        .select(*scope, KEY, "location_id", cells(lambda c: F.col(c), lambda c: F.lit(None).cast("double")))
-        .select(*scope, KEY, "location_id", "cell.column")
+        .selectExpr(*scope, KEY, "location_id", cells("{c}", "NULL"))
         .join(F.broadcast(pool), [*scope, "column"])  # 21 rows per window length
-        .withColumn("number", F.pmod(F.col("location_id") * 7919 + F.col("column"), F.col("donors")))
+        .withColumn("number", F.expr("pmod(location_id * 7919 + `column`, donors)"))
     )
     drawn = (
-        receivers.join(ranked, [*scope, "column", "number"])
+        receivers.drop("value").join(ranked, [*scope, "column", "number"])
         .groupBy(*scope, KEY)
         .agg(*[
-            F.max(F.when(F.col("column") == i, F.col("value"))).alias(f"_{c}")
-            for c, i in position.items()
+            F.expr(f"max(CASE WHEN `column` = {i} THEN value END) AS _{c}") for c, i in position.items()
         ])
     )
-    return features.join(drawn, [*scope, KEY], "left").select(*[
-        F.coalesce(f"_{c}", c).alias(c) if c in position else F.col(c) for c in features.columns
+    return features.join(drawn, [*scope, KEY], "left").selectExpr(*[
+        f"coalesce(_{c}, {c}) AS {c}" if c in position else f"`{c}`" for c in features.columns
     ])
 
 
 def drop_incomplete_occupants(features: DataFrame, label: str = "cutoff_strict") -> DataFrame:
     """Training: a customer with a missing statistic in a label-0 row loses all rows."""
     scope = ["n_samples"] if "n_samples" in features.columns else []
-    missing = F.lit(False)
-    for c in IMPUTED_STATS:
-        missing |= F.col(c).isNull()
-    bad = features.filter((F.col(label) == 0) & missing).select(*scope, KEY).distinct()
+    missing = " OR ".join(f"{c} IS NULL" for c in IMPUTED_STATS)
+    bad = features.filter(f"{label} = 0 AND ({missing})").select(*scope, KEY).distinct()
     return features.join(bad, [*scope, KEY], "left_anti").select(*features.columns)
 
 

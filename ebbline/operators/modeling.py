@@ -522,10 +522,11 @@ def predict_current(
         raise LookupError(f"no recorded run for {options.tag(train_ref)}")
     n = best["n_samples"]
     features = complete_features(feature_tables(tables, ref, "predict", [n]), "predict")
-    if feature_folder is not None:
-        warehouse.write_feature_table(features, feature_folder, "predict", ref)
-        features = warehouse.read_feature_table(spark, feature_folder, "predict", ref, n)
-    features = features.drop("n_samples")
+    if feature_folder is None:
+        feature_folder = warehouse.new_folder(spark, "features")
+    # Written once: the scores and the returned rows both start from the stored table.
+    warehouse.write_feature_table(features, feature_folder, "predict", ref)
+    features = warehouse.read_feature_table(spark, feature_folder, "predict", ref, n).drop("n_samples")
     model = PipelineModel.load(folders.model(best["run_id"]))
     scored = score(model, features)
     warehouse.write_predictions(scored, folders.predictions, f"predict.{ref}.{best['run_id']}", "predict")

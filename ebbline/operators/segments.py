@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbline.functions.columns import plus_months, whole_mean_months
+from ebbline.functions.columns import whole_mean_months
 from ebbline.operators.series import at
 from ebbline.plans.skew import (
     HOT_ROWS, SLICE, earlier_slices, is_sliced, rank_in_series, slice_hot_keys, slice_keys,
@@ -15,6 +15,7 @@ from ebbline.plans.skew import (
 )
 
 KEY = "occupant_id"
+MONTH = "INTERVAL 1 MONTH"  # a calendar step: keeps the time of day, clamps to the month end
 
 
 def ranked_cutoffs(cutoffs: DataFrame, ref: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -47,24 +48,18 @@ def cutoff_segments(bounds: DataFrame, ranked: DataFrame) -> DataFrame:
     Label 2.  ``n_cut_prior`` counts all earlier cutoffs, ``segment`` only those inside the
     series.  Two cutoffs less than a month apart give an empty interval that keeps its number.
     """
-    early = ranked.join(bounds.select(KEY, "first"), KEY).groupBy(KEY).agg(
-        F.count_if(F.col("cutoff_at") <= F.col("first")).cast("int").alias("_early")
-    )
-    inside = (F.col("cutoff_at") > F.col("first")) & (
-        F.col("cutoff_at") <= plus_months(F.col("last"))
-    )
-    start = F.when(F.col("previous") > F.col("first"), plus_months(F.col("previous")))
+    placed = ranked.join(bounds.select(KEY, "first", "last"), KEY)
+    early = placed.groupBy(KEY).agg(F.expr("int(count_if(cutoff_at <= first)) AS _early"))
     return (
-        ranked.join(bounds.select(KEY, "first", "last"), KEY)
-        .filter(inside)
+        placed.filter(f"cutoff_at > first AND cutoff_at <= last + {MONTH}")
         .join(early, KEY)
-        .select(
+        .selectExpr(
             KEY,
-            (F.col("rank") - F.col("_early")).alias("segment"),
-            F.coalesce(start, F.col("first")).alias("lo"),
-            F.col("cutoff_at").alias("hi"),
-            F.lit(2).alias("label"),
-            F.col("rank").alias("n_cut_prior"),
+            "rank - _early AS segment",
+            f"CASE WHEN previous > first THEN previous + {MONTH} ELSE first END AS lo",
+            "cutoff_at AS hi",
+            "2 AS label",
+            "rank AS n_cut_prior",
         )
     )
 
@@ -75,39 +70,29 @@ def tail_segments(bounds: DataFrame, ranked: DataFrame, keep_tail: bool = False)
     It exists only if a later cutoff follows (label 1).  ``keep_tail`` also keeps it without
     a later cutoff (label 0).
     """
-    end = plus_months(F.col("last"))
+    inside = f"cutoff_at > first AND cutoff_at <= last + {MONTH}"
     per = (
         ranked.join(bounds.select(KEY, "first", "last"), KEY)
         .groupBy(KEY, "first", "last")
         .agg(
-            F.count_if((F.col("cutoff_at") > F.col("first")) & (F.col("cutoff_at") <= end))
-            .cast("int").alias("_inside"),
-            F.max(F.when(
-                (F.col("cutoff_at") > F.col("first")) & (F.col("cutoff_at") <= end),
-                F.col("cutoff_at"),
-            )).alias("_newest"),
-            F.count_if(F.col("cutoff_at") <= end).cast("int").alias("_upto"),
-            F.count_if(F.col("cutoff_at") > end).alias("_later"),
+            F.expr(f"int(count_if({inside})) AS segment"),
+            F.expr(f"max(CASE WHEN {inside} THEN cutoff_at END) AS _newest"),
+            F.expr(f"int(count_if(cutoff_at <= last + {MONTH})) AS n_cut_prior"),
+            F.expr(f"int(count_if(cutoff_at > last + {MONTH}) > 0) AS label"),
+        )
+        .selectExpr(
+            KEY, "segment", f"coalesce(_newest + {MONTH}, first) AS lo", f"last + {MONTH} AS hi",
+            "label", "n_cut_prior",
         )
-        .withColumn("lo", F.coalesce(plus_months(F.col("_newest")), F.col("first")))
-        .withColumn("hi", end)
-    )
-    wanted = F.col("lo") < F.col("hi")
-    if not keep_tail:
-        wanted &= F.col("_later") > 0
-    return per.filter(wanted).select(
-        KEY, F.col("_inside").alias("segment"), "lo", "hi",
-        F.when(F.col("_later") > 0, 1).otherwise(0).alias("label"),
-        F.col("_upto").alias("n_cut_prior"),
     )
+    return per.filter("lo < hi" if keep_tail else "lo < hi AND label = 1")
 
 
 def single_segments(bounds: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """The whole series of each customer without any cutoff row, of whatever date."""
     ever = cutoffs.filter(F.col(KEY).isNotNull()).select(KEY).distinct()
-    return bounds.join(ever, KEY, "left_anti").select(
-        KEY, F.lit(0).alias("segment"), F.col("first").alias("lo"), F.col("last").alias("hi"),
-        F.lit(0).alias("label"), F.lit(0).alias("n_cut_prior"),
+    return bounds.join(ever, KEY, "left_anti").selectExpr(
+        KEY, "0 AS segment", "first AS lo", "last AS hi", "0 AS label", "0 AS n_cut_prior"
     )
 
 
@@ -158,12 +143,16 @@ def number_windows(
     order = [F.col(ts).desc(), F.col(record_id).desc()]
     ranked = rank_in_series(in_segments, [KEY, "segment"], order, "_rn", newest_first=True)
     return (
-        ranked.withColumn("n_samples", F.explode(F.array(*[F.lit(int(n)) for n in n_samples])))
+        ranked.withColumn("n_samples", each_length(n_samples))
         .withColumn("window", F.expr("cast((_rn - 1) div n_samples as int)"))
         .drop("_rn")
     )
 
 
+def each_length(n_samples: Sequence[int]) -> Column:
+    return F.expr(f"explode(array({', '.join(str(int(n)) for n in n_samples)}))")
+
+
 def window_label(label, window):
     """Window 0 carries the segment's label; older ones of a cutoff customer carry 1."""
     return F.when((window == 0) | (label == 0), label).otherwise(F.lit(1))

@@ -12,11 +12,12 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.functions.columns import log_volume, z_score, z_score_long
+from ebbline.functions.columns import LOG_VOLUME
 from ebbline.plans.skew import (
     HOT_ROWS, SLICE, rank_in_series, slice_hot_keys, slice_keys, spread_over_slices,
 )
 
+KEY = "occupant_id"
 CHARGE_TS, CHARGE_ID = "billing_period_end", "charge_id"
 VOLUME_TS, VOLUME_ID = "meter_read_at", "charge_id"
 
@@ -36,20 +37,20 @@ def profile(records: DataFrame, ts: str, ref: str, volume: bool = False) -> Data
     ``last`` is the newest record of all, but no later than the reference date; customers
     without a record up to that date are left out.
     """
-    used = F.col(ts) <= at(ref)
+    used, day = f"{ts} <= timestamp_ntz'{ref}'", f"timestamp_ntz'{ref}'"
     stats = [
-        F.min(ts).alias("first"),
-        F.least(F.max(ts), at(ref)).alias("last"),
-        F.count_if(used).alias("n"),
+        f"min({ts}) AS first", f"least(max({ts}), {day}) AS last", f"count_if({used}) AS n",
     ]
     if volume:
-        v = F.when(used, F.col("volume_kgals"))
         stats += [
-            F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-            F.avg(log_volume(v)).alias("log_mean"), F.stddev_pop(log_volume(v)).alias("log_std"),
+            f"avg(_v) FILTER (WHERE {used}) AS mean", f"stddev_pop(_v) FILTER (WHERE {used}) AS std",
+            f"avg(_g) FILTER (WHERE {used}) AS log_mean",
+            f"stddev_pop(_g) FILTER (WHERE {used}) AS log_std",
         ]
-    known = records.filter(F.col("occupant_id").isNotNull() & F.col(ts).isNotNull())
-    return known.groupBy("occupant_id").agg(*stats).filter("n > 0")
+    known = records.filter(f"{KEY} IS NOT NULL AND {ts} IS NOT NULL")
+    if volume:
+        known = known.selectExpr(KEY, ts, "volume_kgals AS _v", f"{LOG_VOLUME} AS _g")
+    return known.groupBy(KEY).agg(*[F.expr(e) for e in stats]).filter("n > 0")
 
 
 def usable_series(charge: DataFrame, volume: DataFrame, ref: str) -> DataFrame:
@@ -64,16 +65,21 @@ def keep_usable(records: DataFrame, usable: DataFrame) -> DataFrame:
 
 
 def with_log_volume(volume: DataFrame) -> DataFrame:
-    return volume.withColumn("vol_log", log_volume(F.col("volume_kgals")))
+    return volume.withColumn("vol_log", F.expr(LOG_VOLUME))
 
 
 def anomaly_columns(df: DataFrame, seasonal: bool = True) -> DataFrame:
-    """Anomalies of volume and log volume from the profile columns n, mean, std, log_mean, log_std."""
-    n = F.col("n")
-    pairs = [("volume_kgals", "mean", "std"), ("vol_log", "log_mean", "log_std")]
-    out = {f"{x}_anom": z_score(F.col(x), n, F.col(m), F.col(s)) for x, m, s in pairs}
-    if seasonal:
-        out |= {f"{x}_manom": z_score_long(F.col(x), n, F.col(m), F.col(s)) for x, m, s in pairs}
+    """Anomalies of volume and log volume from the profile columns n, mean, std, log_mean, log_std.
+
+    0 throughout for series of fewer than 3 records or without spread.  The seasonal anomaly
+    needs more than 24 records and is 0 where it is undefined.
+    """
+    out = {}
+    for x, m, sd in (("volume_kgals", "mean", "std"), ("vol_log", "log_mean", "log_std")):
+        z = f"({x} - {m}) / {sd}"
+        out[f"{x}_anom"] = F.expr(f"CASE WHEN n > 2 AND {sd} > 0 THEN {z} ELSE 0D END")
+        if seasonal:
+            out[f"{x}_manom"] = F.expr(f"CASE WHEN n > 24 AND {sd} > 0 THEN coalesce({z}, 0D) ELSE 0D END")
     return df.withColumns(out)
 
 
@@ -115,7 +121,9 @@ def _anomalies_by_phase(sliced: DataFrame) -> DataFrame:
         F.avg("volume_kgals").alias("_m"), F.stddev_pop("volume_kgals").alias("_s"),
         F.avg("vol_log").alias("_lm"), F.stddev_pop("vol_log").alias("_ls"),
     )
-    return phased.join(stats, ["occupant_id", "_phase"]).withColumns({
-        "volume_kgals_manom": z_score_long(F.col("volume_kgals"), F.col("n"), F.col("_m"), F.col("_s")),
-        "vol_log_manom": z_score_long(F.col("vol_log"), F.col("n"), F.col("_lm"), F.col("_ls")),
+    joined = phased.join(stats, ["occupant_id", "_phase"])
+    z = "CASE WHEN n > 24 AND {s} > 0 THEN coalesce(({x} - {m}) / {s}, 0D) ELSE 0D END"
+    return joined.withColumns({
+        "volume_kgals_manom": F.expr(z.format(x="volume_kgals", m="_m", s="_s")),
+        "vol_log_manom": F.expr(z.format(x="vol_log", m="_lm", s="_ls")),
     }).drop("_pos", "_phase", "_m", "_s", "_lm", "_ls")
