@@ -8,10 +8,10 @@ outliers, open and duplicate occupancies and missing keys come from arithmetic o
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-
-SOURCES = ("lineitem", "supplier", "nation", "region")
+from pyspark.sql import types as T
 
 # {TS} is the name of the timestamp type without zone.
 FIXTURES: dict[str, str] = {
@@ -107,16 +107,45 @@ TRAIN_REF = "2000-06-30"
 PREDICT_REF = "2000-12-31"
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All fixture tables, lazily derived from the Parquet files."""
-    def text(name: str) -> str:
+_LONG, _INT, _DOUBLE, _STR = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType()
+# The columns used, so that no file is opened to infer a schema.
+SOURCES: dict[str, dict[str, T.DataType]] = {
+    "lineitem": {
+        "l_orderkey": _LONG, "l_suppkey": _LONG, "l_linenumber": _INT, "l_quantity": _DOUBLE,
+        "l_extendedprice": _DOUBLE, "l_discount": _DOUBLE, "l_returnflag": _STR,
+        "l_shipdate": T.TimestampNTZType(),
+    },
+    "supplier": {"s_suppkey": _LONG, "s_name": _STR, "s_nationkey": _INT},
+    "nation": {"n_nationkey": _INT, "n_name": _STR, "n_regionkey": _INT},
+    "region": {"r_regionkey": _INT, "r_name": _STR},
+}
+
+
+class FixtureTables(Mapping):
+    """Fixture tables by name, each planned when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _source(self, name: str) -> DataFrame:
+        schema = T.StructType([T.StructField(c, k) for c, k in SOURCES[name].items()])
+        return self.spark.read.schema(schema).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def __getitem__(self, name: str) -> DataFrame:
         sql = FIXTURES[name].format(TS="TIMESTAMP_NTZ")
-        if "FROM monthly" in sql:
-            sql = re.sub(r"\bFROM monthly\b", f"FROM ({FIXTURES['monthly']}) AS monthly", sql)
-        for source in SOURCES:
-            sql = re.sub(
-                rf"\b(FROM|JOIN) {source}\b", rf"\1 parquet.`{sf_dir}/{source}.parquet`", sql
-            )
-        return sql
-
-    return {name: spark.sql(text(name)) for name in FIXTURES if name != "monthly"}
+        sql = sql.replace("FROM monthly", f"FROM ({FIXTURES['monthly']}) AS monthly")
+        used = {s for s in SOURCES if re.search(rf"\b(FROM|JOIN) {s}\b", sql)}
+        for source in used:
+            sql = re.sub(rf"\b(FROM|JOIN) {source}\b", rf"\1 {{{source}}} AS {source}", sql)
+        return self.spark.sql(sql, **{s: self._source(s) for s in used})
+
+    def __iter__(self):
+        return (name for name in FIXTURES if name != "monthly")
+
+    def __len__(self) -> int:
+        return len(FIXTURES) - 1
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    """All fixture tables, lazily derived from the Parquet files."""
+    return FixtureTables(spark, sf_dir)

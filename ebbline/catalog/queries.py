@@ -57,7 +57,8 @@ def _cols(schema: T.StructType) -> str:
 
 
 def _raw_six(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {k: v for k, v in stages.raw(spark, sf).items() if k != "geocode"}
+    tables = stages.raw(spark, sf)
+    return {name: tables[name] for name in TABLES}
 
 
 # -- sources and sinks ---------------------------------------------------------------------

@@ -6,6 +6,8 @@ once per data folder and reopened; a query then starts from stored stages.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbline.catalog.fixtures import PREDICT_REF, TRAIN_REF, fixture_tables
@@ -23,13 +25,13 @@ def _once(spark: SparkSession, key: tuple[str, ...], build):
     return _written[full]
 
 
-def raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def raw(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     return fixture_tables(spark, sf_dir)
 
 
 def write_clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Clean and store all six tables."""
-    tables = raw(spark, sf_dir)
+    tables = dict(raw(spark, sf_dir))
     gazetteer = tables.pop("geocode")
     folder = new_folder(spark, "clean")
     cleaned = clean.clean_tables(tables, gazetteer, stage=lambda df, name: store(df, folder, name))

@@ -323,9 +323,9 @@ def clean_tables(
     """The whole cleaning, as six lazy tables.
 
     ``align`` pads the series to full months first.  The labelled readings are used three
-    times (spread, outliers and gaps, leftovers); ``stage(df, name)`` may write and reopen
-    them so that the interval join runs once.  Outliers and gaps share one exchange on
-    (customer, slice).
+    times (spread, outliers and gaps, leftovers) and the spread per customer twice;
+    ``stage(df, name)`` may write and reopen them, so that the interval join and the
+    aggregation run once.  Outliers and gaps share one exchange on (customer, slice).
     """
     stage = stage or (lambda df, name: df)
     opened = {name: null_for_nan(df) for name, df in raw.items()}
@@ -351,7 +351,7 @@ def clean_tables(
     volume = stage(null_invalid(volume), "volume_labelled")
 
     def outliers_and_gaps(labelled: DataFrame) -> DataFrame:
-        spread = _spread(labelled)
+        spread = stage(_spread(labelled), "volume_spread")
         sliced = slice_hot_keys(labelled, "occupant_id", "meter_read_at", hot_rows, spread)
         return _interpolate(_drop_outliers(sliced, spread, outlier_limit)).drop(SLICE)
 

@@ -18,6 +18,7 @@ from ebbline.sources.warehouse import new_folder, store
 KEY = "occupant_id"
 WINDOW_KEY = [KEY, "segment", "window", "n_samples"]
 MODES = ("train", "predict")
+MISSING = " OR ".join(f"{c} IS NULL" for c in IMPUTED_STATS)
 
 
 # -- customers -----------------------------------------------------------------------------
@@ -155,7 +156,7 @@ def charge_windows(
     keep_tail: bool = False, hot_rows: int = HOT_ROWS, ranked: DataFrame | None = None,
 ) -> DataFrame:
     """Numbered charge records of all training windows, with segment label and prior count."""
-    bounds = series.profile(charge, CHARGE_TS, ref)
+    bounds = series.stored_profile(charge, CHARGE_TS, ref)
     if ranked is None:
         ranked = seg.ranked_cutoffs(cutoffs, ref, hot_rows)
     segments = seg.all_segments(bounds, cutoffs, ranked, keep_tail)
@@ -177,7 +178,7 @@ def volume_windows(
     Anomalies are taken against the whole series up to the reference date, so a training
     window knows the spread of the months after it.
     """
-    stats = series.profile(volume, VOLUME_TS, ref, volume=True)
+    stats = series.stored_profile(volume, VOLUME_TS, ref, volume=True)
     if ranked is None:
         ranked = seg.ranked_cutoffs(cutoffs, ref, hot_rows)
     segments = seg.all_segments(stats, cutoffs, ranked, keep_tail).drop("label", "n_cut_prior")
@@ -231,7 +232,9 @@ def latest_records(
 
 def _current_windows(charge, volume, cutoffs, ref, n_samples, seasonal, hot_rows):
     lengths = seg.each_length(n_samples).alias("n_samples")
-    customers = series.usable_series(charge, volume, ref).select(
+    charge_profile = series.stored_profile(charge, CHARGE_TS, ref)
+    volume_profile = series.stored_profile(volume, VOLUME_TS, ref, volume=True)
+    customers = series.both_series(charge_profile, volume_profile).select(
         KEY, F.lit(0).alias("segment"), F.lit(0).alias("window"), lengths
     )
     c = full_windows(latest_records(
@@ -240,7 +243,7 @@ def _current_windows(charge, volume, cutoffs, ref, n_samples, seasonal, hot_rows
     ), charge_aggregates())
     readings = volume.select(KEY, VOLUME_TS, VOLUME_ID, "volume_kgals")
     if seasonal == "global":
-        stats = series.profile(volume, VOLUME_TS, ref, volume=True).drop("first", "last")
+        stats = volume_profile.drop("first", "last")
         newest = latest_records(readings, VOLUME_TS, VOLUME_ID, ref, n_samples).join(stats, KEY)
         newest = series.anomaly_columns(series.with_log_volume(newest))
     else:
@@ -356,8 +359,7 @@ def impute_cutoff_stats(features: DataFrame, label: str = "cutoff_strict") -> Da
 def drop_incomplete_occupants(features: DataFrame, label: str = "cutoff_strict") -> DataFrame:
     """Training: a customer with a missing statistic in a label-0 row loses all rows."""
     scope = ["n_samples"] if "n_samples" in features.columns else []
-    missing = " OR ".join(f"{c} IS NULL" for c in IMPUTED_STATS)
-    bad = features.filter(f"{label} = 0 AND ({missing})").select(*scope, KEY).distinct()
+    bad = features.filter(f"{label} = 0 AND ({MISSING})").select(*scope, KEY).distinct()
     return features.join(bad, [*scope, KEY], "left_anti").select(*features.columns)
 
 
@@ -371,11 +373,20 @@ def choose_label(strict: bool) -> str:
 
 
 def complete_features(features: DataFrame, mode: str = "train", strict: bool = True) -> DataFrame:
-    """Imputation and removal for training, zeros for prediction."""
+    """Imputation and removal for training, zeros for prediction.
+
+    Cleaned series leave nothing missing in training windows.  One scan of the statistics
+    tells, and spares the joins of the whole table that would change nothing.
+    """
     if mode == "predict":
         return zero_missing_stats(features)
     label = choose_label(strict)
-    return drop_incomplete_occupants(impute_cutoff_stats(features, label), label)
+    cut, nocut = features.filter(MISSING).agg(
+        F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    ).first()
+    if cut:
+        features = impute_cutoff_stats(features, label)
+    return drop_incomplete_occupants(features, label) if nocut else features
 
 
 def feature_sweep(

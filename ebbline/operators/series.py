@@ -16,6 +16,7 @@ from ebbline.functions.columns import LOG_VOLUME
 from ebbline.plans.skew import (
     HOT_ROWS, SLICE, rank_in_series, slice_hot_keys, slice_keys, spread_over_slices,
 )
+from ebbline.sources.warehouse import new_folder, store
 
 KEY = "occupant_id"
 CHARGE_TS, CHARGE_ID = "billing_period_end", "charge_id"
@@ -53,11 +54,25 @@ def profile(records: DataFrame, ts: str, ref: str, volume: bool = False) -> Data
     return known.groupBy(KEY).agg(*[F.expr(e) for e in stats]).filter("n > 0")
 
 
+def stored_profile(records: DataFrame, ts: str, ref: str, volume: bool = False) -> DataFrame:
+    """The profile as a written table: one row per customer, read by several later steps.
+
+    The records themselves are then read only twice, here and where they meet their segments.
+    """
+    stats = profile(records, ts, ref, volume)
+    return store(stats, new_folder(records.sparkSession, "profile"), ts)
+
+
+def both_series(charge_profile: DataFrame, volume_profile: DataFrame) -> DataFrame:
+    """Customers with both charges and readings, with the counts."""
+    return charge_profile.selectExpr(KEY, "n AS n_charge").join(
+        volume_profile.selectExpr(KEY, "n AS n_volume"), KEY
+    )
+
+
 def usable_series(charge: DataFrame, volume: DataFrame, ref: str) -> DataFrame:
     """Customers with both charges and readings up to the reference date, with the counts."""
-    c = profile(charge, CHARGE_TS, ref).select("occupant_id", F.col("n").alias("n_charge"))
-    v = profile(volume, VOLUME_TS, ref).select("occupant_id", F.col("n").alias("n_volume"))
-    return c.join(v, "occupant_id")
+    return both_series(profile(charge, CHARGE_TS, ref), profile(volume, VOLUME_TS, ref))
 
 
 def keep_usable(records: DataFrame, usable: DataFrame) -> DataFrame:
@@ -86,7 +101,7 @@ def anomaly_columns(df: DataFrame, seasonal: bool = True) -> DataFrame:
 def _with_profile(volume: DataFrame, ref: str, hot_rows: int) -> DataFrame:
     """Readings with the profile of their customer; a huge customer is joined slice by slice."""
     series = clip_history(volume, VOLUME_TS, ref)
-    stats = profile(volume, VOLUME_TS, ref, volume=True)
+    stats = stored_profile(volume, VOLUME_TS, ref, volume=True)
     sliced = slice_hot_keys(series, "occupant_id", VOLUME_TS, hot_rows, stats)
     return with_log_volume(sliced).join(
         spread_over_slices(stats, sliced, "occupant_id", "first", "last"),

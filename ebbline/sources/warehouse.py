@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +17,26 @@ FEATURE_PARTITIONS = ["mode", "ref_date", "n_samples"]
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for cut-off lineage, ``spark.checkpoint.dir``.
 
-    Where it is unset a local session gets a temporary folder; on a cluster it must be set,
-    since a folder of one machine is out of reach for the others.
+    Where it is unset a local session gets a temporary folder that goes with the process; on a
+    cluster it must be set, since a folder of one machine is out of reach for the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.gettempdir()
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="ebbline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/ebbline-{purpose}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
 def store(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -156,7 +156,7 @@ def test_months_round_half_to_even(spark):
 def test_whole_cleaning_is_the_same_with_hot_customers(spark, sf, clean_stage):
     from ebbline.catalog import stages
 
-    t = stages.raw(spark, sf)
+    t = dict(stages.raw(spark, sf))
     gazetteer = t.pop("geocode")
     hot = clean.clean_tables(t, gazetteer, hot_rows=5, array_limit=1)
     for name, key in (("volume", "charge_id"), ("charge", "charge_id")):
@@ -167,7 +167,7 @@ def test_whole_cleaning_is_the_same_with_hot_customers(spark, sf, clean_stage):
 def test_aligned_cleaning_has_every_month_and_location(spark, sf):
     from ebbline.catalog import stages
 
-    t = stages.raw(spark, sf)
+    t = dict(stages.raw(spark, sf))
     gazetteer = t.pop("geocode")
     charge = clean.clean_tables(t, gazetteer, align=True)["charge"].filter("occupant_id is not null")
     assert charge.filter("location_id is null").count() == 0
