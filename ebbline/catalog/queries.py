@@ -868,7 +868,7 @@ def _(spark, sf):
 
 # Fitted models: smaller grids than the defaults, over all rows.
 _OPTIONS = modeling.ModelOptions(
-    n_samples=(6, 12), trees=20, folds=3, max_depths=(3, 5), reg_params=(0.001, 0.1)
+    n_samples=(6, 12), trees=20, folds=3, max_depths=(3, 5), reg_params=(0.001, 0.1), parallelism=8
 )
 
 
@@ -937,13 +937,10 @@ def _(spark, sf):
 @entry("train_and_test_model")
 def _(spark, sf):
     _, scored, _ = modeling.train_and_test(_prepared(spark, sf), "random_forest", _OPTIONS)
-    out = None
-    for subset in ("train", "test"):
-        part = metrics.score_metrics(scored[subset], modeling.LABEL, "p_cutoff").withColumn(
-            "scored", F.lit(subset)
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    both = scored["train"].withColumn("scored", F.lit("train")).unionByName(
+        scored["test"].withColumn("scored", F.lit("test"))
+    )
+    return metrics.score_metrics(both, modeling.LABEL, "p_cutoff", group="scored")
 
 
 @entry("train_sweep")

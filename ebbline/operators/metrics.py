@@ -21,12 +21,12 @@ def _score_bucket(p: Column) -> Column:
     )
 
 
-def roc_auc(scored: DataFrame, label: str, p: str, group: str | None = None) -> DataFrame:
-    """Exact AUC with ties counted half: one row, or one per group.
+def score_metrics(scored: DataFrame, label: str, p: str, group: str | None = None) -> DataFrame:
+    """auc (ties counted half), logloss, r2 and n: one row, or one per group.
 
-    Rows are first combined per distinct score.  The number of negatives below a score is the
-    count in lower buckets plus the running count in its own bucket, so no task orders all
-    scores.
+    Rows are first combined per distinct score, which is all the metrics need, so the scores
+    are computed once.  The number of negatives below a score is the count in lower buckets
+    plus the running count in its own bucket: no task orders all scores.
     """
     by = [group] if group else []
     per_score = (
@@ -41,18 +41,33 @@ def roc_auc(scored: DataFrame, label: str, p: str, group: str | None = None) ->
         .select(*by, "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"))
     )
     within = Window.partitionBy(*by, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("_lower") + F.coalesce("_seen", F.lit(0))
+    clipped = f"greatest({CLIP}D, least(_p, 1 - {CLIP}D))"
     return (
-        per_score.withColumn("_seen", F.sum("_neg").over(within))
+        per_score.withColumn("_seen", F.coalesce(F.sum("_neg").over(within), F.lit(0)))
         .join(buckets, [*by, "_b"])
         .groupBy(*by)
-        .agg(F.try_divide(
-            F.sum(F.col("_pos") * (below + F.col("_neg") * 0.5)),
-            F.sum("_pos").cast("double") * F.sum("_neg"),
-        ).alias("auc"))
+        .agg(
+            F.expr("sum(_pos * (_lower + _seen + _neg * 0.5D)) AS _below"),
+            F.expr(f"sum(-(_pos * ln({clipped}) + _neg * ln(1 - {clipped}))) AS _loss"),
+            F.expr("sum(_pos * (1 - _p) * (1 - _p) + _neg * _p * _p) AS _error"),
+            F.expr("double(sum(_pos)) AS _p1"),
+            F.expr("double(sum(_neg)) AS _p0"),
+        )
+        .selectExpr(
+            *by,
+            "try_divide(_below, _p1 * _p0) AS auc",
+            "try_divide(_loss, _p1 + _p0) AS logloss",
+            "1 - try_divide(_error * (_p1 + _p0), _p1 * _p0) AS r2",
+            "bigint(_p1 + _p0) AS n",
+        )
     )
 
 
+def roc_auc(scored: DataFrame, label: str, p: str, group: str | None = None) -> DataFrame:
+    by = [group] if group else []
+    return score_metrics(scored, label, p, group).select(*by, "auc")
+
+
 def log_loss(label: Column, p: Column) -> Column:
     """Aggregate: mean negative log-likelihood with p clipped away from 0 and 1."""
     q = F.greatest(F.lit(CLIP), F.least(p, F.lit(1 - CLIP)))
@@ -64,13 +79,3 @@ def r_squared(label: Column, p: Column) -> Column:
     return 1 - F.try_divide(
         F.avg((label - p) * (label - p)), F.var_pop(F.when(p.isNotNull(), label))
     )
-
-
-def score_metrics(scored: DataFrame, label: str, p: str) -> DataFrame:
-    """auc, logloss, r2 and n in one row."""
-    y, q = F.col(label).cast("double"), F.col(p)
-    rest = scored.agg(
-        log_loss(y, q).alias("logloss"), r_squared(y, q).alias("r2"), F.count(F.lit(1)).alias("n")
-    )
-    auc = roc_auc(scored, label, p)
-    return rest.withColumn("auc", auc.scalar()).select("auc", "logloss", "r2", "n")

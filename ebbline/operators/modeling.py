@@ -434,10 +434,13 @@ def train_and_test(
         "xval": trained.cv,
         "test": score(trained.model, prepared.filter("subset = 'test'")),
     }
-    stats: dict[str, float | None] = {}
+    together = None
     for subset, df in scored.items():
-        row = metrics.score_metrics(df, LABEL, "p_cutoff").first()
-        stats |= {f"{m}_{subset}": row[m] for m in ("auc", "logloss", "r2")}
+        part = df.select(F.lit(subset).alias("scored"), LABEL, "p_cutoff")
+        together = part if together is None else together.unionByName(part)
+    stats: dict[str, float | None] = {}
+    for row in metrics.score_metrics(together, LABEL, "p_cutoff", group="scored").collect():  # 3 rows
+        stats |= {f"{m}_{row['scored']}": row[m] for m in ("auc", "logloss", "r2")}
     return trained, scored, stats
 
 
@@ -500,7 +503,7 @@ def train_sweep(
                 "run_id": run_id, "options": tag, "grid_order": i * len(options.model_types) + j,
                 "n_samples": n, "model_type": model_type, **stats,
             })
-    stats_table = spark.createDataFrame([tuple(r[f.name] for f in STATS_SCHEMA) for r in rows], STATS_SCHEMA)
+    stats_table = spark.createDataFrame([tuple(r.get(f.name) for f in STATS_SCHEMA) for r in rows], STATS_SCHEMA)
     warehouse.write_by_run(stats_table, folders.stats)
     written = spark.read.parquet(folders.stats).filter(F.col("options") == tag)
     warehouse.write_by_run(best_run(written.select(*STATS_SCHEMA.names)), folders.runs)
