@@ -38,11 +38,6 @@ def month_of(ts: Column) -> Column:
     return F.trunc(F.to_date(ts), "MM")
 
 
-def plus_months(ts: Column, n: int = 1) -> Column:
-    """Calendar month step that keeps the time of day and clamps to the month end."""
-    return ts + F.make_ym_interval(F.lit(0), F.lit(n))
-
-
 def assemble_date(year: Column, month: Column, day: Column) -> Column:
     """Midnight of year-month-day with the day clamped into that month."""
     first = F.make_date(year, month, F.lit(1))
