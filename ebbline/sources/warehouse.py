@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,13 +18,14 @@ FEATURE_PARTITIONS = ["mode", "ref_date", "n_samples"]
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for cut-off lineage, ``spark.checkpoint.dir``.
 
-    Where it is unset a local session gets a temporary folder that goes with the process; on a
-    cluster it must be set, since a folder of one machine is out of reach for the others.
+    Where it is unset a session without executors of its own (``local[...]``) gets a temporary
+    folder that goes with the process; on a cluster it must be set, since a folder of one machine is
+    out of reach for the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     return _local_folder()
 
