@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +21,30 @@ from ebbline.sources.warehouse import new_folder, store
 #: Bytes of text that a task hands to one call of an operator's helper.
 GROUP_BYTES = 4 << 20
 
-__all__ = ["GROUP_BYTES", "byte_groups", "held_out", "map_texts", "new_folder", "store", "table"]
+__all__ = ["GROUP_BYTES", "byte_groups", "held_out", "map_texts", "new_folder", "ship_package", "store", "table"]
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, which a cluster need not have installed; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="ebbline-code-")  # the driver serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbline.llm import pii, token_counts
-from ebbline.llm.common import table
+from ebbline.llm import language, pii, quality, token_counts
+from ebbline.llm.common import held_out, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -21,6 +21,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out())
+    return quality.score(docs, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.fit(docs, "text", "lang", learn=~held_out(), key="doc_id")
+    return language.identify(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -31,7 +43,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": op3_quality,
         "op4_token_counts": op4_token_counts,
+        "op7_language": op7_language,
         "op10_pii": op10_pii,
     }
 
