@@ -208,8 +208,8 @@ def fit(df: DataFrame, text: str, label: str, learn: Column, key: str, per_langu
             net = train([x[1] for x in found], [x[2] for x in found])
             yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], names=["net"])
 
-    row = sample.repartition(1).mapInArrow(learn_all, "net binary").first()
-    return bytes(row["net"]) if row else None
+    rows = sample.repartition(1).mapInArrow(learn_all, "net binary").collect()
+    return bytes(rows[0]["net"]) if rows else None
 
 
 def identify(df: DataFrame, net: bytes | None, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -185,8 +185,8 @@ def fit(
             machine = train(rows, np.array([float(x[3] > 0) for x in found]))
             yield pa.RecordBatch.from_arrays([pa.array([machine.dump()], pa.binary())], names=["machine"])
 
-    row = joined.mapInArrow(describe, fields).repartition(1).mapInArrow(learn_all, "machine binary").first()
-    return bytes(row["machine"]) if row else None
+    rows = joined.mapInArrow(describe, fields).repartition(1).mapInArrow(learn_all, "machine binary").collect()
+    return bytes(rows[0]["machine"]) if rows else None
 
 
 def score(
