@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -21,7 +22,9 @@ from ebbline.sources.warehouse import new_folder, store
 #: Bytes of text that a task hands to one call of an operator's helper.
 GROUP_BYTES = 4 << 20
 
-__all__ = ["GROUP_BYTES", "byte_groups", "held_out", "map_texts", "new_folder", "ship_package", "store", "table"]
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+__all__ = ["batch_rows", "GROUP_BYTES", "byte_groups", "held_out", "map_texts", "new_folder", "ship_package", "store", "table"]
 
 
 _shipped: set[str] = set()
@@ -40,9 +43,22 @@ def ship_package(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             out.write(path, str(path.relative_to(root.parent)))
     context.addPyFile(archive)
+    if spark.conf.get(BATCH) == "10000":  # Spark's default; texts can be long
+        spark.conf.set(BATCH, "1000")
     _shipped.add(context.applicationId)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ebbline.llm import decontamination, language, pii, quality, token_counts, warc
+from ebbline.llm import block_search, decontamination, language, pii, quality, token_counts, warc
 from ebbline.llm.common import held_out, table
 
 
@@ -31,6 +32,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = block_search.codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return block_search.top_k(rows, is_query=F.col("id") % 20 == 0, k=20)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language.fit(docs, "text", "lang", learn=~held_out(), key="doc_id")
@@ -55,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_quality": op3_quality,
         "op4_token_counts": op4_token_counts,
+        "op5_block_search": op5_block_search,
         "op7_language": op7_language,
         "op9_warc": op9_warc,
         "op10_pii": op10_pii,
@@ -62,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op9_warc": OP9}
+    return {"op2_decontamination": OP2, "op5_block_search": OP5, "op9_warc": OP9}
 
 
 OP2 = r"""
@@ -95,3 +102,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """
+
+OP5 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.c, d.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e q, e d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
