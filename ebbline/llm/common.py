@@ -100,7 +100,7 @@ def map_texts(
         for batch in batches:
             for part in byte_groups(batch, len(keep), group_bytes):
                 columns = work(part.column(len(keep)).to_pylist())
-                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=schema.names)
 
     return source.mapInArrow(run, schema)
