@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import block_search, decontamination, jaccard_join, language, pii, quality, token_counts, warc
+from ebbline.llm import block_search, decontamination, jaccard_join, language, line_dedup, pii, quality, segmentation, token_counts, warc
 from ebbline.llm.common import held_out, table
 
 
@@ -22,6 +22,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segmentation.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    one = found.select("doc_id", F.explode_outer("samples").alias("s"))
+    return one.select(
+        "doc_id", "s.rank", F.size("s.ids").alias("n_ids"), F.xxhash64("s.ids").alias("ids_hash"), "s.log_prob", "s.perturbed", "s.inclusion", "s.exact",
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +59,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -62,12 +75,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_segmentation": op1_segmentation,
         "op2_decontamination": op2_decontamination,
         "op3_quality": op3_quality,
         "op4_token_counts": op4_token_counts,
         "op5_block_search": op5_block_search,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_language": op7_language,
+        "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_pii": op10_pii,
     }
