@@ -398,7 +398,7 @@ def top_segmentations(lattices: Lattices, words: list[np.ndarray], keys: np.ndar
             node = lattices.entry[flat[starts[texts][row] + word]]
             branch = np.array([x[4] for x in ready])
             node[inside == 0] = lattices.source[branch] + lattices.step[branch].astype(np.int64)
-            tail_counts, tails = lattices.sample(node, keys[texts][row], (word.astype(np.uint64) << np.uint64(24)) + np.uint64(number << 16))
+            tail_counts, tails = lattices.sample(node, keys[texts][row], (word.astype(np.uint64) << np.uint64(24)) + (done[texts][row].astype(np.uint64) << np.uint64(16)))
             tail_words = np.repeat(word, tail_counts)
             per = np.zeros(len(texts), np.int64)
             np.add.at(per, row, tail_counts)
