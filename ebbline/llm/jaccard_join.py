@@ -5,7 +5,8 @@ order of all tokens.  Orders used: token hash (a first filter on documents), fre
 makes the candidates), hash from the other end (joins the hash order in sifting candidates before
 they are verified).  Equal sets are one node from the start.
 
-Candidates of a token do not become all pairs: first every set meets the least one of the token;
+Candidates of a token do not become all pairs: first every set meets the token's lead, the set with
+the smallest share of tokens that no other has (of a group of edited copies, the one edited least);
 verified links join into components, and only pairs across components are formed then.
 """
 
@@ -143,7 +144,7 @@ def token_sets(docs: DataFrame, chosen: DataFrame, text: str, doc_id: str) -> Da
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, place): the prefix under the order (frequency, hash), tokens of two sets or more.
+    """(token, node, n, alone, place): the prefix under the order (frequency, hash), tokens of two sets or more.
 
     Tokens that only one set has come first in its order and can match nothing; a set whose prefix has
     no others drops out.
@@ -154,7 +155,7 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     alone = "n - size(common)"
     size = f"n - (n * {percent} + 99) div 100 + 1"
     cut = gathered.select("node", "n", F.expr(alone).alias("alone"), F.expr(f"slice(common, 1, CAST(greatest({size} - ({alone}), 0) AS INT))").alias("first"))
-    return cut.select("node", "n", "alone", F.posexplode("first").alias("at", "t")).select(F.col("t.token").alias("token"), "node", "n", (F.col("alone") + F.col("at")).alias("place"))
+    return cut.select("node", "n", "alone", F.posexplode("first").alias("at", "t")).select(F.col("t.token").alias("token"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("place"))
 
 
 def possible(percent: int) -> str:
@@ -205,7 +206,8 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 def link(buckets: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
     """(a, b): verified links that connect all that link, not every pair of a tight group."""
     token = Window.partitionBy("token")
-    first = buckets.withColumn("lead", F.min(F.struct("node", "n", "place")).over(token)).filter("lead.node <> node")
+    lead = F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "node", "n", "place")).over(token)
+    first = buckets.withColumn("lead", lead).filter("lead.node <> node")
     near = first.select("node", F.col("n").alias("bn"), F.col("place").alias("bplace"), F.col("lead.node").alias("a"), F.col("lead.n").alias("an"), F.col("lead.place").alias("aplace"))
     pairs = store(near.filter(possible(percent)).select("a", F.col("node").alias("b")).distinct(), folder, "lead_pairs")
     links = store(verified(pairs, sets, percent), folder, "lead_links")
