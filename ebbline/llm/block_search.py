@@ -72,35 +72,36 @@ class Shard:
         data, wanted = self.codes.astype(kind), queries.astype(kind)
         bounds = np.maximum(wanted, 0) @ self.high.astype(kind).T + np.minimum(wanted, 0) @ self.low.astype(kind).T
         order = np.argsort(-bounds, axis=1, kind="stable")
-        least = np.iinfo(np.int64).min
-        best = np.full((len(ids), k), least)
-        limit, out = floor.copy(), []
-        alive = np.arange(len(ids))
-        for turn in range(len(self.starts)):
-            block = order[alive, turn]
-            going = bounds[alive, block] >= limit[alive]
-            alive, block = alive[going], block[going]  # later blocks of the others have lower bounds
-            if not len(alive):
-                break
-            by_block = np.argsort(block, kind="stable")
-            for some in np.split(by_block, np.flatnonzero(np.diff(block[by_block])) + 1):
-                rows, start = alive[some], int(self.starts[block[some[0]]])
-                scores = (wanted[rows] @ data[start : start + BLOCK_ROWS].T).astype(np.int64)
-                own = self.ids[None, start : start + BLOCK_ROWS] == ids[rows, None]
-                good = (scores >= limit[rows, None]) & ~own
-                q, d = np.nonzero(good)
-                out.append((rows[q], self.ids[start + d], scores[q, d]))
-                both = np.concatenate([best[rows], np.where(good, scores, least)], axis=1)
-                best[rows] = -np.partition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else both
-                limit[rows] = np.maximum(limit[rows], best[rows].min(axis=1))
-        q, d, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        keep = s >= limit[q]
-        q, d, s = q[keep], d[keep], s[keep]
-        order = np.lexsort((d, -s, q))
-        q, d, s = q[order], d[order], s[order]
-        first = np.searchsorted(q, q)
-        top = np.arange(len(q)) - first < k
-        return q[top], d[top], s[top], limit
+        limit, (q, d, s) = floor.copy(), (np.zeros(0, np.int64),) * 3
+        alive, done, step = np.arange(len(ids)), 0, 1
+        while len(alive) and done < len(self.starts):
+            # each query's next blocks, as many again as before; those behind the first hopeless one are hopeless too
+            block = order[alive, done : done + step]
+            row, turn = np.nonzero(np.take_along_axis(bounds[alive], block, 1) >= limit[alive, None])
+            found = [(q, d, s)]
+            chosen, rows = block[row, turn], alive[row]
+            by_block = np.argsort(chosen, kind="stable")
+            for some in np.split(by_block, np.flatnonzero(np.diff(chosen[by_block])) + 1) if len(chosen) else ():
+                asking, start = rows[some], int(self.starts[chosen[some[0]]])
+                scores = wanted[asking] @ data[start : start + BLOCK_ROWS].T
+                x, y = np.nonzero(scores >= limit[asking, None].astype(kind))
+                other = self.ids[start + y] != ids[asking[x]]
+                x, y = x[other], y[other]
+                found.append((asking[x], self.ids[start + y], scores[x, y].astype(np.int64)))
+            q, d, s = first_k(*(np.concatenate(x) for x in zip(*found)), k)
+            full = np.flatnonzero(np.bincount(q, minlength=len(ids)) == k)
+            limit[full] = np.maximum(limit[full], s[np.searchsorted(q, full, side="right") - 1])
+            alive = alive[np.bincount(row, minlength=len(alive)) == block.shape[1]]
+            done, step = done + step, done + step
+        return q, d, s, limit
+
+
+def first_k(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k highest scores, ties to the smaller id; sorted by query."""
+    order = np.lexsort((d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], d[top], s[top]
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -144,7 +145,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         ids, found = np.asarray(table["id"]), matrix(table["code"].combine_chunks(), width)
         asked = np.asarray(table["is_query"].fill_null(False))
         floors = np.full(asked.sum(), np.iinfo(np.int64).min)
-        if asked.any() and width:
+        if asked.any() and width and k:
             floors = Shard(ids, found).search(ids[asked], found[asked], floors, k)[3]
         data, kind = pack(found)
         row = {"shard": table["shard"][0].as_py(), "ids": ids.tobytes(), "codes": data, "kind": kind, "q_ids": ids[asked].tobytes(), "q_codes": found[asked].astype(kind).tobytes(), "floors": floors.tobytes()}
