@@ -91,7 +91,11 @@ def dictionary(records: DataFrame, samples: int = 2000, sample_bytes: int = 16 <
     Empty where the sample is too small to train on.
     """
     chosen = records.select("page_id", "url", "payload_digest", F.substring("payload", 1, sample_bytes).alias("payload"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit("dictionary"), "page_id"), "payload_digest").limit(samples)
+    mixed = F.xxhash64(F.lit("dictionary"), "page_id")
+    share = 4 * samples / max(1, records.count())  # leaves some times the sample, so that little is sorted
+    if share < 1:
+        chosen = chosen.filter(F.pmod(mixed, F.lit(1_000_000_007)) < int(share * 1_000_000_007))
+    chosen = chosen.orderBy(mixed, "payload_digest").limit(samples)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -216,7 +220,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = manifest.select("path", F.col("n_bytes").alias("size")).repartition("path")
+    tasks = max(1, min(manifest.count(), 8 * manifest.sparkSession.sparkContext.defaultParallelism))
+    files = manifest.select("path", F.col("n_bytes").alias("size")).repartition(tasks, "path")
     return files.mapInArrow(load, fields)
 
 
