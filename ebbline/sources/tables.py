@@ -15,10 +15,13 @@ from ebbline.schemas import CHARGE, CUTOFFS, LOCATION, METER, OCCUPANT, TABLES
 def open_table(
     spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    """A stored table with an explicit schema (no inference) and NULL for NaN."""
+    """A stored table with an explicit schema (no inference) and NULL for NaN.
+
+    A CSV cell that does not parse stops the read instead of becoming NULL.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("mode", "FAILFAST")
     return null_for_nan(reader.format(fmt).load(path))
 
 
