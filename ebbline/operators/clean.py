@@ -214,7 +214,7 @@ def _spread(volume: DataFrame) -> DataFrame:
 def _drop_outliers(labelled: DataFrame, spread: DataFrame, limit: float) -> DataFrame:
     ends = spread.select(
         "occupant_id", "_mean", "_std",
-        F.lit(FIRST_DAY).cast("timestamp_ntz").alias("_lo"),
+        F.lit(UNDATED).cast("timestamp_ntz").alias("_lo"),
         F.lit(LAST_DAY).cast("timestamp_ntz").alias("_hi"),
     )
     known = spread_over_slices(ends, labelled, "occupant_id", "_lo", "_hi").drop("_lo", "_hi")

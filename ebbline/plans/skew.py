@@ -5,10 +5,10 @@ A plain ``Window.partitionBy(customer).orderBy(date)`` sends a whole customer to
 over the key column).  If no customer has more than ``HOT_ROWS`` records, the plain window
 is right and the plan stays as simple as that.  Otherwise these customers are cut into
 calendar days ("slices"): the window runs per (customer, slice), and what earlier slices
-contribute (a row count, a last value) comes from one pre-aggregated row per slice.
+contribute (a row count, a last value) comes from one pre-aggregated row per slice.  Rows
+without a date have a slice of their own, which comes first, as NULL does in an ascending order.
 
-The list of hot customers is written to the shared folder and broadcast; it holds at most
-``rows / HOT_ROWS`` keys, a million for 10**12 records.
+The list of hot customers is written to the shared folder, counted, and broadcast if it is small.
 """
 
 from __future__ import annotations
@@ -23,12 +23,20 @@ from ebbline.sources.warehouse import new_folder, store
 HOT_ROWS = 1_000_000
 SLICE = "_slice"
 WHOLE = "1600-01-01"  # the slice of a customer that is not cut
+UNDATED = "0001-01-01"  # the slice of a hot customer's rows without a date: before all others
+#: Keys of a list that may be broadcast; beyond that the join's sides are left to adaptive execution.
+BROADCAST_KEYS = 1_000_000
 
 
 def whole() -> Column:
     return F.lit(WHOLE).cast("date")
 
 
+def bounded(keys: DataFrame) -> DataFrame:
+    """The stored key list, with a broadcast hint if it is counted to be small enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def keys_above(counts: DataFrame, key: str, limit: int) -> DataFrame | None:
     """The keys whose count ``n`` exceeds the limit, stored; None if there are none."""
     above = counts.filter(F.col("n") > limit).select(key)
@@ -50,8 +58,8 @@ def slice_hot_keys(
     if hot is None:
         return df
     return (
-        df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-        .withColumn(SLICE, F.when(F.col("_hot"), F.to_date(ts)).otherwise(whole()))
+        df.join(bounded(hot).withColumn("_hot", F.lit(True)), key, "left")
+        .withColumn(SLICE, F.when(F.col("_hot"), F.coalesce(F.to_date(ts), F.lit(UNDATED).cast("date"))).otherwise(whole()))
         .drop("_hot")
     )
 
