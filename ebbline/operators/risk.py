@@ -67,7 +67,8 @@ def dashboard_table(features: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def at_risk(risk: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    return risk.filter(F.col("p_cutoff") >= float(threshold))
+    """Customers at or above the threshold.  No score, or NaN (which Spark orders above all), is not."""
+    return risk.filter((F.col("p_cutoff") >= float(threshold)) & ~F.isnan("p_cutoff"))
 
 
 def predicted_cutoffs(risk: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -121,13 +122,14 @@ def category_share(
 def customer_table(
     risk: DataFrame,
     threshold: float = DEFAULT_THRESHOLD,
-    limit: int = 1000,
+    limit: int | None = None,
     digits: int = 2,
     long_names: bool = True,
 ) -> DataFrame:
-    """The report: most likely first, ten columns, at most ``limit`` rows (a top-k, no full sort)."""
+    """The report: most likely first, ten columns; with ``limit`` a top-k instead of a full sort."""
     rounded = ["p_cutoff", "mean_charge_tot", "mean_charge_late", "mean_vol", "f_late"]
-    top = at_risk(risk, threshold).orderBy(F.desc("p_cutoff"), "location_id").limit(limit)
+    top = at_risk(risk, threshold).orderBy(F.desc("p_cutoff"), "location_id")
+    top = top if limit is None else top.limit(limit)
     shown = top.select(*[
         F.bround(c, digits).alias(c) if c in rounded else F.col(c) for c in CUSTOMER_COLUMNS
     ])
