@@ -11,7 +11,7 @@ from ebbline.functions.columns import assemble_date, late_flag, month_of, null_f
 from ebbline.plans.intervals import ARRAY_LIMIT, latest_covering
 from ebbline.plans.skew import (
     HOT_ROWS, SLICE, earlier_slices, first_per_key, is_sliced, rank_in_series, slice_hot_keys,
-    slice_keys, sliced_only, spread_over_slices,
+    slice_keys, sliced_only, spread_over_slices, UNDATED,
 )
 from ebbline.schemas import CHARGE_DATA, VOLUME_DATA
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbline.functions.columns import assemble_date, occupant_key, whole_mean_months
 from ebbline.operators import clean
@@ -126,6 +127,25 @@ def test_interpolation_leading_inner_trailing(spark, hot_rows):
     assert [r[-1] for r in out] == [None, 2.0, 4.0, 6.0, 8.0, 8.0, 8.0]
 
 
+@pytest.mark.parametrize("hot_rows", [1, 2, 10**6])
+def test_undated_readings_of_hot_customers(spark, hot_rows):
+    data = [("1-001", 1, 10, 0, None, 2.0)] + [("1-001", 1, 10, i, f"2000-01-{i:02d}", v) for i, v in ((1, None), (2, 100.0))]
+    df = frame(spark, data, VOLUME)
+    out = rows(clean.interpolate_readings(df, hot_rows=hot_rows), "charge_id")
+    assert [r[-1] for r in out] == [2.0, 51.0, 100.0]  # the undated one comes first
+    many = [("1-001", 1, 10, i, "2000-01-01", 0.0) for i in range(40)] + [("1-001", 1, 10, 99, None, 1e6)]
+    out = clean.null_outliers(frame(spark, many, VOLUME), hot_rows=hot_rows)
+    assert [r["charge_id"] for r in out.filter("volume_kgals IS NULL").collect()] == [99]
+
+
+def test_csv_with_a_bad_cell_stops(spark, tmp_path):
+    from ebbline.sources.tables import open_table
+
+    (tmp_path / "c.csv").write_text("a,b\n1,2000-01-01\nx,2000-13-45\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        open_table(spark, str(tmp_path / "c.csv"), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.DateType())]), "csv").collect()
+
+
 def test_interpolation_stays_inside_a_customer_and_keeps_leftovers(spark):
     df = readings(spark, [1.0, None], "1-001").unionByName(readings(spark, [None, 9.0], "2-001")).unionByName(
         readings(spark, [None, 3.0, None], None)
