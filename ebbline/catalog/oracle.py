@@ -93,6 +93,8 @@ CTES |= {
         FROM charge_l""",
     "lens": "SELECT CAST(unnest([{LENS}]) AS INTEGER) AS n",
 }
+#: Joined with themselves or used more than once: computed once whatever the planner would choose.
+STORED = ("volume_p", "volume_b", "volume_i", "volume_c")
 
 
 def _profile(table: str, ts: str, ref: str, value: str | None) -> str:
@@ -406,7 +408,7 @@ def with_ctes(select: str, lens: tuple[int, ...] = (6,)) -> str:
 
     visit(select)
     parts = [
-        f"{name} AS ({CTES[name].replace('{LENS}', ', '.join(map(str, lens)))})"
+        f"{name} AS {'MATERIALIZED ' if name in STORED else ''}({CTES[name].replace('{LENS}', ', '.join(map(str, lens)))})"
         for name in CTES if name in needed
     ]
     return f"WITH {', '.join(parts)}\n{select}" if parts else select

@@ -1085,7 +1085,7 @@ def _(spark, sf):
            {', '.join(f'round({c}, 4) AS {c}' for c in ('p_cutoff', 'mean_charge_tot', 'mean_charge_late', 'mean_vol', 'f_late'))}
     FROM above ORDER BY above.p_cutoff DESC, location_id LIMIT 1000""")
 def _(spark, sf):
-    return risk.customer_table(_risk(spark, sf), THRESHOLD, digits=4, long_names=False)
+    return risk.customer_table(_risk(spark, sf), THRESHOLD, limit=1000, digits=4, long_names=False)
 
 
 def queries() -> dict[str, Query]:

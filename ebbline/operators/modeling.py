@@ -318,9 +318,12 @@ def train_logistic(train: DataFrame, options: ModelOptions) -> Trained:
 
 
 def train_forest(train: DataFrame, options: ModelOptions) -> Trained:
-    """Random forests over the depth grid."""
+    """Random forests over the depth grid.  A category needs a bin, and so do unseen ones."""
+    categorical = [c for c in options.features if c in CATEGORICAL]
+    sizes = train.agg(*[F.countDistinct(c) for c in categorical]).first() if categorical else ()
+    bins = max([64, *(n + 1 for n in sizes)])
     estimator = _weighted(
-        RandomForestClassifier(labelCol=LABEL, numTrees=options.trees, seed=options.seed, maxBins=64),
+        RandomForestClassifier(labelCol=LABEL, numTrees=options.trees, seed=options.seed, maxBins=bins),
         train,
     )
     grid = ParamGridBuilder().addGrid(estimator.maxDepth, list(options.max_depths)).build()
@@ -353,10 +356,10 @@ TRAINERS = {"logistic_regression": train_logistic, "random_forest": train_forest
 
 
 def score(model: PipelineModel, table: DataFrame) -> DataFrame:
-    """Key, label if there is one, and the probability of class 1."""
+    """Key, label if there is one, and the probability of class 1; NULL where an input is missing to the model."""
     kept = [c for c in [*KEY, LABEL, "subset", "stratum"] if c in table.columns]
     return model.transform(table).select(
-        *kept, vector_to_array("probability")[1].alias("p_cutoff")
+        *kept, F.nanvl(vector_to_array("probability")[1], F.lit(None).cast("double")).alias("p_cutoff")
     )
 
 

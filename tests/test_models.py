@@ -98,6 +98,26 @@ def test_models_learn_a_separable_problem(spark, prepared, options, kind):
     assert abs(coefs["f_late"]) == max(abs(v) for k, v in coefs.items() if k != "Intercept")
 
 
+def test_forest_with_many_categories(spark):
+    wide = modeling.ModelOptions(trees=2, folds=2, max_depths=(2,), n_samples=(6,), with_meta=True)
+    table = training(spark).withColumns({
+        "cust_type_code": F.lit("R"), "meter_size": F.lit("1"),
+        "municipality": F.concat(F.lit("m"), F.expr("pmod(xxhash64(occupant_id), 200)")),
+    })
+    train = modeling.prepare_training(table, wide, warehouse.new_folder(spark, "wide"), "p").filter("subset = 'train'")
+    assert train.select("municipality").distinct().count() > 64
+    assert modeling.train_forest(train, wide).cv_auc is not None
+
+
+def test_missing_input_gives_no_score_and_no_risk(spark, prepared, options):
+    trained = modeling.train_logistic(prepared.filter("subset = 'train'"), options)
+    short = prepared.limit(3).withColumn("f_zero_vol", F.lit(None).cast("double"))
+    scored = modeling.score(trained.model, short)
+    assert scored.filter("p_cutoff IS NULL").count() == 3
+    nan = spark.createDataFrame([(float("nan"),), (None,), (60.0,), (40.0,)], "p_cutoff double")
+    assert [r[0] for r in risk.at_risk(nan, 50).collect()] == [60.0]
+
+
 def test_plain_logistic_has_p_values(spark, prepared):
     got = {r["name"]: r["p_value"] for r in modeling.train_logistic_pvalues(
         prepared.filter("subset = 'train'"), modeling.BASIC).collect()}
