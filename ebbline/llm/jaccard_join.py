@@ -25,7 +25,11 @@ from ebbline.llm.components import connected
 WORDS = 5
 #: Two sets link when 100 * |both| >= PERCENT * |either|.
 PERCENT = 80
-REMEMBERED = 1_000_000
+#: Words a worker keeps hashes of (some 200 bytes each).
+REMEMBERED = 200_000
+#: Texts of sets that may link are found by a broadcast of their 64-bit hashes up to so many (some 60
+#: bytes each); beyond that all texts are shuffled to them.
+BROADCAST_KEYS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -77,7 +81,7 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, percent: int, keep: Sequence[str], text: str) -> DataFrame:
-    """keep, n, node (hash of the set, null for none) and the extended prefix under the hash order.
+    """keep, same (hash of the text), n, node (hash of the set, null for none) and the extended prefix under the hash order.
 
     Extended by a quarter: linked sets then share several tokens of it (see ``needed``).
     """
@@ -94,7 +98,8 @@ def sketches(docs: DataFrame, percent: int, keep: Sequence[str], text: str) -> D
 
         return work
 
-    return map_texts(docs, keep, text, "n long, node long, prefix array<long>", make)
+    known = docs.withColumn("same", F.xxhash64(F.col(text).cast("string")))
+    return map_texts(known, [*keep, "same"], text, "n long, node long, prefix array<long>", make)
 
 
 def shared_least(n: int, percent: int) -> int:
@@ -106,7 +111,7 @@ def extended(n: int, percent: int) -> int:
 
 
 def suspects(rows: DataFrame, percent: int) -> DataFrame:
-    """(node, n, doc_id): sets that may link, by the hash order alone.
+    """(node, n, doc_id, same): sets that may link, by the hash order alone, each with one row that has it.
 
     Sets that link share, of their extended prefixes, as many tokens as the smaller one's extension
     counts; so a set needs that many tokens that another set's prefix has too.  Copies of a set count
@@ -117,16 +122,21 @@ def suspects(rows: DataFrame, percent: int) -> DataFrame:
     window = Window.partitionBy("token")
     seen = tokens.withColumns({"low": F.min("node").over(window), "high": F.max("node").over(window)}).filter("low <> high")
     shared = seen.groupBy("node").agg(F.count("*").alias("shared"))
-    nodes = valid.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    nodes = valid.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("row"), F.max("n").alias("n"), F.count("*").alias("copies"))
     smaller = F.expr(f"(n * {percent} + 99) div 100")
     needed = F.ceil((smaller - F.expr(f"((n * {percent} + 99) div 100 * {percent} + 99) div 100") + 1) / 4)
     both = nodes.join(shared, "node").filter(F.col("shared") >= needed * F.col("copies"))
-    return both.select("node", "n", "doc_id")
+    return both.select("node", "n", "row.doc_id", "row.same")
 
 
 def token_sets(docs: DataFrame, chosen: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(node, n, tokens): the whole sets of the chosen nodes, one row each."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = texts.withColumn("same", F.xxhash64("text"))
+    if chosen.count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(chosen.select("same").distinct()), "same", "left_semi")
+    # rows that repeat id and text meet in one task by the join; no shuffle more
+    texts = texts.join(chosen, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
 
     def make() -> Callable[[list[str | None]], Sequence]:
         shingle = Shingler()
@@ -135,12 +145,11 @@ def token_sets(docs: DataFrame, chosen: DataFrame, text: str, doc_id: str) -> Da
             sets = [shingle(t) for t in texts]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            return [set_id(s) if len(s) else None for s in sets], pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))
+            return (pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64())),)
 
         return work
 
-    found = map_texts(texts, ["node", "n"], "text", "own long, tokens array<long>", make)
-    return found.filter("own = node").drop("own").dropDuplicates(["node"])
+    return map_texts(texts, ["node", "n"], "text", "tokens array<long>", make)
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
