@@ -172,13 +172,14 @@ def test_one_large_group_is_not_all_pairs(shipped):
     sets = jaccard_join.token_sets(df, jaccard_join.suspects(jaccard_join.sketches(df, 80, ["doc_id"], "text"), 80), "text", "doc_id")
     links = jaccard_join.link(jaccard_join.rare_prefixes(sets, 80), sets, 80, folder)
     pairs = [shipped.read.parquet(f"{folder}/{n}").count() for n in ("lead_pairs", "cross_pairs")]
-    assert links.count() >= 250 and sum(pairs) < 10 * len(rows)
+    texts = len({t for _, t in rows})  # equal texts are one node from the start
+    assert links.count() >= texts - 1 and sum(pairs) < 10 * len(rows)
     assert sorted(tuple(r) for r in jaccard_join.classes(df).collect()) == components_of(rows)
 
 
 def test_near_copies_of_odd_rows(odd, nothing):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(odd).collect()}
-    assert {(1, 13, 1), (6, 13, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 1, 5), (None, 13, None), (9, 3, 9)} <= rows
+    assert {(1, 14, 1), (6, 14, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 1, 5), (None, 14, None), (9, 3, 9)} <= rows
     assert jaccard_join.classes(odd).count() == len(ODD)
     assert jaccard_join.classes(nothing).count() == 0
 
