@@ -199,7 +199,7 @@ def fit(df: DataFrame, text: str, label: str, learn: Column, key: str, per_langu
     counts = labelled.groupBy(F.col(label).alias("language")).agg(F.count("*").alias("all"))
     part = F.pmod(F.xxhash64(F.lit("part"), key), F.lit(1_000_000_007))  # few more rows than wanted are ranked
     # a row per language, as the network's output layer has
-    labelled = labelled.join(F.broadcast(counts), F.col(label) == F.col("language")).filter(part * F.col("all") <= F.lit(4 * per_language * 1_000_000_007))
+    labelled = labelled.join(F.broadcast(counts), F.col(label) == F.col("language")).filter(part <= F.lit(4.0 * per_language * 1_000_000_007) / F.col("all"))
     rows = labelled.select(
         F.col(label).alias("label"), mixed.alias("mixed"), F.substring(text, start.cast("int"), F.lit(crop)).alias("crop"),
     )
