@@ -29,7 +29,7 @@ SPACE = "▁"
 #: Symbols of a character that is no piece: its bytes, each one above all code points.
 BYTES_FROM = 0x110000
 #: Words a worker keeps lattices of (some 700 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Places behind a branch whose alternatives are looked at at once; the rest wait as one set.
 AHEAD = 4
 SAMPLES = "samples array<struct<rank: int, ids: array<int>, log_prob: double, perturbed: double, inclusion: double, exact: boolean>>"
@@ -460,7 +460,7 @@ def encode_group(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
 
 def sample_segmentations(
     df: DataFrame, model_path: str, k: int = 2, key: str = "doc_id", keep: Sequence[str] = ("doc_id",), text: str = "text",
-    seed: int = 1, alpha: float = 1.0, check: bool = True, group_bytes: int = 2 << 20,
+    seed: int = 1, alpha: float = 1.0, check: bool = True, group_bytes: int = 1 << 20,
 ) -> DataFrame:
     """``keep`` with ``samples``: up to k distinct segmentations per row, highest perturbed value first.
 
