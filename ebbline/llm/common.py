@@ -24,7 +24,7 @@ GROUP_BYTES = 4 << 20
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-__all__ = ["batch_rows", "GROUP_BYTES", "byte_groups", "held_out", "map_texts", "new_folder", "ship_package", "store", "table"]
+__all__ = ["batch_rows", "GROUP_BYTES", "byte_groups", "fresh", "held_out", "map_texts", "new_folder", "ship_package", "store", "table"]
 
 
 _shipped: set[str] = set()
@@ -64,6 +64,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of the table is called so in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Rows of the test fold: crc32 of the id as text leaves no remainder by five (a null id is in it)."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

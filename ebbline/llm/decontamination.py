@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.llm.common import fresh
+
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -98,23 +100,25 @@ def remove(
     """The input's columns without what the test items contaminate.
 
     ``documents`` leaves out every contaminated row; ``spans`` keeps all rows and takes the words
-    under a hit out of the text (what stands between words stays).  Other rows and columns stay as
-    they are, nulls and repeated rows included.
+    under a hit out of the text (what stands between words stays).  Words that come together where a
+    hit was taken out can form a window that the given text did not have; it stays.  Other rows and
+    columns stay as they are, whatever their names, nulls and repeated rows included.
     """
-    keyed = docs.withColumn("__hash", F.xxhash64(text))
+    if mode not in ("documents", "spans"):
+        raise ValueError(f"mode is documents or spans, not {mode}")
+    own, other, ident, runs, found_words, gaps = fresh(docs, "hash", "same", "id", "runs", "words", "gaps")
+    keyed = docs.withColumn(own, F.xxhash64(text))
     found = hits(
-        keyed.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"), "__hash"),
-        test_windows(items, window=window), ["__id", "__hash"],
-    ).filter(F.size("runs") > 0).select("__id", F.col("__hash").alias("__same"), "runs")
-    match = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same"))
+        keyed.select(F.col(doc_id).alias(ident), F.col(text).alias("text"), F.col(own).alias(other)),
+        test_windows(items, window=window), [ident, other],
+    ).filter(F.size("runs") > 0).select(ident, other, F.col("runs").alias(runs))
+    match = F.col(doc_id).eqNullSafe(F.col(ident)) & (F.col(own) == F.col(other))
     if mode == "documents":
-        return keyed.join(found, match, "left_anti").drop("__hash")
-    if mode != "spans":
-        raise ValueError(f"mode is documents or spans, not {mode}")
+        return keyed.join(found, match, "left_anti").select(*docs.columns)
     marked = keyed.join(found, match, "left").withColumns({
-        "__words": F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0)), "__gaps": F.split(text, ANY_CASE_WORD, -1),
+        found_words: F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0)), gaps: F.split(text, ANY_CASE_WORD, -1),
     })
-    kept = "transform(__words, (w, i) -> if(exists(runs, r -> i + 1 BETWEEN r.place AND r.place + r.size - 1), '', w))"
-    rebuilt = F.expr(f"array_join(zip_with(__gaps, {kept}, (g, w) -> concat(coalesce(g, ''), coalesce(w, ''))), '')")
-    clean = F.when(F.col("runs").isNull(), F.col(text)).otherwise(rebuilt)
+    kept = f"transform({found_words}, (w, i) -> if(exists({runs}, r -> i + 1 BETWEEN r.place AND r.place + r.size - 1), '', w))"
+    rebuilt = F.expr(f"array_join(zip_with({gaps}, {kept}, (g, w) -> concat(coalesce(g, ''), coalesce(w, ''))), '')")
+    clean = F.when(F.col(runs).isNull(), F.col(text)).otherwise(rebuilt)
     return marked.withColumn(text, clean).select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbline.llm.common import byte_groups, new_folder, store
+from ebbline.llm.common import byte_groups, fresh, new_folder, store
 
 #: A repeated run counts from so many words on.
 MIN_WORDS = 50
@@ -155,11 +155,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     folder = new_folder(docs.sparkSession, "lines")
     given = docs.drop("n_lines", "n_removed")
-    keyed = given.withColumn("__hash", F.xxhash64(text))
-    named = keyed.select(F.col(doc_id).alias("doc_id"), F.col("__hash").alias("hash"), F.col(text).alias("text"))
-    runs = repeated_runs(named, min_words, folder).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__same"), F.col("runs").alias("__runs"))
-    match = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__same"))
-    joined = keyed.join(runs, match, "left").select(*given.columns, "__runs")
+    own, other, ident, spans_of = fresh(given, "hash", "same", "id", "runs")
+    keyed = given.withColumn(own, F.xxhash64(text))
+    named = keyed.select(F.col(doc_id).alias("doc_id"), F.col(own).alias("hash"), F.col(text).alias("text"))
+    runs = repeated_runs(named, min_words, folder).select(F.col("doc_id").alias(ident), F.col("hash").alias(other), F.col("runs").alias(spans_of))
+    match = F.col(doc_id).eqNullSafe(F.col(ident)) & (F.col(own) == F.col(other))
+    joined = keyed.join(runs, match, "left").select(*given.columns, spans_of)
     at, width = given.columns.index(text), len(given.columns)
     schema = T.StructType([*given.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
