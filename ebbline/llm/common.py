@@ -99,20 +99,24 @@ def map_texts(
     """The kept columns and those that ``make()(texts)`` returns, one value per text, in order.
 
     ``make`` runs once in a task.  A kept column with the name of a result gives way to the result.
+    A kept text travels once.
     """
+    ship_package(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     keep = [c for c in keep if c not in new.names]
-    source = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *new.fields])
-    kinds = [pa_type(f.dataType) for f in new.fields]
+    given = text in keep and isinstance(df.schema[text].dataType, T.StringType)
+    (name,) = fresh(df, "text")
+    source = df.select(*keep) if given else df.select(*keep, F.col(text).cast("string").alias(name))
+    schema = T.StructType([*source.schema.fields[: len(keep)], *new.fields])
+    kinds, at = [pa_type(f.dataType) for f in new.fields], keep.index(text) if given else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in byte_groups(batch, len(keep), group_bytes):
-                columns = work(part.column(len(keep)).to_pylist())
+            for part in byte_groups(batch, at, group_bytes):
+                columns = work(part.column(at).to_pylist())
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *arrays], names=schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ def op1_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segmentation.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     one = found.select("doc_id", F.explode_outer("samples").alias("s"))
     return one.select(
-        "doc_id", "s.rank", F.size("s.ids").alias("n_ids"), F.xxhash64("s.ids").alias("ids_hash"), "s.log_prob", "s.perturbed", "s.inclusion", "s.exact",
+        "doc_id", "s.rank", "s.ids", F.size("s.ids").alias("n_ids"), F.xxhash64("s.ids").alias("ids_hash"), "s.log_prob", "s.perturbed", "s.inclusion", "s.exact",
     )
 
 

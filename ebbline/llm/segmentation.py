@@ -14,6 +14,7 @@ its words' lattices, and a word's lattice is built once.  All texts of a group a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -26,10 +27,17 @@ from pyspark.sql import types as T
 from ebbline.llm.common import byte_groups
 
 SPACE = "▁"
+WORDS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
 #: Symbols of a character that is no piece: its bytes, each one above all code points.
 BYTES_FROM = 0x110000
-#: Words a worker keeps lattices of (some 700 bytes each).
-REMEMBERED = 100_000
+#: Bytes of lattices that a task remembers between groups, and what an edge and a word take.
+LATTICE_BYTES, EDGE_BYTES, WORD_BYTES = 48 << 20, 25, 200
+#: Logarithms are multiples of 1 / FINE, some 2e-10.
+FINE = 2.0**32
+#: Characters of new words whose lattices are built at once.
+PART = 30_000
+#: Fewer words or places than this are advanced one by one.
+FEW = 6
 #: Places behind a branch whose alternatives are looked at at once; the rest wait as one set.
 AHEAD = 4
 SAMPLES = "samples array<struct<rank: int, ids: array<int>, log_prob: double, perturbed: double, inclusion: double, exact: boolean>>"
@@ -49,6 +57,19 @@ def uniform(keys: np.ndarray, counters: np.ndarray) -> np.ndarray:
     return (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+def draw(streams, turn) -> np.ndarray:
+    """Numbers between 0 and 1, the given turns of streams of draws."""
+    with np.errstate(over="ignore"):
+        bits = spread(streams + np.asarray(turn).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+def word_streams(keys: np.ndarray, place: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """A stream of draws for each word of each sample of a row."""
+    with np.errstate(over="ignore"):
+        return spread(spread(spread(keys) + place.astype(np.uint64)) + sample.astype(np.uint64))
+
+
 def gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
@@ -84,30 +105,44 @@ class Vocabulary:
         self.text_starts = np.cumsum(self.text_sizes) - self.text_sizes
         self.texts = np.frombuffer(b"".join(texts), np.uint8)
         self.longest = max(map(len, pieces.values()))
-        found: list[dict[int, int]] = [{} for _ in range(self.longest + 1)]
+        found: dict[int, int] = {}
         for k, p in pieces.items():
             h = np.uint64(0)
-            for n, c in enumerate(p, 1):
+            for c in p:
                 h = self.extend(h, np.uint64(ord(c)))
-                found[n].setdefault(int(h), -1)
-            found[len(p)][int(h)] = k
-        self.tables = []
-        for table in found:
-            hashes = np.array(sorted(table), np.uint64)
-            self.tables.append((hashes, np.array([table[int(h)] for h in hashes], np.int32)))
+                found.setdefault(int(h), -1)
+            found[int(h)] = k
+        # open addressing; a slot that is free ends the search
+        bits = max(8, (8 * len(found)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.hashes, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -2, np.int32)
+        waiting, values = np.array(list(found), np.uint64), np.array(list(found.values()), np.int32)
+        slot = waiting & self.mask
+        while len(waiting):
+            here = np.unique(slot, return_index=True)[1]
+            here = here[self.hashes[slot[here]] == 0]
+            self.hashes[slot[here]], self.ids[slot[here]] = waiting[here], values[here]
+            left = np.ones(len(waiting), bool)
+            left[here] = False
+            waiting, values, slot = waiting[left], values[left], (slot[left] + np.uint64(1)) & self.mask
 
     @staticmethod
     def extend(h, symbol):
         with np.errstate(over="ignore"):
             return spread(np.asarray(h ^ symbol, np.uint64))
 
-    def lookup(self, length: int, h: np.ndarray) -> np.ndarray:
+    def lookup(self, h: np.ndarray) -> np.ndarray:
         """Piece id, -1 for the beginning of longer pieces only, -2 for none."""
-        hashes, ids = self.tables[length]
-        if not len(hashes):
-            return np.full(len(h), -2, np.int32)
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        return np.where(hashes[at] == h, ids[at], -2)
+        slot = h & self.mask
+        there = self.hashes[slot]
+        out = self.ids[slot]
+        rows = np.flatnonzero((there != h) & (there != 0))
+        while len(rows):
+            slot[rows] = (slot[rows] + np.uint64(1)) & self.mask
+            there = self.hashes[slot[rows]]
+            out[rows] = self.ids[slot[rows]]
+            rows = rows[(there != h[rows]) & (there != 0)]
+        return out
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The texts of flat ids, cut at the ends, without the space that was put in front."""
@@ -120,46 +155,95 @@ class Vocabulary:
 
 
 class Lattices:
-    """Lattices of words: nodes are places, edges of a node lie together, the likeliest first."""
+    """Lattices of words: nodes are places, edges of a node lie together, long pieces first.
+
+    Memory is bounded by bytes and by a group's own words.  When the bound is reached, words that only
+    one group has held go; the others stay, the most frequent ones first, in half of the room.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
-        self.vocabulary, self.remembered = vocabulary, remembered
+    def __init__(self, vocabulary: Vocabulary, limit: int = LATTICE_BYTES):
+        self.vocabulary, self.limit = vocabulary, limit
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.first = np.zeros(1, np.int64)  # node -> first edge; one more at the end
-        self.entry = np.zeros(0, np.int64)  # word -> first node
+        self.entry = np.zeros(1, np.int64)  # word -> first node; one more at the end
+        self.seen = np.zeros(0, np.int64)  # word -> groups that held it
         self.piece, self.step = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.source = np.zeros(0, np.int32)
-        self.upto, self.log = np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.upto, self.log = np.zeros(0), np.zeros(0)
 
     def words(self, split: list[list[str]]) -> list[np.ndarray]:
         """Word numbers of split texts; new words get lattices."""
-        if len(self.known) > self.remembered:
-            self.clear()
-        new = list(dict.fromkeys(w for words in split for w in set(words) if w not in self.known))
+        if EDGE_BYTES * len(self.piece) + 8 * len(self.first) + WORD_BYTES * len(self.known) > self.limit:
+            self._trim()
+        known = self.known
+        new = set().union(*split).difference(known)
         if new:
-            self._add(new)
-        number = self.known.__getitem__
-        return [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
+            self._add(list(new))
+        number = known.__getitem__
+        found = [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
+        held = np.zeros(len(known), bool)
+        for numbers in found:
+            held[numbers] = True
+        self.seen += held
+        return found
+
+    def _trim(self) -> None:
+        edges = self.first[self.entry[1:]] - self.first[self.entry[:-1]]
+        cost = EDGE_BYTES * edges + 8 * np.diff(self.entry) + WORD_BYTES
+        order = np.argsort(-self.seen, kind="stable")
+        room = np.cumsum(cost[order]) <= self.limit // 2
+        keep = np.sort(order[room & (self.seen[order] > 1)])
+        names = list(self.known)  # in order of their numbers
+        old = (self.first, self.entry, self.piece, self.step, self.source, self.upto, self.log)
+        self.clear()
+        if not len(keep):
+            return
+        first, entry, piece, step, source, upto, log = old
+        self.known.update((names[k], j) for j, k in enumerate(keep.tolist()))
+        self.seen = np.ones(len(keep), np.int64)
+        nodes, some = entry[keep + 1] - entry[keep], edges[keep]
+        self.entry = np.concatenate([[0], np.cumsum(nodes)])
+        moved = self.entry[:-1] - entry[keep]
+        at_node = _ranges(entry[keep], nodes)
+        at_edge = _ranges(first[entry[keep]], some)
+        begin = np.cumsum(some) - some
+        self.first = np.append(first[at_node] + np.repeat(begin - first[entry[keep]], nodes), some.sum())
+        self.piece, self.step, self.upto, self.log = piece[at_edge], step[at_edge], upto[at_edge], log[at_edge]
+        self.source = (source[at_edge] + np.repeat(moved, some)).astype(np.int32)
 
     def _add(self, words: list[str]) -> None:
+        """Lattices of new words, in parts of some 30,000 characters."""
+        sizes = np.cumsum([len(w) for w in words])
+        cuts = np.flatnonzero(np.diff(sizes // PART, prepend=-1))
+        parts = [self._build(words[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)])]
+        nodes, edges = len(self.first) - 1, len(self.piece)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        entries, firsts, sources = [self.entry[:-1]], [self.first[:-1]], [self.source]
+        for entry, first, source, *_ in parts:
+            entries.append(entry[:-1] + nodes)
+            firsts.append(first[:-1] + edges)
+            sources.append((source + nodes).astype(np.int32))
+            nodes, edges = nodes + int(entry[-1]), edges + int(first[-1])
+        self.entry, self.first = np.concatenate([*entries, [nodes]]), np.concatenate([*firsts, [edges]])
+        self.source = np.concatenate(sources)
+        self.piece, self.step, self.upto, self.log = (np.concatenate([old, *(p[k] for p in parts)]) for k, old in ((3, self.piece), (4, self.step), (5, self.upto), (6, self.log)))
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+
+    def _build(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """entry, first, source, piece, step, upto, log of these words alone."""
         vocabulary = self.vocabulary
         symbols = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         symbols, owner = self._bytes(symbols, owner)
-        sizes = np.bincount(owner, minlength=len(words))
+        n, sizes = len(symbols), np.bincount(owner, minlength=len(words))
         ends = np.cumsum(sizes)
-        # a word has a node per symbol and one at its end
-        node = np.arange(len(symbols)) + owner
-        left = ends[owner] - np.arange(len(symbols))
-        sources, steps, pieces = [], [], []
+        left = ends[owner] - np.arange(n)
         raw = np.flatnonzero(symbols >= BYTES_FROM)
-        sources.append(raw)
-        steps.append(np.ones(len(raw), np.int64))
-        pieces.append(np.array(vocabulary.bytes, np.int32)[symbols[raw] - BYTES_FROM])
-        at, h = np.flatnonzero(symbols < BYTES_FROM), np.uint64(0)
+        fitting = [(raw, np.array(vocabulary.bytes, np.int32)[symbols[raw] - BYTES_FROM], 1)]
+        at = np.flatnonzero(symbols < BYTES_FROM)
         h = np.zeros(len(at), np.uint64)
         for length in range(1, vocabulary.longest + 1):
             fits = left[at] >= length
@@ -167,50 +251,72 @@ class Lattices:
             if not len(at):
                 break
             h = vocabulary.extend(h, symbols[at + length - 1].astype(np.uint64))
-            ids = vocabulary.lookup(length, h)
-            whole = ids >= 0
-            sources.append(at[whole])
-            steps.append(np.full(whole.sum(), length))
-            pieces.append(ids[whole])
-            at, h = at[ids > -2], h[ids > -2]
-        source, step, piece = np.concatenate(sources), np.concatenate(steps), np.concatenate(pieces)
-        # sums over what follows, from the words' ends on
-        order = np.lexsort((source, left[source]))
-        source, step, piece = source[order], step[order], piece[order]
-        weight, behind = vocabulary.weight[piece], np.zeros(len(symbols) + len(words))
-        places = node[source]
-        depth = left[source]
-        bounds = np.searchsorted(depth, np.arange(1, depth.max(initial=0) + 2))
-        values = np.empty(len(source))
+            found = vocabulary.lookup(h)
+            whole = found >= 0
+            fitting.append((at[whole], found[whole], length))
+            at, h = at[found > -2], h[found > -2]
+        # edges go to their places without sorting: places by their distance from the word's end, long pieces first
+        counts = np.zeros(n, np.int64)
+        for source, _, _ in fitting:
+            counts[source] += 1
+        by_depth = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        spread_counts = counts[by_depth]
+        begin = np.cumsum(spread_counts) - spread_counts
+        free = np.empty(n, np.int64)
+        free[by_depth] = begin
+        low = free.copy()
+        piece, step, place = np.empty(counts.sum(), np.int32), np.empty(counts.sum(), np.int64), np.empty(counts.sum(), np.int64)
+        for source, found, length in reversed(fitting):
+            spot = free[source]
+            piece[spot], step[spot], place[spot] = found, length, source
+            free[source] += 1
+        # sums over what follows, from the words' ends on; there is a node per symbol and one at each word's end
+        node = np.arange(n) + owner
+        log, target = vocabulary.weight[piece], node[place] + step
+        share, behind = np.empty(len(log)), np.zeros(n + len(words))
+        bounds = np.searchsorted(left[by_depth], np.arange(1, left.max(initial=0) + 2)).tolist()
+        starts = np.append(begin, len(log))
         for a, b in zip(bounds[:-1], bounds[1:]):
-            v = weight[a:b] + behind[places[a:b] + step[a:b]]
-            cut = np.flatnonzero(np.diff(places[a:b], prepend=-1))
+            ea, eb = int(starts[a]), int(starts[b])
+            if b - a < FEW:
+                for row in range(a, b):
+                    self._alone(log, share, target, behind, int(starts[row]), int(starts[row + 1]), int(node[by_depth[row]]))
+                continue
+            v = log[ea:eb] + behind[target[ea:eb]]
+            cut, runs = begin[a:b] - ea, spread_counts[a:b]
             top = np.maximum.reduceat(v, cut)
-            runs = np.diff(np.append(cut, b - a))
-            total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, runs)), cut))
-            behind[places[a:b][cut]] = total
-            values[a:b] = v - np.repeat(total, runs)
-        order = np.lexsort((-values, places))
-        values, places, step, piece = values[order], places[order], step[order], piece[order]
-        counts = np.bincount(places, minlength=len(behind))
-        starts = np.cumsum(counts) - counts
-        p = np.exp(values)
-        sums = np.cumsum(p)
-        upto = sums - np.repeat((sums - p)[starts[counts > 0]], counts[counts > 0])
-        upto[(starts + counts - 1)[counts > 0]] = 2.0  # above any draw
-        nodes, edges = len(self.first) - 1, len(self.piece)
-        self.known.update(zip(words, range(len(self.entry), len(self.entry) + len(words))))
-        self.entry = np.concatenate([self.entry, nodes + ends - sizes + np.arange(len(words))])
-        self.first = np.concatenate([self.first[:-1], edges + starts, [edges + len(piece)]])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
-        self.step = np.concatenate([self.step, step.astype(np.uint8)])
-        self.source = np.concatenate([self.source, (nodes + places).astype(np.int32)])
-        self.upto = np.concatenate([self.upto, upto.astype(np.float32)])
-        self.log = np.concatenate([self.log, values.astype(np.float32)])
+            e = np.exp(v - np.repeat(top, runs))
+            total = np.add.reduceat(e, cut)
+            behind[node[by_depth[a:b]]] = sums = top + np.log(total)
+            share[ea:eb] = e / np.repeat(total, runs)
+            log[ea:eb] = v - np.repeat(sums, runs)
+        # back to the order of the places
+        order = _ranges(low, counts)
+        upto, last = share[order], np.cumsum(counts)
+        at = last - counts
+        for k in range(1, int(counts.max(initial=0))):
+            at = at[counts[counts >= k] > k] if k > 1 else at[counts > 1]
+            upto[at + k] += upto[at + k - 1]
+        upto[last - 1] = 2.0  # above any draw
+        per_node = np.zeros(n + len(words), np.int64)
+        per_node[node] = counts
+        return (
+            np.concatenate([[0], ends + np.arange(1, len(words) + 1)]), np.concatenate([[0], np.cumsum(per_node)]), np.repeat(node, counts),
+            piece[order], step[order].astype(np.uint8), upto, np.rint(log[order] * FINE) / FINE,
+        )
+
+    def _alone(self, log: np.ndarray, share: np.ndarray, target: np.ndarray, behind: np.ndarray, a: int, b: int, node: int) -> None:
+        """One place of a long word, by the same steps as many at once."""
+        v = log[a:b] + behind[target[a:b]]
+        top = v.max()
+        e = np.exp(v - top)
+        total = np.add.reduceat(e, [0])[0]
+        behind[node] = sums = top + np.log(total)
+        share[a:b], log[a:b] = e / total, v - sums
 
     def _bytes(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that are no piece give way to symbols for their bytes."""
-        ids = self.vocabulary.lookup(1, self.vocabulary.extend(np.zeros(len(symbols), np.uint64), symbols.astype(np.uint64)))
+        ids = self.vocabulary.lookup(self.vocabulary.extend(np.zeros(len(symbols), np.uint64), symbols.astype(np.uint64)))
         odd = ids < 0
         if not odd.any():
             return symbols, owner
@@ -220,17 +326,17 @@ class Lattices:
         out[np.repeat(odd, sizes)] = data + np.uint32(BYTES_FROM)
         return out, np.repeat(owner, sizes)
 
-    def sample(self, nodes: np.ndarray, keys: np.ndarray, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sample(self, nodes: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its word's end: how many edges, and all edges in order.
 
-        Each edge is drawn with its probability given the place; the draws follow from key and counter.
+        Each edge is drawn with its probability given the place; the draws follow from the stream alone.
         """
         rows, counts, taken = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), []
         open_ = self.first[nodes + 1] > self.first[nodes]
         rows, nodes = rows[open_], nodes[open_].copy()
         turn = 0
-        while len(rows):
-            u = uniform(keys[rows], counters[rows] + turn)
+        while len(rows) >= FEW:
+            u = draw(streams[rows], turn)
             edge = self.first[nodes]
             wait = np.flatnonzero(u >= self.upto[edge])
             while len(wait):
@@ -241,32 +347,40 @@ class Lattices:
             nodes = nodes + self.step[edge]
             open_ = self.first[nodes + 1] > self.first[nodes]
             rows, nodes, turn = rows[open_], nodes[open_], turn + 1
+        tails = [self._walk(int(node), streams[row], turn) for row, node in zip(rows, nodes)]
+        counts[rows] += np.array([len(t) for t in tails], np.int64)
         begins = np.cumsum(counts) - counts
         edges = np.empty(counts.sum(), np.int64)
-        for turn, (rows, edge) in enumerate(taken):
-            edges[begins[rows] + turn] = edge
+        for k, (some, edge) in enumerate(taken):
+            edges[begins[some] + k] = edge
+        for row, tail in zip(rows.tolist(), tails):
+            edges[begins[row] + turn : begins[row] + counts[row]] = tail
         return counts, edges
 
+    def _walk(self, node: int, stream: np.uint64, turn: int) -> list[int]:
+        """The same for one word, for the long ones that are left when the others have ended."""
+        first, upto, step, out = memoryview(self.first), memoryview(self.upto), memoryview(self.step), []
+        draws: list[float] = []
+        while first[node + 1] > first[node]:
+            if not draws:
+                draws = draw(stream, np.arange(turn, turn + 256))[::-1].tolist()
+                turn += 256
+            u, edge = draws.pop(), first[node]
+            while u >= upto[edge]:
+                edge += 1
+            out.append(edge)
+            node += step[edge]
+        return out
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, one range behind the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
 
 def split_words(text: str) -> list[str]:
     """Parts that no piece reaches across: before a space that follows other characters, around line ends."""
-    out = []
-    for k, line in enumerate((SPACE + text.replace(" ", SPACE)).split("\n")):
-        if k:
-            out.append("\n")
-        head, *rest = line.split(SPACE)
-        if head:
-            out.append(head)
-        spaces = 1
-        for part in rest:
-            if part:
-                out.append(SPACE * spaces + part)
-                spaces = 1
-            else:
-                spaces += 1
-        if rest and not rest[-1]:
-            out.append(SPACE * (spaces - 1))
-    return out
+    return WORDS.findall(SPACE + text.replace(" ", SPACE))
 
 
 class Paths:
@@ -275,9 +389,10 @@ class Paths:
     def __init__(self, lattices: Lattices, texts: np.ndarray, edges: np.ndarray, words: np.ndarray, counts: np.ndarray):
         self.texts, self.edges, self.words, self.counts = texts, edges, words, counts
         self.begins = np.cumsum(counts) - counts
-        sums = np.concatenate([[0.0], np.cumsum(lattices.log[edges].astype(np.float64))])
-        self.before = sums[:-1] - np.repeat(sums[self.begins], counts)
-        self.total = sums[self.begins + counts] - sums[self.begins]
+        # whole numbers, so that a sum does not depend on what stands before it in the group
+        sums = np.concatenate([[0], np.cumsum((lattices.log[edges] * FINE).astype(np.int64))])
+        self.before = (sums[:-1] - np.repeat(sums[self.begins], counts)) / FINE
+        self.total = (sums[self.begins + counts] - sums[self.begins]) / FINE
 
 
 def top_segmentations(lattices: Lattices, words: list[np.ndarray], keys: np.ndarray, k: int):
@@ -288,7 +403,6 @@ def top_segmentations(lattices: Lattices, words: list[np.ndarray], keys: np.ndar
     flat = np.concatenate(words) if n else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(n), sizes)
     place = np.arange(len(flat)) - np.repeat(starts, sizes)
-    counters = place.astype(np.uint64) << np.uint64(24)
 
     # waiting sets: value, path (round), place in the path, edge (-1: all that leave the path from there on)
     waiting: list[list[tuple[float, int, int, int]]] = [[] for _ in range(n)]
@@ -356,7 +470,7 @@ def top_segmentations(lattices: Lattices, words: list[np.ndarray], keys: np.ndar
                 waiting[t].sort(reverse=True)
                 del waiting[t][k + 1 :]
 
-    counts, edges = lattices.sample(lattices.entry[flat], keys[owner], counters)
+    counts, edges = lattices.sample(lattices.entry[flat], word_streams(keys[owner], place, np.zeros(1)))
     per_text = np.zeros(n, np.int64)
     np.add.at(per_text, owner, counts)
     everyone = np.arange(n)
@@ -398,7 +512,7 @@ def top_segmentations(lattices: Lattices, words: list[np.ndarray], keys: np.ndar
             node = lattices.entry[flat[starts[texts][row] + word]]
             branch = np.array([x[4] for x in ready])
             node[inside == 0] = lattices.source[branch] + lattices.step[branch].astype(np.int64)
-            tail_counts, tails = lattices.sample(node, keys[texts][row], (word.astype(np.uint64) << np.uint64(24)) + (done[texts][row].astype(np.uint64) << np.uint64(16)))
+            tail_counts, tails = lattices.sample(node, word_streams(keys[texts][row], word, done[texts][row]))
             tail_words = np.repeat(word, tail_counts)
             per = np.zeros(len(texts), np.int64)
             np.add.at(per, row, tail_counts)
@@ -417,8 +531,9 @@ def top_segmentations(lattices: Lattices, words: list[np.ndarray], keys: np.ndar
 
 
 @lru_cache(maxsize=2)
-def lattices_of(path: str, alpha: float) -> Lattices:
-    return Lattices(Vocabulary(path, alpha))
+def vocabulary_of(path: str, alpha: float) -> Vocabulary:
+    """Stays in the worker for its next tasks; its size is that of the model.  Lattices go with their task."""
+    return Vocabulary(path, alpha)
 
 
 def encode_group(lattices: Lattices, texts: list[str | None], keys: np.ndarray, k: int, check: bool) -> pa.Array:
@@ -477,7 +592,7 @@ def sample_segmentations(
     schema = T.StructType([*source.schema.fields[: len(keep)], *T.StructType.fromDDL(SAMPLES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = lattices_of(model_path, alpha)
+        lattices = Lattices(vocabulary_of(model_path, alpha))
         for batch in batches:
             for part in byte_groups(batch, len(keep) + 1, group_bytes):
                 keys = np.asarray(part.column(len(keep))).view(np.uint64)
@@ -494,7 +609,7 @@ def decode_ids(df: DataFrame, model_path: str, ids: str = "ids", keep: Sequence[
     schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = lattices_of(model_path, alpha).vocabulary
+        vocabulary = vocabulary_of(model_path, alpha)
         for batch in batches:
             lists = batch.column(len(keep))
             flat, sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths().fill_null(0))

@@ -251,3 +251,25 @@ def test_groups_do_not_change_samples(odd):
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
     for a, b in zip(sorted(few, key=key), sorted(many, key=key)):
         assert [s["ids"] for s in a["samples"] or ()] == [s["ids"] for s in b["samples"] or ()]
+
+
+def test_segmentations_do_not_depend_on_what_is_remembered():
+    path = tokenizer_file(PIECES)
+    vocabulary, texts = segmentation.Vocabulary(path, 1.0), ["the cat sat", "a cat and a dog 漢字 ran", "x" * 700 + " end", "", None, "the dog", "q1w2 " * 30]
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(list("abcde fgh"), 60)) for _ in range(40)]
+    keys = segmentation.spread(np.arange(len(texts), dtype=np.uint64))
+    whole = segmentation.encode_group(segmentation.Lattices(vocabulary), texts, keys, 3, True).to_pylist()
+    few = segmentation.Lattices(vocabulary, limit=20_000)
+    for _ in range(2):
+        alone = [segmentation.encode_group(few, texts[k : k + 2], keys[k : k + 2], 3, True).to_pylist() for k in range(0, len(texts), 2)]
+        assert [x for part in alone for x in part] == whole
+    assert len(few.known) < len({w for t in texts if t for w in segmentation.split_words(t)})
+
+
+def test_segmentation_of_a_long_word():
+    path = tokenizer_file(PIECES)
+    lattices = segmentation.Lattices(segmentation.Vocabulary(path, 1.0))
+    text = "".join(np.random.default_rng(1).choice(list("abcdefghé漢"), 70_000))
+    (samples,) = segmentation.encode_group(lattices, [text], np.array([7], np.uint64), 2, True).to_pylist()
+    assert len(samples) == 2 and all(s["exact"] for s in samples) and samples[0]["ids"] != samples[1]["ids"]
