@@ -66,3 +66,8 @@ def late_flag(late_charge: Column) -> Column:
 def md5_of(*cols: str) -> Column:
     """Hex digest of the columns joined by '|': the reproducible stand-in for a random order."""
     return F.expr(f"md5(binary(concat_ws('|', {', '.join(f'string(`{c}`)' for c in cols)})))")
+
+
+def md5_number(text: str, part: int = 0) -> Column:
+    """A number below 2^32 from the text's digest, one of four (part 0 to 3); other engines can repeat it."""
+    return F.expr(f"bigint(conv(substring(md5(binary({text})), {8 * part + 1}, 8), 16, 10))")

@@ -9,19 +9,18 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (
-    BucketedRandomProjectionLSH, OneHotEncoder, StringIndexer, VectorAssembler,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbline.functions.columns import md5_of
+from ebbline.functions.columns import md5_number, md5_of
 from ebbline.operators import metrics
 from ebbline.operators.features import complete_features, feature_tables
+from ebbline.plans import neighbours
 from ebbline.plans.skew import md5_rank
 from ebbline.sources import warehouse
 
@@ -155,89 +154,60 @@ def with_class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     return train.join(F.broadcast(class_weights(train, label)), label)
 
 
-def smote_oversample(
-    train: DataFrame, names: Sequence[str], label: str = LABEL, k: int = 5, tables: int = 3,
-    bucket_length: float = 0.5, seed: int = 0,
-) -> DataFrame:
-    """Add interpolated minority rows until both classes are equal.
+def smote_oversample(train: DataFrame, names: Sequence[str], label: str = LABEL, k: int = 5) -> DataFrame:
+    """Add minority rows between neighbours until both classes are equal: keys, features, label, ``synthetic``.
 
-    The ``k`` nearest minority rows of a row are found per distinct feature vector: copies of
-    a vector are its nearest neighbours at distance 0, so a vector that occurs more than ``k``
-    times needs no search, and however many copies there are, they are one row in the
-    similarity join (random-projection hashing).  A new row lies at a hashed fraction of the
-    way to one of the neighbours; without any neighbour the row is repeated.
+    Neighbours are the ``k`` nearest other minority rows by the numeric features, ties in md5 order
+    of the keys; they are searched once per distinct vector, and copies of a vector, however many,
+    count as its nearest rows.  A new row lies between a row and one of its neighbours in the numeric
+    features, takes its categories from that neighbour, and has a key of its own.  Neighbour and place
+    follow from the row's key and the number of the copy.  A lone minority row is repeated.  A row
+    whose numeric features are not all known is kept, but no new row starts or ends there.
     """
+    folder = warehouse.new_folder(train.sparkSession, "smote")
+    numeric = [c for c in names if c not in CATEGORICAL]
+    other = [c for c in names if c in CATEGORICAL]
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.agg(
-        F.min_by(label, "n").alias("minor"), F.min("n").alias("n_minor"), F.max("n").alias("n_major")
-    )
-    vector = F.array(*[F.col(c).cast("double") for c in names])
-    minor = train.join(F.broadcast(ends), F.col(label) == F.col("minor")).select(
-        *KEY, label, "n_minor", "n_major", vector.alias("x"),
+    minor, n_minor, n_major = counts.agg(F.min_by(label, F.struct("n", label)), F.min("n"), F.max("n")).first()
+    vector = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in numeric])
+    known = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v))
+    rows = train.filter(F.col(label).eqNullSafe(F.lit(minor)) & known).select(
+        *KEY, vector.alias("x"), F.struct(*(other or [F.lit(0).alias("none")])).alias("categories"), md5_of(*KEY).alias("digest"),
         F.md5(F.concat_ws("|", vector.cast("array<string>")).cast("binary")).alias("vid"),
     )
-    vectors = (
-        minor.groupBy("vid").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("v", array_to_vector("x"))
-    )
-    hasher = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket_length, seed=seed
-    ).fit(vectors)
-    searching = vectors.filter(F.col("copies") <= k)
-    others = (
-        hasher.approxSimilarityJoin(
-            searching.select("vid", "v"), vectors.select("vid", "v", "x", "copies"),
-            float("inf"), "distance",
-        )
-        .select(
-            F.col("datasetA.vid").alias("vid"), F.col("datasetB.vid").alias("other"),
-            F.col("datasetB.x").alias("y"), F.col("datasetB.copies").alias("m"), "distance",
-        )
-        .filter("vid <> other")
-    )
-    copies = vectors.filter("copies > 1").select(
-        "vid", F.col("vid").alias("other"), F.col("x").alias("y"), (F.col("copies") - 1).alias("m"),
-        F.lit(0.0).alias("distance"),
-    )
-    nearest = Window.partitionBy("vid").orderBy("distance", "other")
-    so_far = nearest.rowsBetween(Window.unboundedPreceding, 0)
-    # At most k entries per vector are left before they are put into a list.
-    neighbours = (
-        others.unionByName(copies)
-        .withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-        .withColumn("upto", F.sum("m").over(so_far))
-        .filter(F.col("upto") - F.col("m") < k)
-        .groupBy("vid")
-        .agg(
-            F.collect_list(F.struct("upto", (F.col("upto") - F.col("m")).alias("after"), "y")).alias("near"),
-            F.least(F.max("upto"), F.lit(k)).alias("found"),
-        )
-    )
-    missing = F.col("n_major") - F.col("n_minor")
-    numbered = md5_rank(minor, [label], md5_of(*KEY), out="number")
-    share = F.floor(missing / F.col("n_minor")) + F.when(
-        F.col("number") <= missing % F.col("n_minor"), 1
-    ).otherwise(0)
-    row_id = F.concat_ws("|", *[F.col(c).cast("string") for c in KEY])
-    new_rows = (
-        numbered.withColumn("share", share).filter("share > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("share"))))
-        .join(neighbours, "vid", "left")
-        .withColumn("dice", F.pmod(F.xxhash64(row_id, "copy"), F.greatest("found", F.lit(1))) + 1)
-        .withColumn("y", F.coalesce(F.try_element_at(F.filter(
-            "near", lambda e: (e["after"] < F.col("dice")) & (F.col("dice") <= e["upto"])
-        ), F.lit(1))["y"], F.col("x")))
-        .withColumn("u", F.pmod(F.xxhash64("copy", row_id, "dice"), F.lit(1_000_000)) / 1_000_000.0)
-    )
-    made = new_rows.select(
-        *KEY, *[(F.col("x")[i] + (F.col("y")[i] - F.col("x")[i]) * F.col("u")).alias(c)
-                for i, c in enumerate(names)],
-        label, F.lit(1).alias("synthetic"),
+    rows = warehouse.store(rows, folder, "minority")
+    among = Window.partitionBy("vid").orderBy("digest")
+    first = warehouse.store(rows.withColumn("_rn", F.row_number().over(among)).filter(F.col("_rn") <= k + 1), folder, "first")
+    vectors = rows.groupBy("vid").agg(F.count(F.lit(1)).alias("copies"), F.min_by("x", "digest").alias("x"), F.min("digest").alias("tie"))
+    vectors = warehouse.store(vectors, folder, "vectors")
+    near = neighbours.nearest(vectors.filter(F.col("copies") <= k), vectors.select("vid", "x", "tie"), k, folder)
+    own = vectors.select("vid", F.col("vid").alias("other"), F.lit(0.0).alias("gap"))
+    reached = own.unionByName(near.select("vid", "other", "gap")).join(
+        first.select(F.col("vid").alias("other"), F.col("x").alias("y"), "categories", "digest"), "other")
+    nearby = Window.partitionBy("vid").orderBy("gap", "digest")
+    lists = reached.withColumn("_rn", F.row_number().over(nearby)).filter(F.col("_rn") <= k + 1).groupBy("vid").agg(
+        F.array_sort(F.collect_list(F.struct("_rn", "y", "categories", "digest"))).alias("near"))
+    missing, usable = n_major - n_minor, rows.count()
+    numbered = md5_rank(rows.withColumn("_all", F.lit(1)), ["_all"], F.col("digest"), out="number")
+    share = F.lit(missing // max(1, usable)) + F.when(F.col("number") <= missing % max(1, usable), 1).otherwise(0)
+    block = F.lit(10_000).cast("bigint")  # a row with very many copies is not unfolded at once
+    copies = (
+        numbered.withColumn("share", share.cast("bigint")).filter("share > 0")
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("share") - 1) / block))))
+        .withColumn("copy", F.explode(F.sequence(F.col("block") * block + 1, F.least(F.col("share"), (F.col("block") + 1) * block))))
+        .join(lists, "vid", "left")
+        .withColumn("near", F.slice(F.filter("near", lambda e: e["digest"] != F.col("digest")), 1, k))
     )
-    own = train.select(
-        *KEY, *[F.col(c).cast("double").alias(c) for c in names], label, F.lit(0).alias("synthetic")
+    text = "concat_ws('|', digest, string(copy))"
+    chosen = F.try_element_at("near", (md5_number(text) % F.greatest(F.size("near"), F.lit(1)) + 1).cast("int"))
+    made = copies.withColumns({"to": chosen, "u": md5_number(text, 1) / F.lit(4294967296.0)}).select(
+        F.concat_ws("-", F.lit("made"), F.col("copy").cast("string"), F.col("occupant_id")).alias("occupant_id"), "segment", "window",
+        *[(F.col("x")[i] + (F.coalesce(F.col("to.y")[i], F.col("x")[i]) - F.col("x")[i]) * F.col("u")).alias(c) for i, c in enumerate(numeric)],
+        *[F.when(F.col("to").isNull(), F.col("categories")[c]).otherwise(F.col("to.categories")[c]).alias(c) for c in other],
+        F.lit(minor).cast(train.schema[label].dataType).alias(label), F.lit(1).alias("synthetic"),
     )
-    return own.unionByName(made)
+    kept = train.select(*KEY, *[F.col(c).cast("double").alias(c) for c in numeric], *other, label, F.lit(0).alias("synthetic"))
+    return kept.unionByName(made).select(*KEY, *names, label, "synthetic")
 
 
 def with_folds(train: DataFrame, folds: int = 5, label: str = LABEL) -> DataFrame:
