@@ -7,7 +7,11 @@ they are verified).  Equal sets are one node from the start.
 
 Candidates of a token do not become all pairs: first every set meets the token's lead, the set with
 the smallest share of tokens that no other has (of a group of edited copies, the one edited least);
-verified links join into components, and only pairs across components are formed then.
+verified links join into components, and only pairs across components are formed then.  Of those a
+set meets sets of about its size alone, and sets whose place of the token only leaves room for
+smaller partners (those that share a passage and have too much of their own) never meet each other.
+What a token's rows need of the whole group is summed by token and joined back, so a hot token is no
+window of one task.
 """
 
 from __future__ import annotations
@@ -16,10 +20,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import map_texts, new_folder, store
+from ebbline.llm.common import fresh, map_texts, new_folder, store
 from ebbline.llm.components import connected
 
 WORDS = 5
@@ -114,18 +118,16 @@ def suspects(rows: DataFrame, percent: int) -> DataFrame:
     """(node, n, doc_id, same): sets that may link, by the hash order alone, each with one row that has it.
 
     Sets that link share, of their extended prefixes, as many tokens as the smaller one's extension
-    counts; so a set needs that many tokens that another set's prefix has too.  Copies of a set count
-    out by division.
+    counts; so a set needs that many tokens that another set's prefix has too.
     """
     valid = rows.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    tokens = valid.select("node", F.explode("prefix").alias("token"))
-    window = Window.partitionBy("token")
-    seen = tokens.withColumns({"low": F.min("node").over(window), "high": F.max("node").over(window)}).filter("low <> high")
-    shared = seen.groupBy("node").agg(F.count("*").alias("shared"))
     nodes = valid.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("row"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    tokens = valid.select("node", F.explode("prefix").alias("token"))
+    held = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
+    shared = tokens.join(held, "token").groupBy("node").agg(F.count("*").alias("shared"))
     smaller = F.expr(f"(n * {percent} + 99) div 100")
     needed = F.ceil((smaller - F.expr(f"((n * {percent} + 99) div 100 * {percent} + 99) div 100") + 1) / 4)
-    both = nodes.join(shared, "node").filter(F.col("shared") >= needed * F.col("copies"))
+    both = nodes.join(shared, "node").filter(F.col("shared") >= needed * F.col("copies"))  # copies of a set count out
     return both.select("node", "n", "row.doc_id", "row.same")
 
 
@@ -159,7 +161,8 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     no others drops out.
     """
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
-    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    counted = tokens.join(common, "token")
     gathered = counted.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
     alone = "n - size(common)"
     size = f"n - (n * {percent} + 99) div 100 + 1"
@@ -212,24 +215,48 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+#: Sizes that differ by this factor or less are in the same band or in neighbouring ones.
+BAND = "CAST(floor(ln(n) / ln(100D / {percent})) AS INT)"
+
+
+def partners(rows: DataFrame, percent: int) -> DataFrame:
+    """Adds ``band`` (of the size), and ``equal``: whether the token's place leaves room for a partner as large as the set.
+
+    A partner of size m needs ``possible``'s overlap from the place on; where that rules out m >= n, the
+    set's partners are all smaller.  Two such sets cannot be partners of each other.
+    """
+    overlap = f"({percent} * 2 * n + {99 + percent}) div {100 + percent}"
+    return rows.withColumns({"band": F.expr(BAND.format(percent=percent)) if percent < 100 else F.col("n").cast("int"), "equal": F.expr(f"n - place >= {overlap}")})
+
+
+def across(few: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a set of ``few`` and one of ``rest`` at a token, of other components, that may link."""
+    few = partners(few, percent).select(
+        "token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("aplace"), F.col("root").alias("aroot"), F.col("equal").alias("aequal"),
+        F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    rest = partners(rest, percent).select(
+        "token", "band", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bplace"), F.col("root").alias("broot"), "in_main", F.col("equal").alias("bequal"))
+    # those with room for equal partners meet all of their sizes, the others only those with room
+    roomy = few.filter("aequal").join(rest, ["token", "band"])
+    tight = few.filter("NOT aequal").join(rest.filter("bequal"), ["token", "band"])
+    return roomy.unionByName(tight).filter(f"aroot <> broot AND (in_main OR a < b) AND {possible(percent)}").select("a", "b")
+
+
 def link(buckets: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
     """(a, b): verified links that connect all that link, not every pair of a tight group."""
-    token = Window.partitionBy("token")
-    lead = F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "node", "n", "place")).over(token)
-    first = buckets.withColumn("lead", lead).filter("lead.node <> node")
-    near = first.select("node", F.col("n").alias("bn"), F.col("place").alias("bplace"), F.col("lead.node").alias("a"), F.col("lead.n").alias("an"), F.col("lead.place").alias("aplace"))
-    pairs = store(near.filter(possible(percent)).select("a", F.col("node").alias("b")).distinct(), folder, "lead_pairs")
+    leads = buckets.groupBy("token").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "node", "n", "place")).alias("lead"))
+    near = buckets.join(leads, "token").filter("lead.node <> node").select(
+        F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bplace"), F.col("lead.node").alias("a"), F.col("lead.n").alias("an"), F.col("lead.place").alias("aplace"))
+    pairs = store(near.filter(possible(percent)).select("a", "b").distinct(), folder, "lead_pairs")
     links = store(verified(pairs, sets, percent), folder, "lead_links")
     roots = connected(links)
     placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = placed.withColumns({"low": F.min("root").over(token), "high": F.max("root").over(token)}).filter("low <> high").drop("low", "high")
-    ends = store(ends, folder, "across")
+    ends = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+    ends = store(placed.join(ends, "token").select("token", "node", "n", "place", "root"), folder, "across")
     sizes = ends.groupBy("token", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("main"))
-    tagged = ends.join(main, "token")
-    few = tagged.filter("root <> main").select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("place").alias("aplace"), F.col("root").alias("aroot"))
-    rest = tagged.select("token", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bplace"), F.col("root").alias("broot"), (F.col("root") == F.col("main")).alias("in_main"))
-    cross = few.join(rest, "token").filter(f"aroot <> broot AND (in_main OR a < b) AND {possible(percent)}")
+    tagged = ends.join(main, "token").withColumn("in_main", F.col("root") == F.col("main"))
+    cross = across(tagged.filter("NOT in_main"), tagged, percent)
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = store(cross.join(known, ["a", "b"], "left_anti"), folder, "cross_pairs")
@@ -264,5 +291,6 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     Of rows that repeat an id and a text one stays.
     """
-    found = classes(docs, doc_id, text, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col(doc_id) == F.col("__gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    found = classes(docs, doc_id, text, percent).filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col(doc_id) == F.col(gone), "left_anti")

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from ebbline.llm.common import map_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account")
+ADDED_KINDS = ("url", "account")
+KINDS = (*BASE_KINDS, *ADDED_KINDS)
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("iban", "account", "acct", "ssn", "passport", "user id", "userid", "customer id", "api key", "api_key", "token", "password")
+SECRETS = ("api key", "api_key", "token", "password")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,6 +33,8 @@ _PHONE = re.compile(r"[ ().0-9-]*")
 _ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _ACCOUNT = re.compile(r"(?: (?:no|nr|number|id))?\.?\s{0,2}[:=#]?\s{0,2}([A-Za-z0-9](?:[A-Za-z0-9_-]| (?=[A-Z0-9]{4}\b)){3,40}[A-Za-z0-9])", re.I)
 _DIGITS = frozenset("0123456789")
+_SSN = re.compile(r"([0-9]{3})[ -]?([0-9]{2})[ -]?([0-9]{4})(?![0-9A-Za-z])")
+_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def luhn(digits: str) -> bool:
@@ -51,15 +55,46 @@ def _automaton():
     automaton.add_word("@", ("email", 1))
     automaton.add_word("+", ("phone", 1))
     for scheme in SCHEMES:
-        for form in (scheme, scheme.upper(), scheme.capitalize()):
-            automaton.add_word(form, ("url", len(form)))
+        automaton.add_word(scheme, ("url", len(scheme)))
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            automaton.add_word(form, ("account", len(form)))
+        automaton.add_word(cue, ("account", len(cue)))
     automaton.make_automaton()
     return automaton
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, character by character at the same places."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
+
+
+def iban(text: str) -> bool:
+    """Two letters, check digits and up to 30 characters that leave 1 modulo 97."""
+    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", text):
+        return False
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def _identifier(cue: str, text: str) -> int:
+    """How many characters of what follows the cue are its identifier; 0 if they are none.
+
+    An IBAN's check digits decide how far it goes; a social security number has nine digits and no
+    empty group; a password, token or key has letters and digits, or eight characters at least with a
+    digit; any other identifier has four digits.
+    """
+    if cue == "iban":
+        ends = [k for k in range(len(text), 14, -1) if iban(text[:k].replace(" ", "").upper()) and text[k - 1] != " "]
+        return ends[0] if ends else 0
+    if cue == "ssn":
+        found = _SSN.match(text)
+        return found.end() if found and "000" not in found.groups()[:1] and found[2] != "00" and found[3] != "0000" else 0
+    digits = sum(c in _DIGITS for c in text)
+    if cue in SECRETS:
+        word = text.split(" ", 1)[0]
+        return len(word) if any(c in _DIGITS for c in word) and (len(word) >= 8 or digits >= 4) else 0
+    return len(text) if digits >= 4 else 0
+
+
 def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     start = at
     while start > floor and text[start - 1] in _LOCAL:
@@ -86,7 +121,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     email_end = dotted_end = chain_end = phone_end = url_end = account_end = 0
-    for last, (anchor, width) in _automaton().iter(text):
+    for last, (anchor, width) in _automaton().iter(_lower(text)):
         start = last + 1 - width
         if anchor == "digit":
             if start >= dotted_end:
@@ -116,9 +151,9 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                     url_end = end
         elif start >= account_end and not (start and (text[start - 1].isalnum() or text[start - 1] == "_")):
             rest = _ACCOUNT.match(text, last + 1)
-            if rest and sum(c in _DIGITS for c in rest[1]) >= 4:
-                found["account"].append(rest.span(1))
-                account_end = rest.end()
+            if rest and (size := _identifier(text[start : last + 1].lower(), rest[1])):
+                found["account"].append((rest.start(1), rest.start(1) + size))
+                account_end = rest.start(1) + size
     return [(kind, *span) for kind in KINDS for span in found[kind]]
 
 
@@ -169,7 +204,8 @@ def _work(masked: bool) -> Callable[[], Callable[[list[str | None]], Sequence]]:
         base = [[s for s in spans if s[0] in BASE_KINDS] for spans in all_spans]
         counts = [[sum(s[0] == kind for s in spans) for spans in base] for kind in BASE_KINDS]
         digests = [hashlib.sha256(describe(spans).encode()).hexdigest() for spans in base]
-        columns = [*counts, digests, [describe(spans) for spans in all_spans]]
+        added = [[sum(s[0] == kind for s in spans) for spans in all_spans] for kind in ADDED_KINDS]
+        columns = [*counts, digests, [describe(spans) for spans in all_spans], *added]
         return [*columns, list(map(redact, texts, all_spans))] if masked else columns
 
     return lambda: work
@@ -178,11 +214,11 @@ def _work(masked: bool) -> Callable[[], Callable[[list[str | None]], Sequence]]:
 def find_pii(
     df: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", masked: bool = False,
 ) -> DataFrame:
-    """``keep`` with n_email, n_ip, n_card, n_phone, base_sha256, spans (and ``masked``: the text with
+    """``keep`` with n_email, n_ip, n_card, n_phone, base_sha256, spans, n_url, n_account (and ``masked``: the text with
     spans replaced), one row per input row.
 
     A null or empty text has no spans (a null's masked text is null); repeated rows stay; an empty
     table gives an empty table; a kept column named like a result gives way to it.
     """
-    fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long"
     return map_texts(df, keep, text, fields + ", masked string" * masked, _work(masked))

@@ -111,10 +111,18 @@ def dictionary(records: DataFrame, samples: int = 2000, sample_bytes: int = 16 <
     return bytes(rows[0]["dictionary"]) if rows else b""
 
 
+STORES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def open_folder(folder: str):
-    """A pyarrow filesystem and the path in it; a plain path is a local one."""
+    """A pyarrow filesystem and the path in it; a plain path is a local one.
+
+    Spark's names for a store (s3a, s3n, abfss, wasbs) stand for pyarrow's.
+    """
     from pyarrow import fs
 
+    scheme, mark, rest = folder.partition("://")
+    folder = STORES.get(scheme, scheme) + mark + rest if mark else folder
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 

@@ -326,3 +326,36 @@ def test_pipeline_stages_against_brute_force(shipped, spark):
     assert clean == {d for d, t in rows if not contamination(t, items)[1]}
     stay = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
     assert stay == {c for _, _, c in components_of(rows)}
+
+
+def test_sets_that_share_a_passage_do_not_meet_each_other(shipped, monkeypatch):
+    """A passage of 100 words and some 15 to 19 own words: nothing links, and the pairs that meet grow with the documents."""
+    met, real = [], jaccard_join.possible
+    def counted(percent):
+        met.append(percent)
+        return real(percent)
+    monkeypatch.setattr(jaccard_join, "possible", counted)
+    passage = " ".join(f"shared{k}" for k in range(100))
+    pairs = []
+    for n in (100, 200, 400):
+        pick = random.Random(n)
+        rows = [(d, passage + " " + " ".join(f"own{d}x{k}" for k in range(pick.randint(15, 19)))) for d in range(n)]
+        docs = shipped.createDataFrame(rows, "doc_id long, text string")
+        sketches = jaccard_join.sketches(docs, 80, ["doc_id"], "text")
+        sets = jaccard_join.token_sets(docs, jaccard_join.suspects(sketches, 80), "text", "doc_id")
+        buckets = jaccard_join.rare_prefixes(sets, 80).withColumns({"root": F.col("node"), "in_main": F.lit(False)})
+        few = jaccard_join.partners(buckets, 80).groupBy("token", "band").agg(F.count("*").alias("all"), F.count_if("equal").alias("roomy"))
+        pairs.append(few.agg(F.sum(F.col("roomy") * F.col("all"))).first()[0] or 0)
+        assert jaccard_join.classes(docs).filter("component_id <> doc_id").count() == 0
+    assert met and pairs[2] <= 5 * max(pairs[0], 400)
+
+
+def test_tight_and_roomy_sets_still_link(shipped):
+    """Sets of many sizes around a shared passage against all pairs: no link is lost by bands or by room."""
+    pick, rows = random.Random(9), []
+    passage = [f"shared{k}" for k in range(60)]
+    for d in range(90):
+        cut = passage[: pick.choice([60, 60, 55, 50])]
+        rows.append((d, " ".join(cut + [f"own{d if pick.random() < 0.7 else d % 9}x{k}" for k in range(pick.choice([0, 1, 3, 6, 9, 12, 15, 25]))])))
+    found = jaccard_join.classes(shipped.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == components_of(rows)
