@@ -363,6 +363,12 @@ _XB = " + ".join(
     f"CAST({w} AS DOUBLE)" if c == "intercept" else f"CAST({w} AS DOUBLE) * {c}"
     for c, w in LOGIT.items()
 )
+# a missing input counts as the mean of the training rows for n = 6
+_XB_FILLED = " + ".join(
+    f"CAST({w} AS DOUBLE)" if c == "intercept"
+    else f"CAST({w} AS DOUBLE) * coalesce({c}, (SELECT avg({c}) FROM feat_t WHERE n_samples = 6))"
+    for c, w in LOGIT.items()
+)
 _PREFIX = "md5(occupant_id || '|' || segment || '|' || \"window\")"
 CTES |= {
     "strata": f"""
@@ -377,7 +383,7 @@ CTES |= {
         FROM (SELECT *, count(*) OVER (PARTITION BY stratum) AS cnt,
                      row_number() OVER (PARTITION BY stratum ORDER BY digest) AS rk FROM strata)""",
     "scored_t": f"SELECT *, 1 / (1 + exp(-({_XB}))) AS p_cutoff FROM feat_t",
-    "scored_p": f"SELECT *, 1 / (1 + exp(-({_XB}))) AS p_cutoff FROM feat_pz",
+    "scored_p": f"SELECT *, 1 / (1 + exp(-({_XB_FILLED}))) AS p_cutoff FROM feat_pz WHERE n_samples = 36",
     "risk_all": """
         SELECT occupant_id, location_id, latitude, longitude, meter_address, municipality, cust_type,
                meter_size, "nCutPrior", mean_charge_tot, mean_charge_late, mean_vol,
@@ -411,6 +417,8 @@ def with_ctes(select: str, lens: tuple[int, ...] = (6,)) -> str:
         f"{name} AS {'MATERIALIZED ' if name in STORED else ''}({CTES[name].replace('{LENS}', ', '.join(map(str, lens)))})"
         for name in CTES if name in needed
     ]
+    if parts and select.lstrip().startswith("WITH"):
+        select = f"SELECT * FROM ({select})"
     return f"WITH {', '.join(parts)}\n{select}" if parts else select
 
 

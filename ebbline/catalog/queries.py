@@ -31,6 +31,7 @@ class Entry:
 
 
 CATALOGUE: dict[str, Entry] = {}
+SCANS: dict[str, str] = {}  # the checking SQL of the scans and source joins, without their table expressions
 WIN = 'win AS "window"'
 
 
@@ -38,6 +39,8 @@ def entry(name: str, sql: str | None = None, lens: tuple[int, ...] = (6,)):
     """Register a query under its name, with its checking SQL."""
     def register(run: Query) -> Query:
         CATALOGUE[name] = Entry(run, None if sql is None else with_ctes(sql, lens))
+        if name.startswith("scan_") or name.endswith("_source_join"):
+            SCANS[name] = sql
         return run
 
     return register
@@ -104,36 +107,62 @@ def _(spark, sf):
     return src.cutoffs_source(t["location"], t["cutoffs"], 1)
 
 
-_SUMMARY = " UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(sum({key}) AS BIGINT) AS key_sum FROM {name}"
-    for name, key in [("meter", "meter_id"), ("location", "location_id"), ("occupant", "location_id"),
-                      ("volume", "charge_id"), ("charge", "charge_id"), ("cutoffs", "id")]
-)
+def _digest_sql(name: str, schema: T.StructType, source: str, extra: str = "") -> str:
+    """The manifest's rows for a table, by its declared schema."""
+    def text(f: T.StructField) -> str:
+        if isinstance(f.dataType, T.DoubleType):
+            value = f"CAST(CAST(round({f.name} * 1000000) AS BIGINT) AS VARCHAR)"
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            value = f"strftime({f.name}, '%Y-%m-%d %H:%M:%S')"
+        else:
+            value = f"CAST({f.name} AS VARCHAR)"
+        return f"coalesce({value}, '<null>')"
+
+    texts = {f.name: text(f) for f in schema.fields}
+    whole = " || '|' || ".join(texts.values())
+    rows = " UNION ALL ".join(f"""
+        SELECT '{name}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, {f'count(*) - count({c})' if c else '0'} AS n_null,
+               CAST(coalesce(sum(('0x' || substr(md5({t}), 1, 8))::BIGINT), 0) AS BIGINT) AS digest_a,
+               CAST(coalesce(sum(('0x' || substr(md5({t}), 9, 8))::BIGINT), 0) AS BIGINT) AS digest_b FROM ({source})"""
+        for c, t in {**texts, "": whole}.items())
+    return f"SELECT {extra}* FROM ({rows})"
+
+
+def _six_sql(extra: str = "") -> str:
+    return " UNION ALL ".join(_digest_sql(name, schema, f"SELECT * FROM {name}", extra) for name, schema in TABLES.items())
 
 
-@entry("save_tables", _SUMMARY)
+@entry("save_tables", _six_sql())
 def _(spark, sf):
-    """All six tables written as Parquet and counted from there."""
+    """All six tables written as Parquet; the manifest's digests of every column."""
     folder = warehouse.new_folder(spark, "tables")
     src.save_tables(_raw_six(spark, sf), folder)
-    stored = src.read_tables(spark, folder)
-    keys = {"meter": "meter_id", "volume": "charge_id", "charge": "charge_id", "cutoffs": "id"}
-    out = None
-    for name, df in stored.items():
-        part = df.agg(
-            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"),
-            F.sum(keys.get(name, "location_id")).alias("key_sum"),
-        )
+    return spark.read.parquet(f"{folder}/{src.MANIFEST}")
+
+
+_FORMATS = ("parquet", "orc", "csv")
+
+
+@entry("read_tables", " UNION ALL ".join(_six_sql(f"'{fmt}' AS fmt, ") for fmt in _FORMATS))
+def _(spark, sf):
+    """Six tables, three formats, every column: written, read with the manifest's check, and digested again."""
+    tables, out = _raw_six(spark, sf), None
+    for fmt in _FORMATS:
+        folder = warehouse.new_folder(spark, fmt)
+        src.save_tables(tables, folder, fmt=fmt)
+        read = src.read_tables(spark, folder, fmt=fmt, verify=True)
+        part = src.digests_of(read).select(F.lit(fmt).alias("fmt"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@entry("read_tables", f"SELECT {_cols(VOLUME)} FROM volume")
+@entry("fetch_tables", " UNION ALL ".join(
+    _digest_sql(name, TABLES[name], SCANS[query]) for name, query in (
+        ("meter", "scan_meter"), ("location", "scan_location"), ("occupant", "scan_occupant"),
+        ("volume", "volume_source_join"), ("charge", "charge_source_join"), ("cutoffs", "cutoffs_source_join"))))
 def _(spark, sf):
-    """CSV with a header and an explicit schema, there and back."""
-    folder = warehouse.new_folder(spark, "csv")
-    src.save_tables({"volume": stages.raw(spark, sf)["volume"]}, folder, fmt="csv")
-    return src.read_tables(spark, folder, TABLES, fmt="csv", names=["volume"])["volume"]
+    """The fetch step: the six working tables of a data set, every column."""
+    return src.digests_of(src.fetch_tables(dict(stages.raw(spark, sf)), 1))
 
 
 @entry("write_feature_table", """
@@ -247,6 +276,29 @@ def _(spark, sf):
     ))
 
 
+_GEO_NORMAL = "trim(regexp_replace(upper({c}), '[^A-Z0-9]+', ' ', 'g'))"
+
+
+@entry("geocode_best", f"""
+    WITH asked AS (SELECT location_id, substr(address, 1, greatest(0, length(address) - 5)) AS k FROM (
+        SELECT location_id, CASE location_id % 4 WHEN 1 THEN lower(meter_address) WHEN 2 THEN replace(meter_address, 'l', '') ELSE meter_address END AS address
+        FROM location)),
+    g AS (SELECT *, {_GEO_NORMAL.format(c='address_key')} AS norm FROM (SELECT *, row_number() OVER (PARTITION BY address_key ORDER BY latitude, longitude) AS i FROM geocode) WHERE i = 1),
+    met AS (
+        SELECT a.location_id, g.*, CASE WHEN a.k = g.address_key THEN 0 WHEN a.norm = g.norm THEN 1 ELSE 2 END AS step
+        FROM (SELECT *, {_GEO_NORMAL.format(c='k')} AS norm FROM asked) a JOIN g ON a.k = g.address_key OR (a.norm <> '' AND levenshtein(a.norm, g.norm) <= 1))
+    SELECT a.location_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, coalesce(step, -1) AS step
+    FROM asked a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY step, address_key) AS best FROM met) m
+        ON m.location_id = a.location_id AND m.best = 1""")
+def _(spark, sf):
+    """Addresses in another case or with letters missing, and the best entry for each."""
+    t = stages.raw(spark, sf)
+    spoiled = F.when(F.col("location_id") % 4 == 1, F.lower("meter_address")).when(
+        F.col("location_id") % 4 == 2, F.replace("meter_address", F.lit("l"), F.lit(""))).otherwise(F.col("meter_address"))
+    found = clean.geocode_best(t["location"].withColumn("meter_address", spoiled), t["geocode"])
+    return rounded(found.select("location_id", "latitude", "longitude", F.coalesce("geocode_step", F.lit(-1)).alias("step")))
+
+
 def _aligned_sql(table: str, row_id: str, ts: str, data: list[str], carried: list[str], mode: str) -> str:
     gap = "s.m <> r.m"
     numbers = {"location_id", "meter_id", "charge_id", "base_charge", "vol_charge", "total_charge",
@@ -669,6 +721,21 @@ def _(spark, sf):
     return features.coverage_report(windows)
 
 
+@entry("short_series_report", """
+    WITH there AS (
+        SELECT 'charge' AS series, occupant_id, segment, n AS n_samples, win, count(*) AS n_records FROM c_num GROUP BY ALL
+        UNION ALL SELECT 'volume', occupant_id, segment, n, win, count(*) FROM v_num GROUP BY ALL),
+    expected AS (SELECT occupant_id, segment, n_samples, unnest(range(0, max(win) + 1)) AS win FROM there WHERE n_records = n_samples GROUP BY ALL)
+    SELECT series, occupant_id, segment, win AS "window", n_samples, coalesce(n_records, 0) AS n_records
+    FROM expected CROSS JOIN (VALUES ('charge'), ('volume')) v(series) LEFT JOIN there USING (series, occupant_id, segment, n_samples, win)
+    WHERE coalesce(n_records, 0) < n_samples""", (6, 12))
+def _(spark, sf):
+    """Windows that one series has and the other is too short for."""
+    t = stages.cleaned(spark, sf)
+    return features.short_series_report(
+        features.charge_windows(t["charge"], t["cutoffs"], TRAIN_REF, [6, 12]), features.volume_windows(t["volume"], t["cutoffs"], TRAIN_REF, [6, 12]))
+
+
 # -- feature tables ------------------------------------------------------------------------
 
 @entry("binary_label", 'SELECT occupant_id, segment, "window", label, cutoff_strict FROM feat_t')
@@ -706,9 +773,9 @@ def _(spark, sf):
     return rounded(features.drop_incomplete_occupants(_holed(spark, sf)))
 
 
-@entry("predict_fill_zero", f"SELECT {FEATURE_SELECT} FROM feat_pz", (12,))
+@entry("predict_fill_zero", f"SELECT {FEATURE_SELECT} FROM feat_pz", (36,))
 def _(spark, sf):
-    table = features.feature_table(stages.cleaned(spark, sf), PREDICT_REF, "predict", 12)
+    table = features.feature_table(stages.cleaned(spark, sf), PREDICT_REF, "predict", 36)
     return rounded(features.zero_missing_stats(table))
 
 
@@ -772,13 +839,25 @@ def _(spark, sf):
     )
 
 
+def _scored_current(spark, sf):
+    means, _ = modeling.missing_values(stages.training_features(spark, sf), [c for c in LOGIT if c != "intercept"])
+    return modeling.score_linear(stages.current_features(spark, sf), LOGIT, means)
+
+
 def _scored_training(spark, sf):
     return modeling.score_linear(stages.training_features(spark, sf), LOGIT)
 
 
-@entry("score_batch", 'SELECT occupant_id, segment, "window", round(p_cutoff, 6) AS p_cutoff FROM scored_t')
+@entry("score_batch", """
+    SELECT 'train' AS mode, occupant_id, segment, "window", round(p_cutoff, 6) AS p_cutoff FROM scored_t WHERE n_samples = 6
+    UNION ALL SELECT 'predict', occupant_id, segment, "window", round(p_cutoff, 6) FROM scored_p""", stages.BOTH)
 def _(spark, sf):
-    return rounded(_scored_training(spark, sf).select("occupant_id", "segment", "window", "p_cutoff"))
+    """Training windows, and today's customers with windows of 36, of whom many lack inputs."""
+    def part(mode, scored):
+        return scored.select(F.lit(mode).alias("mode"), "occupant_id", "segment", "window", "p_cutoff")
+
+    current = _scored_current(spark, sf)
+    return rounded(part("train", _scored_training(spark, sf)).unionByName(part("predict", current)))
 
 
 @entry("metric_auc", """
@@ -866,15 +945,17 @@ def _(spark, sf):
     return rounded(warehouse.read_predictions(spark, folder, "given_logit", "test"))
 
 
-# Fitted models: smaller grids than the defaults, over all rows.
-_OPTIONS = modeling.ModelOptions(
-    n_samples=(6, 12), trees=20, folds=3, max_depths=(3, 5), reg_params=(0.001, 0.1), parallelism=8
-)
+# Fitted models: the default options, over all rows.
+_OPTIONS = modeling.ModelOptions()
+_RICH = modeling.feature_names("anom", with_meta=True, with_cut_prior=True)
+_TYPES = ", ".join(f"({i}, '{m}')" for i, m in enumerate(_OPTIONS.model_types))
+_LENGTHS = ", ".join(f"({i}, {n})" for i, n in enumerate(_OPTIONS.n_samples))
+_GRID_ROWS = f"(VALUES {_LENGTHS}) a(i, n_samples), (VALUES {_TYPES}) b(j, model_type)"
 
 
-def _prepared(spark, sf):
-    return stages._once(spark, ("prepared", sf), lambda: modeling.prepare_training(
-        stages.training_features(spark, sf), _OPTIONS, warehouse.new_folder(spark, "training"), "n06"
+def _prepared(spark, sf, options=_OPTIONS):
+    return stages._once(spark, ("prepared", options.digest(), sf), lambda: modeling.prepare_training(
+        stages.training_features(spark, sf), options, warehouse.new_folder(spark, "training"), "n06"
     ))
 
 
@@ -882,6 +963,11 @@ def _train_rows(spark, sf):
     return _prepared(spark, sf).filter("subset = 'train'")
 
 
+def _trained(spark, sf, model_type):
+    """One model of each kind per session and data folder: (model, scores, metrics)."""
+    return stages._once(spark, ("trained", model_type, sf), lambda: modeling.train_and_test(_prepared(spark, sf), model_type, _OPTIONS))
+
+
 def _runs(spark, sf):
     """One recorded sweep per session and data folder: (root folder, runs)."""
     def build():
@@ -892,140 +978,245 @@ def _runs(spark, sf):
     return stages._once(spark, ("runs", sf), build)
 
 
-@entry("smote_oversample")
-def _(spark, sf):
-    split = modeling.stratified_split(stages.training_features(spark, sf))
-    return modeling.smote_oversample(split.filter("subset = 'train'"), _OPTIONS.features)
-
-
-@entry("encode_categoricals")
-def _(spark, sf):
+_SMOTE_NUMBERS = ["f_late", "f_zero_vol", "f_anom3_vol"]
+_SMOTE_OTHERS = [c for c in _RICH if c not in _SMOTE_NUMBERS]
+_SMOTE_KEYS = "a.occupant_id, a.segment, a.\"window\""
+
+
+@entry("smote_oversample", f"""
+    WITH t AS (SELECT occupant_id, segment, "window", digest, cutoff_strict, {r6(*_SMOTE_NUMBERS)}, {', '.join(_SMOTE_OTHERS)} FROM split WHERE subset = 'train'),
+    c AS (SELECT min(n) AS low, max(n) AS high, min((n, cutoff_strict)) AS least FROM (SELECT cutoff_strict, count(*) AS n FROM t GROUP BY cutoff_strict)),
+    m AS (SELECT t.*, high - low AS missing, low, row_number() OVER (ORDER BY digest) AS number FROM t, c WHERE cutoff_strict = least[2]),
+    near AS (SELECT * FROM (SELECT a.digest, b.digest AS other, row_number() OVER (PARTITION BY a.digest ORDER BY
+                 {' + '.join(f'(a.{c} - b.{c}) * (a.{c} - b.{c})' for c in _SMOTE_NUMBERS)}, b.digest) AS k
+             FROM m a JOIN m b ON a.digest <> b.digest) WHERE k <= 5),
+    found AS (SELECT digest, max(k) AS n FROM near GROUP BY digest),
+    made AS (SELECT m.*, unnest(range(1, missing // low + CASE WHEN number <= missing % low THEN 1 ELSE 0 END + 1)) AS copy FROM m),
+    dice AS (SELECT *, md5(digest || '|' || copy) AS h FROM made),
+    picked AS (SELECT d.*, ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0::DOUBLE AS u, q.other
+               FROM dice d LEFT JOIN found f USING (digest) LEFT JOIN near q ON q.digest = d.digest AND q.k = ('0x' || substr(h, 1, 8))::BIGINT % f.n + 1)
+    SELECT 'made-' || a.copy || '-' || a.occupant_id AS occupant_id, a.segment, a."window", a.cutoff_strict, 1 AS synthetic,
+           {', '.join(f'round(a.{c} + (coalesce(b.{c}, a.{c}) - a.{c}) * u, 6) AS {c}' for c in _SMOTE_NUMBERS)},
+           {', '.join(f'CASE WHEN b.digest IS NULL THEN a.{c} ELSE b.{c} END AS {c}' for c in _SMOTE_OTHERS)}
+    FROM picked a LEFT JOIN m b ON b.digest = a.other
+    UNION ALL SELECT {_SMOTE_KEYS}, a.cutoff_strict, 0, {', '.join(_SMOTE_NUMBERS)}, {', '.join(_SMOTE_OTHERS)} FROM t a""")
+def _(spark, sf):
+    split = modeling.stratified_split(stages.training_features(spark, sf)).filter("subset = 'train'")
+    return rounded(modeling.smote_oversample(rounded(split), _RICH))
+
+
+_INDEX_SQL = " UNION ALL ".join(f"""
+    SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS level, row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) - 1 AS index,
+           count(*) OVER () AS levels FROM feat_t WHERE {c} IS NOT NULL GROUP BY {c}""" for c in modeling.CATEGORICAL)
+
+
+@entry("encode_categoricals", f"""
+    WITH levels AS ({_INDEX_SQL}),
+    shift AS (SELECT feature, sum(n) OVER (ORDER BY place) - n AS before FROM (
+        SELECT feature, max(levels) + 1 AS n, min(CASE feature {' '.join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(modeling.CATEGORICAL))} END) AS place
+        FROM levels GROUP BY feature))
+    SELECT occupant_id, segment, "window", CAST({len(_RICH) - len(modeling.CATEGORICAL)} + before + index AS BIGINT) AS slot, 1.0::DOUBLE AS value
+    FROM feat_t, LATERAL (VALUES {', '.join(f"('{c}', CAST({c} AS VARCHAR))" for c in modeling.CATEGORICAL)}) v(feature, level)
+    JOIN levels USING (feature, level) JOIN shift USING (feature)
+    UNION ALL SELECT occupant_id, segment, "window", slot, round(value, 6)
+    FROM feat_t, LATERAL (VALUES {', '.join(f'({i}, {c})' for i, c in enumerate(_SMOTE_NUMBERS))}) v(slot, value) WHERE value <> 0""")
+def _(spark, sf):
+    """The slots of the vectors that are not 0: numbers first, then a slot a level, the commonest first."""
     table = stages.training_features(spark, sf)
-    names = modeling.feature_names("anom", with_meta=True, with_cut_prior=True)
     vector = modeling.vector_to_array("features")
-    return modeling.encode(table, names, one_hot=True).transform(table).select(
-        *modeling.KEY, vector.alias("features")
-    )
+    rows = modeling.encode(table, _RICH, one_hot=True).transform(table).select(*modeling.KEY, F.posexplode(vector).alias("slot", "value"))
+    return rounded(rows.filter("value <> 0").withColumn("slot", F.col("slot").cast("long")))
+
 
+def _names_sql(select: str, names: list[str]) -> str:
+    return f"SELECT name, {select} FROM (VALUES {', '.join(f'({n!r})' for n in names)}) v(name)"
 
-@entry("train_logistic_regularized")
+
+@entry("train_logistic_regularized", _names_sql("0.0::DOUBLE AS gap", [*_OPTIONS.features, "Intercept"]))
 def _(spark, sf):
-    trained = modeling.train_logistic(_train_rows(spark, sf), _OPTIONS)
-    return modeling.coefficients(trained.model, _prepared(spark, sf))
+    """How far each coefficient of the penalty that won is from its first-order condition."""
+    trained, _, _ = _trained(spark, sf, "logistic_regression")
+    return rounded(modeling.optimality(trained.model, _train_rows(spark, sf)))
+
 
+_PLAIN = modeling.ModelOptions(regularization=False)
 
-@entry("train_logistic_plain")
+
+@entry("train_logistic_plain", _names_sql("0.0::DOUBLE AS gap, true AS has_error, true AS has_p", [*_PLAIN.features, "Intercept"]))
 def _(spark, sf):
-    return modeling.train_logistic_pvalues(_train_rows(spark, sf), modeling.BASIC)
+    """First-order conditions without a penalty: the weighted residuals of each feature sum to 0."""
+    train = _train_rows(spark, sf)
+    model = modeling.train_logistic(train, _PLAIN).model
+    known = modeling.coefficients(model, train).select("name", (F.col("std_error") > 0).alias("has_error"), F.col("p_value").between(0, 1).alias("has_p"))
+    return rounded(modeling.optimality(model, train).join(known, "name"))
 
 
-@entry("train_random_forest")
+@entry("train_random_forest", 'SELECT occupant_id, segment, "window", subset, true AS is_probability FROM split')
 def _(spark, sf):
-    options = modeling.ModelOptions(trees=100, folds=3, max_depths=(5,))
-    trained = modeling.train_forest(_train_rows(spark, sf), options)
-    return modeling.score(trained.model, _prepared(spark, sf))
+    trained, _, _ = _trained(spark, sf, "random_forest")
+    return modeling.score(trained.model, _prepared(spark, sf)).select(
+        *modeling.KEY, "subset", F.col("p_cutoff").between(0, 1).alias("is_probability"))
 
 
-@entry("depth_grid")
+@entry("depth_grid", f"""
+    SELECT occupant_id, segment, "window", true AS is_probability, true AS in_grid FROM split WHERE subset = 'train'""")
 def _(spark, sf):
-    """Held-out scores of the depth that won."""
-    trained = modeling.train_forest(_train_rows(spark, sf), _OPTIONS)
+    """Held-out scores of the depth that won, one of each training row."""
+    trained, _, _ = _trained(spark, sf, "random_forest")
     depth = trained.model.stages[-1].getMaxDepth()
-    return trained.cv.withColumn("max_depth", F.lit(depth))
+    return trained.cv.select(*modeling.KEY, F.col("p_cutoff").between(0, 1).alias("is_probability"), F.lit(depth in _OPTIONS.max_depths).alias("in_grid"))
 
 
-@entry("train_and_test_model")
+@entry("train_and_test_model", f"""
+    SELECT model_type, scored, n, true AS plausible FROM (VALUES {', '.join(f"('{m}')" for m in _OPTIONS.model_types)}) m(model_type),
+        (SELECT subset AS scored, count(*) AS n FROM split GROUP BY subset
+         UNION ALL SELECT 'xval', count(*) FROM split WHERE subset = 'train')""")
 def _(spark, sf):
-    _, scored, _ = modeling.train_and_test(_prepared(spark, sf), "random_forest", _OPTIONS)
-    both = scored["train"].withColumn("scored", F.lit("train")).unionByName(
-        scored["test"].withColumn("scored", F.lit("test"))
-    )
-    return metrics.score_metrics(both, modeling.LABEL, "p_cutoff", group="scored")
+    out = None
+    for kind in _OPTIONS.model_types:
+        trained, scored, _ = _trained(spark, sf, kind)
+        both = None
+        for subset, df in (*scored.items(), ("xval", trained.cv)) if "xval" not in scored else scored.items():
+            part = df.select(F.lit(subset).alias("scored"), modeling.LABEL, "p_cutoff")
+            both = part if both is None else both.unionByName(part)
+        rows = metrics.score_metrics(both, modeling.LABEL, "p_cutoff", group="scored").select(
+            F.lit(kind).alias("model_type"), "scored", "n", (F.col("auc").between(0, 1) & (F.col("logloss") > 0) & (F.col("r2") <= 1)).alias("plausible"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_STATS = [f"{m}_{s}" for s in ("train", "xval", "test") for m in ("auc", "logloss")]
 
 
-@entry("train_sweep")
+@entry("train_sweep", f"""
+    SELECT n_samples, model_type, CAST(i * 2 + j AS INTEGER) AS grid_order, CAST({_OPTIONS.seed} + i AS INTEGER) AS seed, true AS measured,
+           CAST(1 AS BIGINT) AS winners, true AS wins_fairly FROM {_GRID_ROWS}""")
 def _(spark, sf):
-    return _runs(spark, sf)[1]
+    """Every setting has its row, the seed grows, and the highest held-out AUC wins."""
+    runs = _runs(spark, sf)[1]
+    ends = runs.agg(F.sum(F.col("is_best").cast("long")).alias("winners"), (F.max("auc_xval") == F.max(F.when(F.col("is_best"), F.col("auc_xval")))).alias("wins_fairly"))
+    measured = F.lit(True)
+    for c in _STATS:
+        measured = measured & F.col(c).isNotNull()
+    return runs.crossJoin(F.broadcast(ends)).select("n_samples", "model_type", "grid_order", "seed", measured.alias("measured"), "winners", "wins_fairly")
 
 
-@entry("write_model_stats")
+@entry("write_model_stats", f"SELECT n_samples, model_type, true AS same FROM {_GRID_ROWS}")
 def _(spark, sf):
-    return spark.read.parquet(modeling.RunFolders(_runs(spark, sf)[0]).stats)
+    """The recorded test metrics against those of the recorded predictions."""
+    root, runs = _runs(spark, sf)
+    folders, sweep = modeling.RunFolders(root), stages.sweep_features(spark, sf)
+    scores = spark.read.parquet(folders.predictions).filter("subset = 'test'").join(runs.select("run_id", "n_samples"), "run_id")
+    labelled = scores.join(sweep.select("n_samples", *modeling.KEY, modeling.LABEL), ["n_samples", *modeling.KEY])
+    again = metrics.score_metrics(labelled, modeling.LABEL, "p_cutoff", group="run_id").select("run_id", "auc", "logloss")
+    stats = spark.read.parquet(folders.stats).join(again, "run_id")
+    same = (F.abs(F.col("auc") - F.col("auc_test")) < 1e-9) & (F.abs(F.col("logloss") - F.col("logloss_test")) < 1e-9)
+    return stats.select("n_samples", "model_type", same.alias("same"))
 
 
-@entry("write_model_coefs")
+@entry("write_model_coefs", f"""
+    SELECT n_samples, model_type, name, CASE j WHEN 0 THEN 'coefficient' ELSE 'importance' END AS kind FROM {_GRID_ROWS},
+        (VALUES {', '.join(f"('{c}')" for c in [*_OPTIONS.features, 'Intercept'])}) v(name) WHERE j = 0 OR name <> 'Intercept'""")
 def _(spark, sf):
-    return spark.read.parquet(modeling.RunFolders(_runs(spark, sf)[0]).coefs)
+    root, runs = _runs(spark, sf)
+    return spark.read.parquet(modeling.RunFolders(root).coefs).join(runs.select("run_id", "n_samples", "model_type"), "run_id").select(
+        "n_samples", "model_type", "name", "kind")
 
 
-@entry("model_coefs")
+@entry("model_coefs", _names_sql("1.0::DOUBLE AS total", _OPTIONS.features))
 def _(spark, sf):
-    trained = modeling.train_forest(_train_rows(spark, sf), _OPTIONS)
-    return modeling.coefficients(trained.model, _prepared(spark, sf))
+    """A forest's importances, which sum to 1."""
+    trained, _, _ = _trained(spark, sf, "random_forest")
+    found = modeling.coefficients(trained.model, _prepared(spark, sf))
+    total = found.agg(F.sum("value").alias("total"))
+    return rounded(found.select("name").crossJoin(F.broadcast(total)))
 
 
-@entry("best_run_registry")
+@entry("best_run_registry", """
+    SELECT subset, CAST(0 AS BIGINT) AS too_many, CAST(0 AS BIGINT) AS too_few, true AS same FROM (VALUES ('train'), ('test')) v(subset)""")
 def _(spark, sf):
+    """The best run's predictions: a score for each row of its window length's subset, and its recorded AUC."""
     root, runs = _runs(spark, sf)
-    return warehouse.best_of(spark.read.parquet(modeling.RunFolders(root).predictions), runs)
+    best = runs.filter("is_best").select("n_samples", "auc_train", "auc_test")
+    rows = modeling.stratified_split(stages.sweep_features(spark, sf).join(best.select("n_samples"), "n_samples").drop("n_samples"))
+    scores = warehouse.best_of(spark.read.parquet(modeling.RunFolders(root).predictions), runs).select(*modeling.KEY, "subset", "p_cutoff")
+    joined = rows.select(*modeling.KEY, "subset", modeling.LABEL, F.lit(1).alias("row")).join(scores, [*modeling.KEY, "subset"], "full")
+    counts = joined.groupBy("subset").agg(F.count_if(F.col("row").isNull()).alias("too_many"), F.count_if(F.col("p_cutoff").isNull()).alias("too_few"))
+    auc = metrics.score_metrics(joined, modeling.LABEL, "p_cutoff", group="subset").select("subset", "auc").crossJoin(F.broadcast(best))
+    known = F.when(F.col("subset") == "train", F.col("auc_train")).otherwise(F.col("auc_test"))
+    return counts.join(auc.select("subset", (F.abs(F.col("auc") - known) < 1e-9).alias("same")), "subset")
 
 
-@entry("save_load_model")
+@entry("save_load_model", """
+    SELECT model_type, occupant_id, segment, "window", 0.0::DOUBLE AS difference
+    FROM split, (VALUES ('logistic_regression'), ('random_forest')) v(model_type)""")
 def _(spark, sf):
-    """Scores of the reloaded best model."""
+    """Scores of the reloaded models for n = 6 against those recorded when they were trained."""
     root, runs = _runs(spark, sf)
-    best = runs.filter("is_best").select("run_id").first()["run_id"]
-    model = modeling.PipelineModel.load(modeling.RunFolders(root).model(best))
-    return modeling.score(model, _prepared(spark, sf))
+    folders = modeling.RunFolders(root)
+    table = stages.sweep_features(spark, sf).filter("n_samples = 6").drop("n_samples")
+    out = None
+    for r in runs.filter("n_samples = 6").select("run_id", "model_type").collect():
+        then = spark.read.parquet(folders.predictions).filter(F.col("run_id") == r["run_id"]).select(*modeling.KEY, F.col("p_cutoff").alias("then"))
+        now = modeling.score(modeling.PipelineModel.load(folders.model(r["run_id"])), table)
+        part = now.join(then, modeling.KEY).select(F.lit(r["model_type"]).alias("model_type"), *modeling.KEY, (F.col("p_cutoff") - F.col("then")).alias("difference"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
 
 
-@entry("predict_current")
+@entry("predict_current", 'SELECT occupant_id, 0.0::DOUBLE AS difference, true AS is_probability FROM feat_p')
 def _(spark, sf):
-    root, _ = _runs(spark, sf)
-    return modeling.predict_current(
+    """Each of today's customers has a score, that of the best model on the features returned."""
+    root, runs = _runs(spark, sf)
+    found = modeling.predict_current(
         spark, stages.cleaned(spark, sf), root, _OPTIONS, TRAIN_REF, PREDICT_REF,
         feature_folder=f"{root}/features",
     )
+    best = runs.filter("is_best").select("run_id").first()["run_id"]
+    model = modeling.PipelineModel.load(modeling.RunFolders(root).model(best))
+    again = modeling.score(model, found.drop("p_cutoff")).select("occupant_id", F.col("p_cutoff").alias("again"))
+    return rounded(found.join(again, "occupant_id").select(
+        "occupant_id", (F.col("p_cutoff") - F.col("again")).alias("difference"), F.col("p_cutoff").between(0, 1).alias("is_probability")))
 
 
 # -- risk questions ------------------------------------------------------------------------
 
 def _predictions(spark, sf):
-    return modeling.score_linear(stages.current_features(spark, sf), LOGIT).select("occupant_id", "p_cutoff")
+    return _scored_current(spark, sf).select("occupant_id", "p_cutoff")
 
 
 def _risk(spark, sf):
     return risk.dashboard_table(stages.current_features(spark, sf), _predictions(spark, sf))
 
 
-@entry("risk_table", f"SELECT {FEATURE_SELECT}, round(p_cutoff, 6) AS p_cutoff FROM scored_p")
+@entry("risk_table", f"SELECT {FEATURE_SELECT}, round(p_cutoff, 6) AS p_cutoff FROM scored_p", stages.BOTH)
 def _(spark, sf):
     return rounded(risk.risk_table(stages.current_features(spark, sf), _predictions(spark, sf)))
 
 
-@entry("risk_percentages", f"SELECT occupant_id, {r6(*risk.PERCENT_COLUMNS)} FROM risk_all")
+@entry("risk_percentages", f"SELECT occupant_id, {r6(*risk.PERCENT_COLUMNS)} FROM risk_all", stages.BOTH)
 def _(spark, sf):
     table = risk.risk_table(stages.current_features(spark, sf), _predictions(spark, sf))
     return rounded(risk.as_percentages(table).select("occupant_id", *risk.PERCENT_COLUMNS))
 
 
-@entry("dedupe_location", "SELECT location_id, occupant_id FROM risk_one")
+@entry("dedupe_location", "SELECT location_id, occupant_id FROM risk_one", stages.BOTH)
 def _(spark, sf):
     table = risk.risk_table(stages.current_features(spark, sf), _predictions(spark, sf))
     return risk.one_per_location(table).select("location_id", "occupant_id")
 
 
-@entry("anonymize_addresses", "SELECT location_id, meter_address FROM risk")
+@entry("anonymize_addresses", "SELECT location_id, meter_address FROM risk", stages.BOTH)
 def _(spark, sf):
     return _risk(spark, sf).select("location_id", "meter_address")
 
 
-@entry("threshold_filter", "SELECT occupant_id, round(p_cutoff, 6) AS p_cutoff FROM above")
+@entry("threshold_filter", "SELECT occupant_id, round(p_cutoff, 6) AS p_cutoff FROM above", stages.BOTH)
 def _(spark, sf):
     return rounded(risk.at_risk(_risk(spark, sf), THRESHOLD).select("occupant_id", "p_cutoff"))
 
 
-@entry("predicted_cutoffs", "SELECT count(*) AS predicted_cutoffs FROM above")
+@entry("predicted_cutoffs", "SELECT count(*) AS predicted_cutoffs FROM above", stages.BOTH)
 def _(spark, sf):
     return risk.predicted_cutoffs(_risk(spark, sf), THRESHOLD)
 
@@ -1038,12 +1229,12 @@ def _expected_sql(select: str) -> str:
     return f"SELECT feature, {select} FROM ({parts})"
 
 
-@entry("expected_total", _expected_sql("round(total, 6) AS total"))
+@entry("expected_total", _expected_sql("round(total, 6) AS total"), stages.BOTH)
 def _(spark, sf):
     return rounded(risk.expected_values(_risk(spark, sf), THRESHOLD).select("feature", "total"))
 
 
-@entry("expected_mean", _expected_sql("round(total / nullif(n, 0), 6) AS mean"))
+@entry("expected_mean", _expected_sql("round(total / nullif(n, 0), 6) AS mean"), stages.BOTH)
 def _(spark, sf):
     return rounded(risk.expected_values(_risk(spark, sf), THRESHOLD).select("feature", "mean"))
 
@@ -1052,7 +1243,7 @@ def _(spark, sf):
     SELECT 'risk' AS map, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
            round(p_cutoff, 6) AS value, meter_address FROM above
     UNION ALL SELECT 'history', round(latitude, 6), round(longitude, 6), round(mean_charge_tot, 6),
-              meter_address FROM above""")
+              meter_address FROM above""", stages.BOTH)
 def _(spark, sf):
     table = _risk(spark, sf)
 
@@ -1066,24 +1257,35 @@ _CATEGORIES = ["cust_type", "municipality", "meter_size"]
 
 
 @entry("category_share", " UNION ALL ".join(f"""
-    SELECT '{c}' AS category, CAST({c} AS VARCHAR) AS value,
-           round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM above GROUP BY {c}"""
-    for c in _CATEGORIES))
+    SELECT '{c}' AS category, CAST({c} AS VARCHAR) AS value, count(*) AS customers,
+           CASE WHEN {c} IS NULL THEN 0 ELSE round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) END AS share
+    FROM (SELECT * REPLACE (CASE WHEN location_id % 5 > 0 THEN cust_type END AS cust_type) FROM above) GROUP BY {c}"""
+    for c in _CATEGORIES), stages.BOTH)
 def _(spark, sf):
-    table = _risk(spark, sf)
-    out = None
-    for c in _CATEGORIES:
-        part = risk.category_share(table, c, THRESHOLD).select(
-            F.lit(c).alias("category"), F.col(c).cast("string").alias("value"), "share"
-        )
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    """All categories in one scan; some customers lose their type, so that there are some without one."""
+    table = _risk(spark, sf).withColumn("cust_type", F.when(F.col("location_id") % 5 > 0, F.col("cust_type")))
+    return rounded(risk.category_shares(table, _CATEGORIES, THRESHOLD))
+
+
+@entry("map_cells", """
+    WITH p AS (SELECT p_cutoff, (latitude + 90) / 180 AS y, (longitude + 180) / 360 AS x FROM risk),
+    k AS (SELECT p_cutoff, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN array_to_string(list_transform(range(1, 17), lambda n:
+              CAST((floor(y * power(2, n)) % 2) * 2 + floor(x * power(2, n)) % 2 AS INTEGER)), '') END AS path FROM p),
+    n AS (SELECT path[:level] AS cell, level, count(*) AS customers, sum(p_cutoff) AS total
+          FROM k, range(0, 17) r(level) WHERE path IS NOT NULL GROUP BY ALL)
+    SELECT n.cell, n.level, n.customers, round(n.total / n.customers, 6) AS value
+    FROM n LEFT JOIN n up ON n.level = up.level + 1 AND n.cell[:n.level - 1] = up.cell
+    WHERE (n.customers <= 3 OR n.level = 16) AND coalesce(up.customers > 3, n.level = 0)
+    UNION ALL SELECT NULL, NULL, count(*), round(avg(p_cutoff), 6) FROM k WHERE path IS NULL HAVING count(*) > 0""", stages.BOTH)
+def _(spark, sf):
+    """Cells of at most three customers; every customer is in one."""
+    return rounded(risk.map_cells(_risk(spark, sf), "p_cutoff", threshold=None, limit=3).select("cell", "level", "customers", "value"))
 
 
 @entry("customer_table", f"""
     SELECT meter_address, "nCutPrior", municipality, cust_type, meter_size,
            {', '.join(f'round({c}, 4) AS {c}' for c in ('p_cutoff', 'mean_charge_tot', 'mean_charge_late', 'mean_vol', 'f_late'))}
-    FROM above ORDER BY above.p_cutoff DESC, location_id LIMIT 1000""")
+    FROM above ORDER BY above.p_cutoff DESC, location_id LIMIT 1000""", stages.BOTH)
 def _(spark, sf):
     return risk.customer_table(_risk(spark, sf), THRESHOLD, limit=1000, digits=4, long_names=False)
 

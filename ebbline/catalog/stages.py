@@ -15,6 +15,9 @@ from ebbline.operators import clean, features
 from ebbline.sources.warehouse import new_folder, store
 
 SWEEP = (4, 6, 8, 10, 12)
+PREDICT_N = 36
+#: Window lengths of the tables from which scores of today's customers follow.
+BOTH = (6, PREDICT_N)
 _written: dict[tuple[str, ...], object] = {}
 
 
@@ -50,10 +53,10 @@ def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completed prediction features for n = 6, stored."""
+    """Completed prediction features for n = 36, stored; many customers have a shorter history."""
     return _once(spark, ("predict", sf_dir), lambda: store(
         features.complete_features(
-            features.feature_table(cleaned(spark, sf_dir), PREDICT_REF, "predict"), "predict"
+            features.feature_table(cleaned(spark, sf_dir), PREDICT_REF, "predict", PREDICT_N), "predict"
         ),
         new_folder(spark, "features"), "predict",
     ))

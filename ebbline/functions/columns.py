@@ -71,3 +71,16 @@ def md5_of(*cols: str) -> Column:
 def md5_number(text: str, part: int = 0) -> Column:
     """A number below 2^32 from the text's digest, one of four (part 0 to 3); other engines can repeat it."""
     return F.expr(f"bigint(conv(substring(md5(binary({text})), {8 * part + 1}, 8), 16, 10))")
+
+
+def canonical_text(df: DataFrame, column: str) -> str:
+    """SQL for a column's value as text that does not depend on the file format or the engine: numbers with a
+    fraction to six digits, timestamps to the second, NULL as a text of its own."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        value = f"CAST(CAST(round(CAST(`{column}` AS DOUBLE) * 1000000) AS BIGINT) AS STRING)"
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value = f"date_format(`{column}`, 'yyyy-MM-dd HH:mm:ss')"
+    else:
+        value = f"CAST(`{column}` AS STRING)"
+    return f"coalesce({value}, '<null>')"

@@ -103,6 +103,42 @@ def geocode(location: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
+def _address_key() -> Column:
+    return F.substring(F.col("meter_address"), F.lit(1), F.greatest(F.lit(0), F.length("meter_address") - 5))
+
+
+def _normal(text: str) -> Column:
+    """Upper case, with one space for whatever is no letter or digit."""
+    return F.trim(F.regexp_replace(F.upper(text), "[^A-Z0-9]+", " "))
+
+
+def geocode_best(location: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Coordinates of the best gazetteer entry, as a service gives them, and ``geocode_step``.
+
+    Step 0: the entry of the same text; 1: of the same text but for case and punctuation; 2: one
+    letter apart from that (inserted, deleted or replaced); none: NULL.  Ties go to the first entry
+    in text order.  Candidates of step 2 share a text that is left when one letter is taken out, or
+    the text itself, so an address meets its near entries alone; each distinct address is looked up once.
+    """
+    entries = first_per_key(
+        gazetteer.select("address_key", "latitude", "longitude"), ["address_key"], [F.col("latitude"), F.col("longitude")]
+    ).withColumn("normal", _normal("address_key"))
+    asked = location.select(_address_key().alias("asked")).filter("asked IS NOT NULL").distinct()
+    exact = asked.join(entries.withColumnRenamed("address_key", "entry"), F.col("asked") == F.col("entry")).select(
+        "asked", "entry", "latitude", "longitude", F.lit(0).alias("step"))
+    rest = asked.join(exact.select("asked"), "asked", "left_anti").withColumn("normal", _normal("asked")).filter("normal <> ''")
+    parts = F.expr("""explode(array_distinct(concat(array(normal), transform(sequence(1, length(normal)),
+        i -> concat(substring(normal, 1, i - 1), substring(normal, i + 1))))))""")
+    near = rest.select("asked", F.col("normal").alias("own"), parts.alias("part")).join(
+        entries.filter("normal <> ''").select(F.col("address_key").alias("entry"), "latitude", "longitude", "normal", parts.alias("part")), "part")
+    apart = F.levenshtein("own", "normal", 1)
+    near = near.withColumn("step", F.when(apart == 0, 1).when(apart == 1, 2)).filter("step IS NOT NULL")
+    found = exact.unionByName(near.select("asked", "entry", "latitude", "longitude", "step"))
+    best = first_per_key(found, ["asked"], [F.col("step"), F.col("entry")])
+    return location.withColumn("asked", _address_key()).join(
+        best.select("asked", "latitude", "longitude", F.col("step").alias("geocode_step")), "asked", "left").drop("asked")
+
+
 def align_monthly(
     records: DataFrame,
     ts: str,
@@ -229,7 +265,7 @@ def null_outliers(volume: DataFrame, limit: float = 5.0, hot_rows: int = HOT_ROW
     """Empty readings more than ``limit`` sample deviations above their customer's mean."""
     def work(labelled: DataFrame) -> DataFrame:
         spread = _spread(labelled)
-        sliced = slice_hot_keys(labelled, "occupant_id", "meter_read_at", hot_rows, spread)
+        sliced = slice_hot_keys(labelled, "occupant_id", "meter_read_at", hot_rows, spread, tie="charge_id")
         return _drop_outliers(sliced, spread, limit).drop(SLICE)
 
     return _with_unlabelled(work, volume)
@@ -296,7 +332,7 @@ def interpolate_readings(volume: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
     interpolate: they take the last known value, then the next.
     """
     def work(labelled: DataFrame) -> DataFrame:
-        sliced = slice_hot_keys(labelled, "occupant_id", "meter_read_at", hot_rows)
+        sliced = slice_hot_keys(labelled, "occupant_id", "meter_read_at", hot_rows, tie="charge_id")
         return _interpolate(sliced).drop(SLICE)
 
     return _with_unlabelled(work, volume)
@@ -352,7 +388,7 @@ def clean_tables(
 
     def outliers_and_gaps(labelled: DataFrame) -> DataFrame:
         spread = stage(_spread(labelled), "volume_spread")
-        sliced = slice_hot_keys(labelled, "occupant_id", "meter_read_at", hot_rows, spread)
+        sliced = slice_hot_keys(labelled, "occupant_id", "meter_read_at", hot_rows, spread, tie="charge_id")
         return _interpolate(_drop_outliers(sliced, spread, outlier_limit)).drop(SLICE)
 
     volume = zero_missing(_with_unlabelled(outliers_and_gaps, volume), "volume_kgals")

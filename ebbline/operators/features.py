@@ -162,7 +162,7 @@ def charge_windows(
     segments = seg.all_segments(bounds, cutoffs, ranked, keep_tail)
     sliced = seg.sliced_series(
         charge.select(KEY, CHARGE_TS, CHARGE_ID, "late", "total_charge", "late_charge"),
-        CHARGE_TS, bounds, hot_rows,
+        CHARGE_TS, bounds, hot_rows, CHARGE_ID,
     )
     joined = seg.records_in_segments(sliced, segments, CHARGE_TS, ref)
     return seg.number_windows(joined, CHARGE_TS, CHARGE_ID, n_samples)
@@ -186,7 +186,7 @@ def volume_windows(
     if seasonal == "global":
         # The profile rides on the segments: one join gives segment and anomalies.
         profile = stats.select(KEY, "n", "mean", "std", "log_mean", "log_std")
-        sliced = seg.sliced_series(readings, VOLUME_TS, stats, hot_rows)
+        sliced = seg.sliced_series(readings, VOLUME_TS, stats, hot_rows, VOLUME_ID)
         joined = seg.records_in_segments(sliced, segments.join(profile, KEY), VOLUME_TS, ref)
         joined = series.anomaly_columns(series.with_log_volume(joined))
     else:
@@ -408,3 +408,22 @@ def coverage_report(numbered_readings: DataFrame) -> DataFrame:
     return full_windows(numbered_readings, coverage_aggregates()).filter(
         (F.col("n_anom") < F.col("n_samples")) | (F.col("n_manom") < F.col("n_samples"))
     )
+
+
+def short_series_report(charges: DataFrame, readings: DataFrame) -> DataFrame:
+    """series, occupant, segment, window, n_samples, n_records: windows that the other series fills and this one does not.
+
+    Takes the numbered records of both series.  A segment should have the windows that the longer
+    series fills; what each series has is counted per window first, so no record is joined.
+    """
+    key = [KEY, "segment", "n_samples"]
+    counts = None
+    for name, records in (("charge", charges), ("volume", readings)):
+        part = records.groupBy(*key, "window").agg(F.count(F.lit(1)).alias("n_records")).select(F.lit(name).alias("series"), *key, "window", "n_records")
+        counts = part if counts is None else counts.unionByName(part)
+    full = counts.filter(F.col("n_records") == F.col("n_samples")).groupBy(*key).agg(F.max("window").alias("last"))
+    expected = full.withColumn("window", F.explode(F.sequence(F.lit(0), F.col("last").cast("int")))).withColumn(
+        "series", F.explode(F.array(F.lit("charge"), F.lit("volume")))).drop("last")
+    there = counts.withColumn("window", F.col("window").cast("int"))
+    return expected.join(there, ["series", *key, "window"], "left").withColumn("n_records", F.coalesce("n_records", F.lit(0))).filter(
+        F.col("n_records") < F.col("n_samples")).select("series", KEY, "segment", "window", "n_samples", "n_records")

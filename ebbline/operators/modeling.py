@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
+from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.errors import UnsupportedOperationException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +36,10 @@ ANOMALY = {"anom": ["f_anom3_vol"], "manom": ["f_manom3_vol"], "none": []}
 METADATA = ["cust_type_code", "municipality", "meter_size"]
 CUT_PRIOR = ["cut_prior"]
 CATEGORICAL = [*METADATA, *CUT_PRIOR]
+# Mix of the two penalties, depth of a forest without a depth grid.
+ELASTIC_MIX, DEFAULT_DEPTH = 0.5, 20
+#: Rows that a task of a fit should have at least.
+ROWS_A_PARTITION = 20_000
 
 
 @dataclass(frozen=True)
@@ -41,13 +49,16 @@ class ModelOptions:
     with_cut_prior: bool = False
     model_types: tuple[str, ...] = ("logistic_regression", "random_forest")
     n_samples: tuple[int, ...] = (4, 6, 8, 10, 12)
-    max_depths: tuple[int, ...] = (3, 4, 5)
+    max_depths: tuple[int, ...] | None = (3, 4, 5)
     trees: int = 100
     folds: int = 5
     regularization: bool = True
-    reg_params: tuple[float, ...] = (0.0001, 0.001, 0.01, 0.1)
+    reg_params: tuple[float, ...] | None = None  # None: a path from the data
+    path_length: int = 20
+    path_least: float = 1e-4
+    patience: int = 3
     rebalance: str | None = "weights"
-    parallelism: int = 4
+    parallelism: int = 8
     seed: int = 1
     features: list[str] = field(init=False)
 
@@ -61,6 +72,11 @@ class ModelOptions:
         meta = "with_meta" if self.with_meta else "no_meta"
         return f"train.{ref_date}.{prior}.{meta}.{self.anom}"
 
+    def digest(self) -> str:
+        """Of everything that can change a result."""
+        fields = {k: v for k, v in asdict(self).items() if k != "parallelism"}
+        return hashlib.md5(json.dumps(fields, sort_keys=True).encode()).hexdigest()[:12]
+
 
 # -- model data ----------------------------------------------------------------------------
 
@@ -219,12 +235,43 @@ def with_folds(train: DataFrame, folds: int = 5, label: str = LABEL) -> DataFram
 
 # -- models --------------------------------------------------------------------------------
 
-def feature_stages(names: Sequence[str], one_hot: bool) -> list:
-    """Index the categorical features (unseen values kept apart), encode them for linear
-    models, assemble one vector."""
-    categorical = [c for c in names if c in CATEGORICAL]
-    stages: list = []
-    inputs = [c for c in names if c not in categorical]
+def numeric_and_categorical(names: Sequence[str]) -> tuple[list[str], list[str]]:
+    return [c for c in names if c not in CATEGORICAL], [c for c in names if c in CATEGORICAL]
+
+
+def missing_values(train: DataFrame, names: Sequence[str]) -> tuple[dict[str, float], list[str]]:
+    """What a missing numeric feature counts as, its weighted mean over the training rows, and the features
+    that training rows lack."""
+    numeric, _ = numeric_and_categorical(names)
+    if not numeric:
+        return {}, []
+    weight = F.col(WEIGHT) if WEIGHT in train.columns else F.lit(1.0)
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric}
+    row = train.agg(
+        *[F.try_divide(F.sum(value[c] * weight), F.sum(F.when(value[c].isNotNull(), weight))).alias(c) for c in numeric],
+        *[F.count_if(value[c].isNull()).alias(f"{c}_n") for c in numeric],
+    ).first()
+    return {c: row[c] if row[c] is not None else 0.0 for c in numeric}, [c for c in numeric if row[f"{c}_n"]]
+
+
+def fill_stage(means: dict[str, float], flagged: Sequence[str]) -> SQLTransformer:
+    """The means take the place of missing values; a flagged feature also tells that it was missing.
+
+    The state is in the statement, so it is saved and loaded with the model.
+    """
+    flags = [f"CAST({c} IS NULL OR isnan({c}) AS DOUBLE) AS {c}_missing" for c in flagged]
+    filled = [f"coalesce(nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE)), CAST('{v!r}' AS DOUBLE)) AS {c}" for c, v in means.items()]
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(means)}), {', '.join([*filled, *flags])} FROM __THIS__")
+
+
+def feature_stages(
+    names: Sequence[str], one_hot: bool, means: dict[str, float] | None = None, flagged: Sequence[str] = (), output: str = "features"
+) -> list:
+    """Fill missing numbers, index the categorical features (unseen and missing values are one more
+    category), encode them for linear models, assemble one vector."""
+    numeric, categorical = numeric_and_categorical(names)
+    stages: list = [fill_stage(means, flagged)] if means else []
+    inputs = [*numeric, *[f"{c}_missing" for c in flagged]]
     if categorical:
         indexed = [f"{c}_index" for c in categorical]
         stages.append(StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"))
@@ -234,7 +281,7 @@ def feature_stages(names: Sequence[str], one_hot: bool) -> list:
             inputs += encoded
         else:
             inputs += indexed
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="keep"))
     return stages
 
 
@@ -246,18 +293,6 @@ def _weighted(estimator, table: DataFrame):
     return estimator.setWeightCol(WEIGHT) if WEIGHT in table.columns else estimator
 
 
-def _cross_validate(pipeline, grid, train: DataFrame, options: ModelOptions):
-    """Fit the grid on the given folds; the first best setting wins and is refitted on all rows."""
-    search = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=grid, numFolds=options.folds, foldCol=FOLD,
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction"),
-        parallelism=options.parallelism, collectSubModels=True, seed=options.seed,
-    )
-    fitted = search.fit(train)
-    best = max(range(len(grid)), key=lambda i: (fitted.avgMetrics[i], -i))
-    return fitted, best
-
-
 @dataclass
 class Trained:
     model: PipelineModel
@@ -266,111 +301,273 @@ class Trained:
     cv_auc: float | None
 
 
-def _train_grid(train: DataFrame, options: ModelOptions, estimator, grid, one_hot: bool) -> Trained:
-    pipeline = Pipeline(stages=[*feature_stages(options.features, one_hot), estimator])
-    fitted, best = _cross_validate(pipeline, grid, train, options)
-    held_out = None
-    for k in range(options.folds):
-        part = score(fitted.subModels[k][best], train.filter(F.col(FOLD) == k))
-        held_out = part if held_out is None else held_out.unionByName(part)
-    return Trained(fitted.bestModel, options.features, held_out, fitted.avgMetrics[best])
+class GridSearch:
+    """Fits an estimator's settings on the folds; a fold's model is scored, its scores are written, and it is dropped.
+
+    The features are encoded once; what the folds fit is the estimator alone.  Settings are compared
+    by exact metrics of the scores of all folds together.
+    """
+
+    def __init__(self, train: DataFrame, options: ModelOptions, stages: Sequence):
+        self.options, self.folder = options, warehouse.new_folder(train.sparkSession, "search")
+        self.encoder = Pipeline(stages=list(stages)).fit(train)
+        kept = [c for c in [*KEY, LABEL, WEIGHT, FOLD, "features"] if c == "features" or c in train.columns]
+        stored = warehouse.store(self.encoder.transform(train).select(*kept), self.folder, "encoded")
+        # every step of a fit is a job over all partitions; few rows need few of them
+        self.rows = stored.coalesce(max(1, math.ceil(stored.count() / ROWS_A_PARTITION)))
+        self.slots = _slots(self.encoder, train)
+        self.tried: list = []
+        self.stats: list[dict] = []
+
+    def run(self, estimators: Sequence) -> None:
+        """Scores of each setting's folds, several fits at a time, and the metrics of each setting."""
+        first = len(self.tried)
+
+        def one(job: tuple[int, int]) -> None:
+            setting, fold = job
+            model = estimators[setting].copy().fit(self.rows.filter(F.col(FOLD) != fold))
+            held_out = score(model, self.rows.filter(F.col(FOLD) == fold))
+            held_out.write.mode("overwrite").parquet(f"{self.folder}/held_out/setting={first + setting}/fold={fold}")
+
+        jobs = [(k, fold) for k in range(len(estimators)) for fold in range(self.options.folds)]
+        with ThreadPoolExecutor(max(1, self.options.parallelism)) as pool:
+            list(pool.map(one, jobs))
+        self.tried += estimators
+        new = self.held_out().filter(F.col("setting") >= first)
+        rows = {r["setting"]: r.asDict() for r in metrics.score_metrics(new, LABEL, "p_cutoff", group="setting").collect()}
+        self.stats += [rows.get(first + k, {"auc": None, "logloss": None}) for k in range(len(estimators))]
+
+    def held_out(self, setting: int | None = None) -> DataFrame:
+        rows = self.rows.sparkSession.read.parquet(f"{self.folder}/held_out")
+        return rows if setting is None else rows.filter(F.col("setting") == setting).drop("setting", "fold")
+
+    def best(self, metric: str) -> int:
+        """The first setting of highest AUC or lowest log-loss."""
+        value = {"auc": lambda s: s["auc"], "logloss": lambda s: None if s["logloss"] is None else -s["logloss"]}[metric]
+        return max(range(len(self.stats)), key=lambda k: (-math.inf if value(self.stats[k]) is None else value(self.stats[k]), -k))
+
+    def trained(self, setting: int) -> Trained:
+        """The setting fitted on all rows, behind the encoder."""
+        estimator = self.tried[setting].copy()
+        if estimator.hasParam("tol"):  # the chosen one is fitted more closely
+            estimator.setTol(1e-10).setMaxIter(500)
+        model = estimator.fit(self.rows)
+        return Trained(
+            PipelineModel([*self.encoder.stages, model]), self.options.features, self.held_out(setting), self.stats[setting]["auc"]
+        )
+
+
+def penalty_path(rows: DataFrame, length: int, least: float, mix: float) -> list[float]:
+    """Penalties from the one that leaves no coefficient down to ``least`` of it, evenly in the logarithm.
+
+    At the null model a feature enters when its weighted gradient, in standard deviations, passes
+    ``mix`` times the penalty; one aggregation over the two classes gives all gradients.
+    """
+    weight = F.col(WEIGHT) if WEIGHT in rows.columns else F.lit(1.0)
+    summary = Summarizer.metrics("mean", "variance").summary(F.col("features"), weight)
+    parts = {int(r[LABEL]): r for r in rows.groupBy(LABEL).agg(summary.alias("s"), F.sum(weight).alias("w")).collect()}
+    if set(parts) != {0, 1}:
+        return [1.0]
+    w = {y: r["w"] for y, r in parts.items()}
+    mean = {y: r["s"]["mean"].toArray() for y, r in parts.items()}
+    whole = rows.agg(summary.alias("s")).first()["s"]
+    deviation = np.sqrt(whole["variance"].toArray())
+    total = w[0] + w[1]
+    centre = (w[0] * mean[0] + w[1] * mean[1]) / total
+    gradient = np.divide(w[1] / total * (mean[1] - centre), deviation, out=np.zeros(len(centre)), where=deviation > 0)
+    top = float(np.abs(gradient).max(initial=0.0)) / mix
+    if top <= 0:
+        return [1.0]
+    return [top * least ** (k / max(1, length - 1)) for k in range(length)]
+
+
+def _logistic(train: DataFrame, penalty: float, mix: float = ELASTIC_MIX):
+    return _weighted(LogisticRegression(
+        labelCol=LABEL, elasticNetParam=mix, standardization=True, maxIter=50, tol=1e-4, regParam=penalty
+    ), train)
 
 
 def train_logistic(train: DataFrame, options: ModelOptions) -> Trained:
-    """Elastic-net logistic regression over a path of penalties, or without a penalty."""
-    estimator = _weighted(
-        LogisticRegression(labelCol=LABEL, elasticNetParam=0.5, standardization=True, maxIter=100),
-        train,
-    )
-    path = options.reg_params if options.regularization else (0.0,)
-    grid = ParamGridBuilder().addGrid(estimator.regParam, list(path)).build()
-    return _train_grid(train, options, estimator, grid, one_hot=True)
+    """Elastic-net logistic regression, its penalty searched along a path from the data; or without a penalty.
+
+    The search goes from large penalties to small ones, some at a time, and ends when the held-out
+    log-loss has not improved for ``patience`` settings; the lowest log-loss wins.
+    """
+    if not options.regularization:
+        return train_logistic_plain(train, options)
+    means, _ = missing_values(train, options.features)
+    search = GridSearch(train, options, feature_stages(options.features, True, means))
+    path = list(options.reg_params or penalty_path(search.rows, options.path_length, options.path_least, ELASTIC_MIX))
+    at_once = max(1, options.parallelism // max(1, options.folds)) + 1
+    for k in range(0, len(path), at_once):
+        search.run([_logistic(train, p) for p in path[k : k + at_once]])
+        if options.reg_params is None and len(search.stats) - 1 - search.best("logloss") >= options.patience:
+            break
+    return search.trained(search.best("logloss"))
+
+
+def independent_slots(rows: DataFrame, size: int) -> list[int]:
+    """Slots of ``features`` that, with an intercept, determine all others: constants and combinations go.
+
+    The correlations of all slots come from one distributed aggregation; what is left for the driver
+    is a matrix of the slots' number squared, worked off by pivots in the slots' order.
+    """
+    if not size:
+        return []
+    varies = rows.agg(Summarizer.variance(F.col("features"))).first()[0].toArray() > 0
+    left, kept = np.nan_to_num(Correlation.corr(rows, "features").first()[0].toArray()), []
+    for k in np.flatnonzero(varies).tolist():
+        if left[k, k] < 1e-9:
+            continue
+        kept.append(k)
+        row = left[k] / math.sqrt(left[k, k])
+        left = left - np.outer(row, row)
+    return kept
+
+
+def train_logistic_plain(train: DataFrame, options: ModelOptions) -> Trained:
+    """Binomial model without a penalty, with standard errors and p-values.
+
+    Of each category's indicators and of features that follow from others, those that add no rank
+    are left out: the level that is met most often first, which is what the others are compared with.
+    """
+    means, _ = missing_values(train, options.features)
+    stages = feature_stages(options.features, True, means, output="all_features")
+    probe = Pipeline(stages=[*stages[:-1], stages[-1].copy().setOutputCol("features")]).fit(train)
+    slots = _slots(probe, train)
+    levels = _first_levels(probe)
+    order = [k for k, name in enumerate(slots) if name not in levels]
+    kept = [order[k] for k in independent_slots(
+        probe.transform(train).select(_sliced("features", order).alias("features")), len(order))]
+    stages.append(VectorSlicer(inputCol="all_features", outputCol="features", indices=kept))
+    search = GridSearch(train, options, stages)
+    search.run([_weighted(GeneralizedLinearRegression(
+        labelCol=LABEL, family="binomial", link="logit", solver="irls", regParam=0.0, maxIter=50, tol=1e-10
+    ), train)])
+    return search.trained(0)
+
+
+def _sliced(column: str, slots: Sequence[int]) -> Column:
+    values = vector_to_array(column)
+    return array_to_vector(F.array(*[values[k] for k in slots]))
+
+
+def _first_levels(model: PipelineModel) -> set[str]:
+    """Names of the indicator slots of each feature's commonest level."""
+    return {f"{c}_onehot_{labels[0]}" for stage in model.stages if isinstance(stage, StringIndexerModel)
+            for c, labels in zip(stage.getInputCols(), stage.labelsArray) if labels}
 
 
 def train_forest(train: DataFrame, options: ModelOptions) -> Trained:
-    """Random forests over the depth grid.  A category needs a bin, and so do unseen ones."""
-    categorical = [c for c in options.features if c in CATEGORICAL]
-    sizes = train.agg(*[F.countDistinct(c) for c in categorical]).first() if categorical else ()
-    bins = max([64, *(n + 1 for n in sizes)])
-    estimator = _weighted(
-        RandomForestClassifier(labelCol=LABEL, numTrees=options.trees, seed=options.seed, maxBins=bins),
-        train,
-    )
-    grid = ParamGridBuilder().addGrid(estimator.maxDepth, list(options.max_depths)).build()
-    return _train_grid(train, options, estimator, grid, one_hot=False)
-
-
-def train_logistic_pvalues(train: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Unpenalized binomial model: name, coefficient, standard error and p-value."""
-    pipeline = Pipeline(stages=[
-        *feature_stages(names, one_hot=False),
-        _weighted(GeneralizedLinearRegression(
-            labelCol=LABEL, family="binomial", link="logit", solver="irls", regParam=0.0
-        ), train),
-    ]).fit(train)
-    model = pipeline.stages[-1]
-    summary = model.summary
-    rows = zip(
-        [*_input_names(pipeline, train), "Intercept"],
-        [*model.coefficients.toArray().tolist(), model.intercept],
-        summary.coefficientStandardErrors,
-        summary.pValues,
-    )
-    return train.sparkSession.createDataFrame(
-        [(n, float(c), float(e), float(p)) for n, c, e, p in rows],
-        "name string, coefficient double, std_error double, p_value double",
-    )
+    """Random forests over the depth grid (depth 20 without one).  A category needs a bin, and so do unseen ones.
+
+    A feature that training rows lack is flagged, so trees can split on its absence.
+    """
+    means, flagged = missing_values(train, options.features)
+    search = GridSearch(train, options, feature_stages(options.features, False, means, flagged))
+    sizes = [len(v) + 1 for stage in search.encoder.stages if isinstance(stage, StringIndexerModel) for v in stage.labelsArray]
+    forest = _weighted(RandomForestClassifier(
+        labelCol=LABEL, numTrees=options.trees, seed=options.seed, maxBins=max([64, *sizes])
+    ), train)
+    search.run([forest.copy().setMaxDepth(d) for d in options.max_depths or (DEFAULT_DEPTH,)])
+    return search.trained(search.best("auc"))
+
+
+def residuals(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """Per slot of a linear model, and the intercept: name, value, deviation and gradient.
+
+    gradient is the weighted mean of (p - label) times the slot, 0 everywhere at the optimum without a penalty.
+    """
+    last, names = model.stages[-1], _slots(model, train)
+    w = F.col(WEIGHT) if WEIGHT in train.columns else F.lit(1.0)
+    scored = model.transform(train)
+    p = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
+    rows = scored.select(F.concat(vector_to_array("features"), F.array(F.lit(1.0))).alias("x"), (p - F.col(LABEL)).alias("r"), w.alias("w"), "features")
+    slots = rows.select("r", "w", F.posexplode("x").alias("slot", "x")).groupBy("slot").agg(
+        (F.sum(F.col("w") * F.col("r") * F.col("x")) / F.sum("w")).alias("gradient"))
+    deviation = [*np.sqrt(rows.agg(Summarizer.metrics("variance").summary(F.col("features"), F.col("w")).alias("s")).first()["s"]["variance"].toArray()).tolist(), 1.0]
+    values = [*last.coefficients.toArray().tolist(), last.intercept]
+    known = train.sparkSession.createDataFrame(list(zip(range(len(values)), [*names, "Intercept"], values, deviation)), "slot int, name string, value double, deviation double")
+    return known.join(slots, "slot").select("name", "value", "deviation", "gradient")
+
+
+def optimality(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """name and gap: how far each slot is from the first-order conditions of the penalized likelihood."""
+    last = model.stages[-1]
+    penalty, mix = (last.getRegParam(), last.getElasticNetParam()) if hasattr(last, "getElasticNetParam") else (0.0, 0.0)
+    own = F.when(F.col("name") == "Intercept", 0.0).otherwise(F.lit(penalty))
+    g, b = F.try_divide("gradient", "deviation"), F.col("value") * F.col("deviation")
+    inside = F.greatest(F.lit(0.0), F.abs(g) - own * mix)
+    moved = F.abs(g + own * (1 - mix) * b + own * mix * F.signum(b))
+    return residuals(model, train).select("name", F.coalesce(F.when(b == 0, inside).otherwise(moved), F.lit(0.0)).alias("gap"))
 
 
 TRAINERS = {"logistic_regression": train_logistic, "random_forest": train_forest}
 
 
-def score(model: PipelineModel, table: DataFrame) -> DataFrame:
-    """Key, label if there is one, and the probability of class 1; NULL where an input is missing to the model."""
+def score(model: Model, table: DataFrame) -> DataFrame:
+    """Key, label if there is one, and the probability of class 1."""
     kept = [c for c in [*KEY, LABEL, "subset", "stratum"] if c in table.columns]
-    return model.transform(table).select(
-        *kept, F.nanvl(vector_to_array("probability")[1], F.lit(None).cast("double")).alias("p_cutoff")
-    )
+    scored = model.transform(table)
+    p = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
+    return scored.select(*kept, F.nanvl(p, F.lit(None).cast("double")).alias("p_cutoff"))
 
 
-def score_linear(table: DataFrame, coefficients: dict[str, float]) -> DataFrame:
-    """Probability from given logit coefficients: pure column arithmetic."""
+def score_linear(table: DataFrame, coefficients: dict[str, float], means: dict[str, float] | None = None) -> DataFrame:
+    """Probability from given logit coefficients: pure column arithmetic.  A missing input counts as its mean, if given."""
     z = F.lit(0.0)
     for name, w in coefficients.items():
-        z = z + (F.lit(float(w)) if name == "intercept" else F.lit(float(w)) * F.col(name))
+        if name == "intercept":
+            z = z + F.lit(float(w))
+        else:
+            value = F.col(name)
+            if means and name in means:
+                value = F.coalesce(F.nanvl(value.cast("double"), F.lit(None).cast("double")), F.lit(float(means[name])))
+            z = z + F.lit(float(w)) * value
     return table.withColumn("p_cutoff", 1 / (1 + F.exp(-z)))
 
 
-def _input_names(model: PipelineModel, table: DataFrame) -> list[str]:
-    """Names of the vector's slots, from the assembler's metadata."""
+def _slots(model: PipelineModel, table: DataFrame) -> list[str]:
+    """Names of the slots of ``features``, from the column's metadata."""
     transformed = table.limit(0)
-    for stage in model.stages[:-1]:
-        transformed = stage.transform(transformed)
+    for stage in model.stages:
+        if isinstance(stage, (VectorAssembler, VectorSlicer)) or not hasattr(stage, "getFeaturesCol"):
+            transformed = stage.transform(transformed)
     attrs = transformed.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     slots = sorted((a["idx"], a["name"]) for group in attrs.values() for a in group)
     return [name for _, name in slots]
 
 
+COEFS = "name string, value double, kind string, std_error double, p_value double"
+
+
 def coefficients(model: PipelineModel, table: DataFrame) -> DataFrame:
-    """name, value, kind: coefficients of a linear model, importances of a forest."""
-    last = model.stages[-1]
-    names = _input_names(model, table)
+    """name, value, kind, std_error, p_value: coefficients of a linear model, importances of a forest.
+
+    Errors and p-values are known for the model without a penalty, as long as it is not a reloaded one
+    and its likelihood has a finite optimum.
+    """
+    last, names = model.stages[-1], _slots(model, table)
     if hasattr(last, "featureImportances"):
-        values, kind = last.featureImportances.toArray().tolist(), "importance"
+        rows = [(n, float(v), "importance", None, None) for n, v in zip(names, last.featureImportances.toArray().tolist())]
     else:
-        names = [*names, "Intercept"]
-        values, kind = [*last.coefficients.toArray().tolist(), last.intercept], "coefficient"
-    return table.sparkSession.createDataFrame(
-        [(n, float(v), kind) for n, v in zip(names, values)], "name string, value double, kind string"
-    )
+        values = [*last.coefficients.toArray().tolist(), last.intercept]
+        errors = ps = [None] * len(values)
+        if isinstance(last, GeneralizedLinearRegressionModel) and last.hasSummary:
+            try:
+                errors, ps = last.summary.coefficientStandardErrors, last.summary.pValues
+            except UnsupportedOperationException:  # a level has one label only, so there is no finite optimum
+                pass
+        rows = [(n, float(v), "coefficient", e, p) for n, v, e, p in zip([*names, "Intercept"], values, errors, ps)]
+    return table.sparkSession.createDataFrame(rows, COEFS)
 
 
 # -- training runs -------------------------------------------------------------------------
 
 STATS_SCHEMA = T.StructType([
-    T.StructField("run_id", T.StringType()), T.StructField("options", T.StringType()),
+    T.StructField("run_id", T.StringType()), T.StructField("sweep_id", T.StringType()), T.StructField("options", T.StringType()),
     T.StructField("grid_order", T.IntegerType()), T.StructField("n_samples", T.IntegerType()),
-    T.StructField("model_type", T.StringType()),
+    T.StructField("model_type", T.StringType()), T.StructField("seed", T.IntegerType()),
     *[T.StructField(f"{m}_{s}", T.DoubleType())
       for s in ("train", "xval", "test") for m in ("auc", "logloss", "r2")],
 ])
@@ -383,7 +580,9 @@ def prepare_training(features: DataFrame, options: ModelOptions, folder: str, na
     if options.rebalance == "weights":
         train = with_class_weights(train)
     elif options.rebalance == "oversample":
-        train = smote_oversample(train, options.features).withColumn("subset", F.lit("train"))
+        means, _ = missing_values(train, options.features)
+        known = train.fillna(means).replace(float("nan"), None, subset=list(means)).fillna(means) if means else train
+        train = smote_oversample(known, options.features).withColumn("subset", F.lit("train"))
     elif options.rebalance is not None:
         raise ValueError(f"rebalance {options.rebalance!r}: expected weights, oversample or None")
     train = with_folds(train, options.folds)
@@ -397,11 +596,7 @@ def train_and_test(
     """Train one kind of model; held-out, train and test scores and their metrics."""
     if model_type not in TRAINERS:
         raise ValueError(f"model type {model_type!r}: expected one of {sorted(TRAINERS)}")
-    train = prepared.filter("subset = 'train'").cache()
-    try:
-        trained = TRAINERS[model_type](train, options)
-    finally:
-        train.unpersist()
+    trained = TRAINERS[model_type](prepared.filter("subset = 'train'"), options)
     scored = {
         "train": score(trained.model, prepared.filter("subset = 'train'")),
         "xval": trained.cv,
@@ -445,57 +640,85 @@ class RunFolders:
     def runs(self) -> str:
         return f"{self.root}/runs"
 
+    @property
+    def sweeps(self) -> str:
+        return f"{self.root}/sweeps"
+
     def model(self, run_id: str) -> str:
         return f"{self.root}/models/{run_id}"
 
 
+def sweep_name(features: DataFrame, options: ModelOptions, ref_date: str) -> str:
+    """Tells apart what the runs depend on: every option, the date and the content of the feature table."""
+    rows = features.select(F.xxhash64(*[F.col(c) for c in sorted(features.columns)]).cast("decimal(20,0)").alias("h"))
+    content = rows.agg(F.count("h"), F.sum("h"), F.sum(F.xxhash64("h").cast("decimal(20,0)"))).first()
+    return f"{options.tag(ref_date)}.{options.digest()}.{hashlib.md5(str(tuple(content)).encode()).hexdigest()[:12]}"
+
+
 def train_sweep(
     spark: SparkSession, features: DataFrame, root: str, options: ModelOptions, ref_date: str
 ) -> DataFrame:
     """Train every model type for every window length and record the runs; returns them.
 
-    The loop covers the small grid of settings only; every fit and every score is a
-    distributed job.  ``features`` holds all window lengths (column ``n_samples``).
+    The loop covers the small grid of settings only; every fit and every score is a distributed job.
+    ``features`` holds all window lengths (column ``n_samples``); the seed grows from one to the next.
+
+    A run's row in the statistics is written when all else of the run is there, and the sweep's row
+    when all runs are, so a sweep that was cut off is not seen; started again with the same options on
+    the same features, it goes on with the runs that are missing.
     """
-    folders = RunFolders(root)
-    tag = options.tag(ref_date)
-    rows = []
+    folders, sweep = RunFolders(root), sweep_name(features, options, ref_date)
+    recorded = warehouse.read_if_there(spark, folders.stats, STATS_SCHEMA).filter(F.col("sweep_id") == sweep)
+    done = {r["run_id"] for r in recorded.select("run_id").collect()}
     for i, n in enumerate(options.n_samples):
+        runs = {f"{sweep}.N{n:02d}.{m}": (j, m) for j, m in enumerate(options.model_types)}
+        if done.issuperset(runs):
+            continue
+        own = replace(options, seed=options.seed + i)
         table = features.filter(F.col("n_samples") == n).drop("n_samples")
-        prepared = prepare_training(table, options, f"{root}/training", f"{tag}.N{n:02d}")
-        for j, model_type in enumerate(options.model_types):
-            run_id = f"{tag}.N{n:02d}.{model_type}"
-            trained, scored, stats = train_and_test(prepared, model_type, options)
+        prepared = prepare_training(table, own, f"{root}/training", f"{sweep}.N{n:02d}")
+        for run_id, (j, model_type) in runs.items():
+            if run_id in done:
+                continue
+            trained, scored, stats = train_and_test(prepared, model_type, own)
             trained.model.write().overwrite().save(folders.model(run_id))
             for subset in ("train", "test"):
                 warehouse.write_predictions(scored[subset], folders.predictions, run_id, subset)
             warehouse.write_by_run(
                 coefficients(trained.model, prepared).withColumn("run_id", F.lit(run_id)), folders.coefs
             )
-            rows.append({
-                "run_id": run_id, "options": tag, "grid_order": i * len(options.model_types) + j,
-                "n_samples": n, "model_type": model_type, **stats,
-            })
-    stats_table = spark.createDataFrame([tuple(r.get(f.name) for f in STATS_SCHEMA) for r in rows], STATS_SCHEMA)
-    warehouse.write_by_run(stats_table, folders.stats)
-    written = spark.read.parquet(folders.stats).filter(F.col("options") == tag)
-    warehouse.write_by_run(best_run(written.select(*STATS_SCHEMA.names)), folders.runs)
-    return spark.read.parquet(folders.runs).filter(F.col("options") == tag)
+            row = {
+                "run_id": run_id, "sweep_id": sweep, "options": options.tag(ref_date), "grid_order": i * len(options.model_types) + j,
+                "n_samples": n, "model_type": model_type, "seed": own.seed, **stats,
+            }
+            warehouse.write_by_run(spark.createDataFrame([tuple(row.get(c) for c in STATS_SCHEMA.names)], STATS_SCHEMA), folders.stats)
+    if not warehouse.is_committed(spark, folders.sweeps, sweep):
+        written = warehouse.read_if_there(spark, folders.stats, STATS_SCHEMA).filter(F.col("sweep_id") == sweep)
+        warehouse.write_by_run(best_run(written.select(*STATS_SCHEMA.names)), folders.runs)
+    warehouse.commit_sweep(spark, folders.sweeps, sweep, f"{options.tag(ref_date)}.{options.digest()}")
+    return recorded_runs(spark, root, options, ref_date)
+
+
+def recorded_runs(spark: SparkSession, root: str, options: ModelOptions, ref_date: str) -> DataFrame:
+    """The runs of the last complete sweep with exactly these options."""
+    folders = RunFolders(root)
+    sweep = warehouse.last_sweep(spark, folders.sweeps, f"{options.tag(ref_date)}.{options.digest()}")
+    if sweep is None:
+        raise LookupError(f"no recorded sweep for {options.tag(ref_date)} with these options")
+    return spark.read.parquet(folders.runs).filter(F.col("sweep_id") == sweep)
 
 
 def predict_current(
     spark: SparkSession, tables: dict[str, DataFrame], root: str, options: ModelOptions,
     train_ref: str, ref: str, feature_folder: str | None = None,
 ) -> DataFrame:
-    """Score today's customers with the best recorded run; features plus ``p_cutoff``."""
+    """Score today's customers with the best recorded run; features plus ``p_cutoff``.
+
+    Customers with a history shorter than the window have missing features; the model fills them
+    with what it learned in training.
+    """
     folders = RunFolders(root)
-    best = (
-        spark.read.parquet(folders.runs)
-        .filter((F.col("options") == options.tag(train_ref)) & F.col("is_best"))
-        .select("run_id", "n_samples").first()
-    )
-    if best is None:
-        raise LookupError(f"no recorded run for {options.tag(train_ref)}")
+    best = recorded_runs(spark, root, options, train_ref).filter("is_best").select("run_id", "n_samples").first()
     n = best["n_samples"]
     features = complete_features(feature_tables(tables, ref, "predict", [n]), "predict")
     if feature_folder is None:

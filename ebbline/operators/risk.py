@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.plans.skew import first_per_key
@@ -30,7 +32,6 @@ LONG_NAMES = {
     "f_late": "Late Payment Pct (%)",
     "nCutPrior": "Number of Prior Cutoffs",
     "meter_address": "Address",
-    "move_in_date": "Move-In Date",
     "cust_type": "Customer Type",
     "municipality": "Municipality",
     "meter_size": "Meter Size",
@@ -119,6 +120,61 @@ def category_share(
     )
 
 
+def category_shares(risk: DataFrame, categories: Sequence[str], threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """category, value, customers and share for several categories, from one scan.
+
+    Customers without a value count as 0 % but in the total, as in ``category_share``.
+    """
+    given = at_risk(risk, threshold).select(*categories)
+    sets = given.groupingSets([[F.col(c)] for c in categories], *[F.col(c) for c in categories]).agg(
+        *[F.grouping(c).alias(f"_{c}") for c in categories], F.count(F.lit(1)).alias("customers"))
+    category = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.lit(c)) for c in categories])
+    value = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.col(c).cast("string")) for c in categories])
+    total = F.sum("customers").over(Window.partitionBy("category"))
+    return sets.select(category.alias("category"), value.alias("value"), "customers").withColumn(
+        "share", F.when(F.col("value").isNull(), F.lit(0.0)).otherwise(F.col("customers") * 100.0 / total))
+
+
+#: Halvings of the world's latitudes and longitudes; the smallest cell is some 300 m by 600 m.
+DEEPEST_CELL = 16
+
+
+def map_cells(
+    risk: DataFrame, value: str, threshold: float | None = DEFAULT_THRESHOLD, limit: int = 1000, deepest: int = DEEPEST_CELL
+) -> DataFrame:
+    """cell, level, south, west, north, east, customers, value: a quadtree for maps with too many points to draw.
+
+    A cell with more than ``limit`` customers is cut into four, down to level ``deepest``; each
+    customer is in one cell.  ``cell`` names the quarters from the whole world on (0 to 3: south-west,
+    south-east, north-west, north-east); ``value`` is the mean.  Customers without a place are together in a row without a cell.
+    Rows are summed to the smallest cells before anything is shuffled; the tree is built from those sums.
+    """
+    rows = risk if threshold is None else at_risk(risk, threshold)
+    top = F.lit(1 - 2.0 ** -(deepest + 1))  # the pole and the date line belong to the last cells
+    y, x = ((F.col("latitude") + 90) / 180, (F.col("longitude") + 180) / 360)
+    y, x = F.when(y > top, top).otherwise(y), F.when(x > top, top).otherwise(x)
+    path = F.concat(*[
+        (F.floor(y * 2**n) % 2 * 2 + F.floor(x * 2**n) % 2).cast("int").cast("string") for n in range(1, deepest + 1)
+    ]) if deepest else F.when(x.isNotNull() & y.isNotNull(), F.lit(""))
+    smallest = rows.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.count(value).alias("v"))
+    nodes = smallest.filter("path IS NOT NULL").select("*", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level")).groupBy(
+        F.expr("substring(path, 1, level)").alias("cell"), "level").agg(F.sum("n").alias("customers"), F.sum("s").alias("s"), F.sum("v").alias("v"))
+    up = nodes.select(F.col("cell").alias("up"), (F.col("level") + 1).alias("level"), F.col("customers").alias("above"))
+    leaves = nodes.withColumn("up", F.expr("substring(cell, 1, level - 1)")).join(up, ["up", "level"], "left").filter(
+        ((F.col("customers") <= limit) | (F.col("level") == deepest)) & ((F.col("above") > limit) | (F.col("level") == 0)))
+    nowhere = smallest.filter("path IS NULL").select(F.lit(None).cast("string").alias("cell"), F.lit(None).cast("int").alias("level"), F.col("n").alias("customers"), "s", "v")
+    edge = F.pow(F.lit(2.0), -F.col("level"))
+    digits = F.transform(F.filter(F.split("cell", ""), lambda c: c != ""), lambda c: c.cast("int"))
+
+    def start(bit: int) -> Column:
+        return F.aggregate(digits, F.lit(0.0), lambda s, d: s * 2 + (F.shiftright(d, bit) % 2)) * edge
+
+    south, west = start(1) * 180 - 90, start(0) * 360 - 180
+    return leaves.select("cell", "level", "customers", "s", "v").unionByName(nowhere).select(
+        "cell", "level", south.alias("south"), west.alias("west"), (south + edge * 180).alias("north"), (west + edge * 360).alias("east"),
+        "customers", F.try_divide("s", "v").alias("value"))
+
+
 def customer_table(
     risk: DataFrame,
     threshold: float = DEFAULT_THRESHOLD,

@@ -174,5 +174,5 @@ def prior_cutoffs(cutoffs: DataFrame, ref: str) -> DataFrame:
     )
 
 
-def sliced_series(records: DataFrame, ts: str, counts: DataFrame, hot_rows: int) -> DataFrame:
-    return slice_hot_keys(records.filter(F.col(KEY).isNotNull()), KEY, ts, hot_rows, counts)
+def sliced_series(records: DataFrame, ts: str, counts: DataFrame, hot_rows: int, tie: str | None = None) -> DataFrame:
+    return slice_hot_keys(records.filter(F.col(KEY).isNotNull()), KEY, ts, hot_rows, counts, tie)

@@ -75,10 +75,6 @@ def usable_series(charge: DataFrame, volume: DataFrame, ref: str) -> DataFrame:
     return both_series(profile(charge, CHARGE_TS, ref), profile(volume, VOLUME_TS, ref))
 
 
-def keep_usable(records: DataFrame, usable: DataFrame) -> DataFrame:
-    return records.join(usable.select("occupant_id"), "occupant_id", "left_semi")
-
-
 def with_log_volume(volume: DataFrame) -> DataFrame:
     return volume.withColumn("vol_log", F.expr(LOG_VOLUME))
 

@@ -38,7 +38,6 @@ CHARGE = _table(
     late_charge=_DOUBLE, tampering_charge=_DOUBLE,
 )
 CUTOFFS = _table(id=_LONG, location_id=_LONG, cis_occupant_id=_INT, cutoff_at=_TS)
-GEOCODE = _table(address_key=_STR, latitude=_DOUBLE, longitude=_DOUBLE)
 
 TABLES: dict[str, T.StructType] = {
     "meter": METER,
@@ -50,38 +49,25 @@ TABLES: dict[str, T.StructType] = {
 }
 
 
-def with_columns(base: T.StructType, **extra: T.DataType) -> T.StructType:
-    return T.StructType(list(base.fields) + list(_table(**extra).fields))
-
-
-# The same tables after cleaning (they gain keys, coordinates and the late flag).
-CLEAN_TABLES: dict[str, T.StructType] = {
-    "meter": METER,
-    "location": with_columns(LOCATION, latitude=_DOUBLE, longitude=_DOUBLE),
-    "occupant": with_columns(OCCUPANT, occupant_id=_STR),
-    "volume": with_columns(VOLUME, occupant_id=_STR),
-    "charge": with_columns(CHARGE, occupant_id=_STR, late=_INT),
-    "cutoffs": with_columns(CUTOFFS, occupant_id=_STR),
-}
-
 # Data columns a gap month does not inherit from the month before.
 CHARGE_DATA = [
     "location_id", "base_charge", "vol_charge", "total_charge", "late_charge", "tampering_charge",
 ]
 VOLUME_DATA = ["volume_kgals", "unbilled"]
 
+# Names of the window statistics.
 CHARGE_STATS = ["f_late", "mean_charge_tot", "mean_charge_late"]
 ANOMALY_STATS = [
-    f"{stat}_{series}"
-    for kind in ("anom", "manom")
-    for series in ("vol", "vol_log")
-    for stat in (f"f_{kind}3", f"f_{kind}4", f"f_{kind}5", f"max_{kind}")
+    "f_anom3_vol", "f_anom4_vol", "f_anom5_vol", "max_anom_vol",
+    "f_anom3_vol_log", "f_anom4_vol_log", "f_anom5_vol_log", "max_anom_vol_log",
+    "f_manom3_vol", "f_manom4_vol", "f_manom5_vol", "max_manom_vol",
+    "f_manom3_vol_log", "f_manom4_vol_log", "f_manom5_vol_log", "max_manom_vol_log",
 ]
 VOLUME_STATS = ["skew_vol", "f_zero_vol", *ANOMALY_STATS, "mean_vol"]
 STATS = CHARGE_STATS + VOLUME_STATS
 
-# The 21 statistics that are imputed or zero-filled; f_zero_vol is not among them.
-IMPUTED_STATS = [*CHARGE_STATS, "mean_vol", "skew_vol", *ANOMALY_STATS]
+# The 21 statistics that are imputed or zero-filled; f_zero_vol is not among them.
+IMPUTED_STATS = ["f_late", "mean_charge_tot", "mean_charge_late", "mean_vol", "skew_vol", *ANOMALY_STATS]
 
 ID_COLUMNS = [
     "occupant_id", "location_id", "latitude", "longitude", "meter_address", "municipality",

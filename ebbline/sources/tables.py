@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbline.functions.columns import null_for_nan
+from ebbline.functions.columns import canonical_text, md5_number, null_for_nan
 from ebbline.schemas import CHARGE, CUTOFFS, LOCATION, METER, OCCUPANT, TABLES
 
 
@@ -120,13 +121,53 @@ def fetch_tables(raw: dict[str, DataFrame], data_set_id: int) -> dict[str, DataF
     }
 
 
+MANIFEST = "manifest"
+MANIFEST_SCHEMA = "table_name string, column_name string, n_rows bigint, n_null bigint, digest_a bigint, digest_b bigint"
+
+
+def content_digests(df: DataFrame, name: str) -> DataFrame:
+    """A row per column: rows, NULLs and two sums of hashed values, equal for equal contents in any order.
+
+    One aggregation over the table; a row of the whole table (column_name '') tells whether values
+    stand in the same rows.
+    """
+    texts = {c: canonical_text(df, c) for c in df.columns}
+    texts[""] = f"concat_ws('|', {', '.join(texts.values())})" if texts else "''"
+    cells = []
+    for k, (c, text) in enumerate(texts.items()):
+        nulls = F.count_if(F.col(f"`{c}`").isNull()) if c else F.lit(0).cast("bigint")
+        cells.append(F.struct(
+            F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n_rows"), nulls.alias("n_null"),
+            F.coalesce(F.sum(md5_number(text)), F.lit(0)).cast("bigint").alias("digest_a"),
+            F.coalesce(F.sum(md5_number(text, 1)), F.lit(0)).cast("bigint").alias("digest_b"),
+        ).alias(f"c{k}"))
+    return df.agg(*cells).select(F.inline(F.array(*[f"c{k}" for k in range(len(cells))])))
+
+
+def digests_of(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [content_digests(df, name) for name, df in tables.items()])
+
+
 def save_tables(tables: dict[str, DataFrame], outdir: str, fmt: str = "parquet") -> None:
-    """One folder per table; ``fmt`` is parquet, orc or csv (with a header)."""
+    """One folder per table; ``fmt`` is parquet, orc or csv (with a header).
+
+    A manifest with the digests of every column is written when all tables are.
+    """
     for name, df in tables.items():
         writer = df.write.mode("overwrite").format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.save(f"{outdir}/{name}")
+    digests_of(tables).coalesce(1).write.mode("overwrite").parquet(f"{outdir}/{MANIFEST}")
+
+
+def differing_columns(stored: dict[str, DataFrame], manifest: DataFrame) -> list[str]:
+    """``table.column`` wherever the stored contents are not those of the manifest."""
+    key, values = ["table_name", "column_name"], ["n_rows", "n_null", "digest_a", "digest_b"]
+    found = digests_of(stored).select(*key, F.struct(*values).alias("found"))
+    wanted = manifest.filter(F.col("table_name").isin(list(stored))).select(*key, F.struct(*values).alias("wanted"))
+    differ = found.join(wanted, key, "full").filter(~F.col("found").eqNullSafe(F.col("wanted")))
+    return sorted(f"{r['table_name']}.{r['column_name'] or '*'}" for r in differ.select(*key).collect())  # a row per column at most
 
 
 def read_tables(
@@ -135,9 +176,16 @@ def read_tables(
     schemas: dict[str, T.StructType] | None = None,
     fmt: str = "parquet",
     names: Sequence[str] | None = None,
+    verify: bool = False,
 ) -> dict[str, DataFrame]:
+    """Saved tables; with ``verify`` their contents are held against the manifest (one scan) and a difference raises."""
     schemas = schemas or TABLES
-    return {
+    tables = {
         name: open_table(spark, f"{indir}/{name}", schemas[name], fmt)
         for name in (names or schemas)
     }
+    if verify:
+        differ = differing_columns(tables, spark.read.schema(MANIFEST_SCHEMA).parquet(f"{indir}/{MANIFEST}"))
+        if differ:
+            raise ValueError(f"stored contents differ from the manifest: {', '.join(differ)}")
+    return tables

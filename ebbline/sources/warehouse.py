@@ -9,8 +9,10 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURE_PARTITIONS = ["mode", "ref_date", "n_samples"]
 
@@ -106,6 +108,35 @@ def write_by_run(rows: DataFrame, folder: str) -> None:
     )
 
 
+def read_if_there(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The table, or no rows where nothing was written yet."""
+    try:
+        return spark.read.parquet(folder).select(*schema.names)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+SWEEPS = T.StructType([T.StructField("sweep_id", T.StringType()), T.StructField("options", T.StringType()), T.StructField("number", T.LongType())])
+
+
+def commit_sweep(spark: SparkSession, folder: str, sweep_id: str, options: str) -> None:
+    """Make a complete sweep the last one of its options."""
+    number = (read_if_there(spark, folder, SWEEPS).agg(F.max("number")).first()[0] or 0) + 1
+    row = spark.createDataFrame([(sweep_id, options, number)], SWEEPS)
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sweep_id").parquet(folder)
+
+
+def is_committed(spark: SparkSession, folder: str, sweep_id: str) -> bool:
+    return not read_if_there(spark, folder, SWEEPS).filter(F.col("sweep_id") == sweep_id).isEmpty()
+
+
+def last_sweep(spark: SparkSession, folder: str, options: str) -> str | None:
+    rows = read_if_there(spark, folder, SWEEPS).filter(F.col("options") == options)
+    return rows.agg(F.max_by("sweep_id", "number")).first()[0]
+
+
 def best_of(table: DataFrame, runs: DataFrame) -> DataFrame:
     """The rows of a per-run table that belong to the best run of each option set."""
     return table.join(runs.filter("is_best").select("run_id"), "run_id", "left_semi")

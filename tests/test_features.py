@@ -179,6 +179,26 @@ def test_rank_over_slices_equals_plain_rank(spark):
         assert rows(got, "i") == rows(want, "i")
 
 
+@pytest.mark.parametrize("moments", [1, 2, 50])
+def test_a_hot_day_is_cut_too(spark, moments):
+    """One customer, one date: its rows fall into many slices, and the order over them stays the same."""
+    rnd = random.Random(moments)
+    data = [("a", f"2000-01-05 0{m % 10}:{m:02d}:00", rnd.choice([i, i // 40, None])) for i in range(400) for m in [rnd.randrange(moments)]]
+    data += [("a", None, i) for i in range(100)] + [("b", "2000-01-05 00:00:00", 1)]
+    df = frame(spark, data, "k string, t ts, i bigint").withColumn("n", F.monotonically_increasing_id())
+    df = df.cache()
+    hot = slice_hot_keys(df, "k", "t", 50, tie="i")
+    sizes = [r["count"] for r in hot.filter("k = 'a'").groupBy(SLICE).count().collect()]
+    assert len(sizes) >= 5 and sum(sizes) == 500 and max(sizes) < 300
+    for newest in (False, True):
+        order = [F.col("t").desc(), F.col("i").desc(), F.col("n").desc()] if newest else [F.col("t"), F.col("i"), F.col("n")]
+        got = rank_in_series(hot, ["k"], order, newest_first=newest).select("k", "t", "i", "rn")
+        want = rank_in_series(df, ["k"], order, newest_first=newest).select("k", "t", "i", "rn")
+        assert rows(got, "k", "rn") == rows(want, "k", "rn")
+    plain = slice_hot_keys(df, "k", "t", 50)  # without a number, rows of one moment stay together
+    assert plain.filter("k = 'a'").groupBy("t").agg(F.count_distinct(SLICE).alias("n")).filter("n > 1").count() == 0
+
+
 def test_no_python_and_no_nested_loops_in_plans(spark, clean_stage):
     for df in (
         features.feature_tables(clean_stage, TRAIN_REF, n_samples=[4, 6]),

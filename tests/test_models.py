@@ -109,19 +109,64 @@ def test_forest_with_many_categories(spark):
     assert modeling.train_forest(train, wide).cv_auc is not None
 
 
-def test_missing_input_gives_no_score_and_no_risk(spark, prepared, options):
-    trained = modeling.train_logistic(prepared.filter("subset = 'train'"), options)
-    short = prepared.limit(3).withColumn("f_zero_vol", F.lit(None).cast("double"))
-    scored = modeling.score(trained.model, short)
-    assert scored.filter("p_cutoff IS NULL").count() == 3
+def test_missing_input_counts_as_the_training_mean(spark, prepared, options):
+    train = prepared.filter("subset = 'train'")
+    mean = train.agg(F.sum(F.col("f_zero_vol") * F.col("weights")) / F.sum("weights")).first()[0]
+    for kind in ("logistic_regression", "random_forest"):
+        trained = modeling.TRAINERS[kind](train, options)
+        few = prepared.orderBy("occupant_id").limit(5)
+        scores = []
+        for value in (F.lit(None).cast("double"), F.lit(float("nan")), F.lit(mean)):
+            rows = modeling.score(trained.model, few.withColumn("f_zero_vol", value)).collect()
+            scores.append(sorted((r["occupant_id"], r["p_cutoff"]) for r in rows))
+        assert scores[0] == scores[1] == scores[2] and all(0 <= p <= 1 for _, p in scores[0])
+    means, lacking = modeling.missing_values(train, options.features)
+    assert math.isclose(means["f_zero_vol"], mean) and lacking == []
+    given = modeling.score_linear(few.withColumn("f_late", F.lit(None).cast("double")), {"intercept": 0.0, "f_late": 1.0}, {"f_late": 2.0})
+    assert math.isclose(given.first()["p_cutoff"], 1 / (1 + math.exp(-2)))
     nan = spark.createDataFrame([(float("nan"),), (None,), (60.0,), (40.0,)], "p_cutoff double")
     assert [r[0] for r in risk.at_risk(nan, 50).collect()] == [60.0]
 
 
-def test_plain_logistic_has_p_values(spark, prepared):
-    got = {r["name"]: r["p_value"] for r in modeling.train_logistic_pvalues(
-        prepared.filter("subset = 'train'"), modeling.BASIC).collect()}
-    assert got["f_late"] < 0.01 and set(got) == {"f_late", "f_zero_vol", "Intercept"}
+def test_a_forest_knows_that_an_input_was_missing(spark, options):
+    """Where training rows lack an input when they are cut, so will be those that lack it later."""
+    table = training(spark, 400).withColumn("f_zero_vol", F.when(F.col("cutoff_strict") == 0, F.col("f_zero_vol")))
+    train = modeling.prepare_training(table, options, warehouse.new_folder(spark, "t"), "m").filter("subset = 'train'")
+    trained = modeling.train_forest(train, options)
+    assert "f_zero_vol_missing" in [r["name"] for r in modeling.coefficients(trained.model, train).collect()]
+    scored = modeling.score(trained.model, table).groupBy("cutoff_strict").agg(F.avg("p_cutoff")).collect()
+    assert {r[0]: round(r[1]) for r in scored} == {0: 0, 1: 1}
+
+
+def test_the_path_starts_where_the_first_feature_enters(spark, prepared, options):
+    train = prepared.filter("subset = 'train'")
+    search = modeling.GridSearch(train, options, modeling.feature_stages(options.features, True, modeling.missing_values(train, options.features)[0]))
+    path = modeling.penalty_path(search.rows, 5, 1e-4, 0.5)
+    assert len(path) == 5 and math.isclose(path[-1] / path[0], 1e-4) and path == sorted(path, reverse=True)
+    zero = [modeling._logistic(train, path[0] * k).setTol(1e-10).fit(search.rows).coefficients.numNonzeros() for k in (1.001, 0.98)]
+    assert zero == [0, 1]
+
+
+def test_the_chosen_penalty_has_the_lowest_log_loss(spark, prepared):
+    train = prepared.filter("subset = 'train'")
+    own = modeling.ModelOptions(folds=3, path_length=8, patience=2)
+    trained = modeling.train_logistic(train, own)
+    assert modeling.optimality(trained.model, train).filter("gap > 1e-6").count() == 0
+    loss = {p: modeling.metrics.score_metrics(modeling.train_logistic(train, modeling.ModelOptions(folds=3, reg_params=(p,))).cv, modeling.LABEL, "p_cutoff").first()["logloss"]
+            for p in (trained.model.stages[-1].getRegParam(), 5.0)}
+    assert min(loss, key=loss.get) < 5.0
+
+
+def test_plain_logistic_has_p_values_and_full_rank(spark, prepared):
+    options = modeling.ModelOptions(folds=3, regularization=False, with_meta=True)
+    train = prepared.filter("subset = 'train'").withColumns({
+        "cust_type_code": F.when(F.crc32(F.col("occupant_id").cast("binary")) % 3 > 0, "A").otherwise("B"), "municipality": F.lit("one"),
+        "meter_size": F.when(F.crc32(F.col("occupant_id").cast("binary")) % 3 > 0, "big").otherwise("small"), "f_anom3_vol": F.col("f_zero_vol") * 2})
+    trained = modeling.train_logistic(train, options)
+    got = {r["name"]: r for r in modeling.coefficients(trained.model, train).collect()}
+    assert set(got) == {"f_late", "f_zero_vol", "cust_type_code_onehot_B", "Intercept"}  # what adds no rank is left out
+    assert got["f_late"]["p_value"] < 0.01 and all(r["std_error"] > 0 for r in got.values())
+    assert modeling.optimality(trained.model, train).filter("gap > 1e-7").count() == 0
 
 
 def test_smote_balances_and_stays_between_neighbours(spark):
@@ -133,7 +178,7 @@ def test_smote_balances_and_stays_between_neighbours(spark):
     made = out.filter("synthetic = 1")
     assert made.filter("cutoff_strict <> 1 or f_late < 0.3 or f_late > 1").count() == 0
     # copies of one point have each other as neighbours
-    assert made.filter("occupant_id like 'same%' and (f_late <> 0.9 or f_zero_vol <> 0.5)").count() == 0
+    assert made.filter("occupant_id like '%same%' and (f_late <> 0.9 or f_zero_vol <> 0.5)").count() == 0
 
 
 def test_options():
@@ -169,6 +214,60 @@ def test_sweep_registry_and_prediction(spark, clean_stage):
     assert scores[0] == scores[1] and scores[0] and all(0 <= p <= 1 for _, p in scores[0])
 
 
+def test_a_sweep_is_seen_when_it_is_complete_and_goes_on_where_it_stopped(spark, monkeypatch):
+    options = modeling.ModelOptions(n_samples=(4, 6), trees=3, folds=2, max_depths=(2,), model_types=("random_forest",))
+    table = training(spark, 200).withColumn("n_samples", F.explode(F.array(F.lit(4), F.lit(6))))
+    root = warehouse.new_folder(spark, "sweep")
+    real, calls = modeling.train_and_test, []
+
+    def stops(prepared, kind, own):
+        calls.append(own.seed)
+        if len(calls) == 2:
+            raise RuntimeError("the driver is lost")
+        return real(prepared, kind, own)
+
+    monkeypatch.setattr(modeling, "train_and_test", stops)
+    with pytest.raises(RuntimeError):
+        modeling.train_sweep(spark, table, root, options, "2000-01-01")
+    with pytest.raises(LookupError):
+        modeling.recorded_runs(spark, root, options, "2000-01-01")
+    runs = modeling.train_sweep(spark, table, root, options, "2000-01-01")
+    assert calls == [1, 2, 2] and sorted(r["seed"] for r in runs.collect()) == [1, 2] and runs.filter("is_best").count() == 1
+    # other features or options are another sweep, and its runs never meet these
+    modeling.train_sweep(spark, table.filter("segment < 2"), root, options, "2000-01-01")
+    last = modeling.recorded_runs(spark, root, options, "2000-01-01")
+    assert last.count() == 2 and not {r["run_id"] for r in last.collect()} & {r["run_id"] for r in runs.collect()}
+    with pytest.raises(LookupError):
+        modeling.recorded_runs(spark, root, modeling.replace(options, trees=4), "2000-01-01")
+    modeling.train_sweep(spark, table, root, options, "2000-01-01")
+    assert len(calls) == 5  # nothing is trained twice
+    assert {r["run_id"] for r in modeling.recorded_runs(spark, root, options, "2000-01-01").collect()} == {r["run_id"] for r in runs.collect()}
+
+
+def test_map_cells_hold_every_customer_once(spark):
+    rnd = random.Random(4)
+    points = [(i, rnd.choice([rnd.uniform(-90, 90), 40.0 + rnd.random() / 1000]), rnd.choice([rnd.uniform(-180, 180), -80.0]), float(i)) for i in range(300)]
+    points += [(1000 + i, 10.0, 20.0, 1.0) for i in range(30)] + [(2000, None, 1.0, 5.0), (2001, 90.0, 180.0, 5.0)]
+    df = spark.createDataFrame(points, "location_id int, latitude double, longitude double, p_cutoff double")
+    cells = risk.map_cells(df, "p_cutoff", threshold=None, limit=10, deepest=12).collect()
+    assert sum(r["customers"] for r in cells) == len(points)
+    for r in cells:
+        if r["cell"] is None:
+            assert r["customers"] == 1 and r["value"] == 5.0
+            continue
+        inside = [p for p in points if p[1] is not None and r["south"] <= p[1] and (p[1] < r["north"] or r["north"] == 90)
+                  and r["west"] <= p[2] and (p[2] < r["east"] or r["east"] == 180)]
+        assert len(inside) == r["customers"] and (r["customers"] <= 10 or r["level"] == 12)
+        assert math.isclose(r["value"], sum(p[3] for p in inside) / len(inside))
+
+
+def test_shares_of_several_categories_equal_those_of_each(spark):
+    df = spark.createDataFrame([(60.0, "a", 1), (70.0, None, 1), (80.0, "a", None), (90.0, "b", 2), (10.0, "a", 2)], "p_cutoff double, cust_type string, municipality int")
+    many = {(r["category"], r["value"]): r["share"] for r in risk.category_shares(df, ["cust_type", "municipality"]).collect()}
+    one = {(c, None if r[c] is None else str(r[c])): r["share"] for c in ("cust_type", "municipality") for r in risk.category_share(df, c).collect()}
+    assert many == one and many[("cust_type", None)] == 0 and many[("cust_type", "a")] == 50
+
+
 def test_risk_edges(spark):
     df = spark.createDataFrame(
         [(1, "a", 60.0, 100.0, 1.0, 5.0, 2, "R"), (2, "b", 80.0, 200.0, 0.0, 5.0, 0, None), (3, "c", 10.0, 1.0, 1.0, 1.0, 9, "R")],
