@@ -128,6 +128,10 @@ def _digest_sql(name: str, schema: T.StructType, source: str, extra: str = "") -
     return f"SELECT {extra}* FROM ({rows})"
 
 
+def _declared_six(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {name: df.select(*TABLES[name].names) for name, df in _raw_six(spark, sf).items()}
+
+
 def _six_sql(extra: str = "") -> str:
     return " UNION ALL ".join(_digest_sql(name, schema, f"SELECT * FROM {name}", extra) for name, schema in TABLES.items())
 
@@ -136,7 +140,7 @@ def _six_sql(extra: str = "") -> str:
 def _(spark, sf):
     """All six tables written as Parquet; the manifest's digests of every column."""
     folder = warehouse.new_folder(spark, "tables")
-    src.save_tables(_raw_six(spark, sf), folder)
+    src.save_tables(_declared_six(spark, sf), folder)
     return spark.read.parquet(f"{folder}/{src.MANIFEST}")
 
 
@@ -146,7 +150,7 @@ _FORMATS = ("parquet", "orc", "csv")
 @entry("read_tables", " UNION ALL ".join(_six_sql(f"'{fmt}' AS fmt, ") for fmt in _FORMATS))
 def _(spark, sf):
     """Six tables, three formats, every column: written, read with the manifest's check, and digested again."""
-    tables, out = _raw_six(spark, sf), None
+    tables, out = _declared_six(spark, sf), None
     for fmt in _FORMATS:
         folder = warehouse.new_folder(spark, fmt)
         src.save_tables(tables, folder, fmt=fmt)
@@ -725,7 +729,8 @@ def _(spark, sf):
     WITH there AS (
         SELECT 'charge' AS series, occupant_id, segment, n AS n_samples, win, count(*) AS n_records FROM c_num GROUP BY ALL
         UNION ALL SELECT 'volume', occupant_id, segment, n, win, count(*) FROM v_num GROUP BY ALL),
-    expected AS (SELECT occupant_id, segment, n_samples, unnest(range(0, max(win) + 1)) AS win FROM there WHERE n_records = n_samples GROUP BY ALL)
+    reach AS (SELECT occupant_id, segment, n_samples, max(win) AS last FROM there WHERE n_records = n_samples GROUP BY ALL),
+    expected AS (SELECT occupant_id, segment, n_samples, unnest(range(0, last + 1)) AS win FROM reach)
     SELECT series, occupant_id, segment, win AS "window", n_samples, coalesce(n_records, 0) AS n_records
     FROM expected CROSS JOIN (VALUES ('charge'), ('volume')) v(series) LEFT JOIN there USING (series, occupant_id, segment, n_samples, win)
     WHERE coalesce(n_records, 0) < n_samples""", (6, 12))

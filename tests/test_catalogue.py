@@ -17,7 +17,7 @@ def duck(sf):
 def test_same_as_sql(spark, sf, duck, name):
     status, n, detail = compare(spark, duck, sf, queries()[name], SQL[name])
     assert status == "ok", detail
-    if name != "tail_segment":
+    if name not in ("tail_segment", "short_series_report"):
         assert n > 0
 
 
@@ -39,5 +39,5 @@ def test_names_of_the_inventory():
         score_batch metric_auc metric_logloss metric_r2 best_model model_coefs train_sweep
         save_load_model predict_current risk_table risk_percentages dedupe_location
         anonymize_addresses threshold_filter predicted_cutoffs expected_total expected_mean map_points
-        category_share customer_table""".split()) - set(queries())
+        category_share customer_table map_cells fetch_tables geocode_best short_series_report""".split()) - set(queries())
     assert not missing

@@ -199,6 +199,18 @@ def test_a_hot_day_is_cut_too(spark, moments):
     assert plain.filter("k = 'a'").groupBy("t").agg(F.count_distinct(SLICE).alias("n")).filter("n > 1").count() == 0
 
 
+def test_a_series_that_is_too_short_is_reported(spark):
+    """Windows of two: readings fill windows 0 to 2 of the first segment, charges 0 and half of 1; the second segment is even."""
+    def numbered(counts):
+        data = [(o, s, 2, w) for (o, s, w), n in counts.items() for _ in range(n)]
+        return spark.createDataFrame(data, "occupant_id string, segment int, n_samples int, window int")
+
+    charges = numbered({("a", 0, 0): 2, ("a", 0, 1): 1, ("a", 1, 0): 2, ("b", 0, 0): 1})
+    readings = numbered({("a", 0, 0): 2, ("a", 0, 1): 2, ("a", 0, 2): 2, ("a", 1, 0): 2, ("b", 0, 0): 1})
+    got = rows(features.short_series_report(charges, readings), "series", "window")
+    assert got == [("charge", "a", 0, 1, 2, 1), ("charge", "a", 0, 2, 2, 0)]
+
+
 def test_no_python_and_no_nested_loops_in_plans(spark, clean_stage):
     for df in (
         features.feature_tables(clean_stage, TRAIN_REF, n_samples=[4, 6]),
