@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -23,8 +25,12 @@ ALONE = re.compile(r"[\s\u180e\u200b-\u200d\u2060\ufeff]|<\||\|>|\A\Z")
 LONG = 64
 #: Where letters and digits meet a new token starts, if no apostrophe is near.
 INSIDE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
-#: Bytes a generation remembers, keys and ids with their overhead.
-GENERATION = 24 << 20
+#: Lines in one piece: between two of them a line end stands alone, which is a token of its own.
+LINES = re.compile("[^\\s\u180e\u200b-\u200d\u2060\ufeff<>|]+(?:\\n[^\\s\u180e\u200b-\u200d\u2060\ufeff<>|]+)+")
+#: A word and the marks behind it: with its space the word is one piece of the pattern, and so are the marks.
+WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?\\-\")]*)")
+#: Bytes a generation remembers, keys and ids with their overhead; there are two.
+GENERATION, PIECE_BYTES = 96 << 20, 180
 
 
 def split_safely(text: str) -> tuple[str, list[str]]:
@@ -37,7 +43,10 @@ def split_safely(text: str) -> tuple[str, list[str]]:
 
 
 class PieceIds:
-    """Ids of texts as bytes (little-endian unsigned 32-bit), equal to the ``tokenizers`` library's for the whole text."""
+    """Ids of texts as bytes, equal to the ``tokenizers`` library's for the whole text.
+
+    ``kind``: little-endian, two bytes an id where the vocabulary allows it, else four.
+    """
 
     def __init__(self, path: str, generation: int = GENERATION):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,8 +56,15 @@ class PieceIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.model = self.tokenizer.model
+        # the pre-tokenizer writes a Latin-1 letter's two bytes as two characters; plain ASCII stays as it is
+        self.characters = {b: chr(b) for b in range(0x21, 0x7F)} | {b: chr(b) for b in [*range(0xA1, 0xAD), *range(0xAE, 0x100)]}
+        self.characters |= {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in self.characters)}
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         starts = [(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)]
         self.starts = np.array(starts)
+        (self.line_end,) = self._encode(["\n"])
+        self.starts_of: dict[str, bytes] = {}  # what stands at the start of a line
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -56,7 +72,7 @@ class PieceIds:
     def _encode(self, texts: list[str]) -> Iterable[bytes]:
         for at in range(0, len(texts), 1024):
             for x in self.tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False):
-                yield np.array(x.ids, "<u4").tobytes()
+                yield np.array(x.ids, self.kind).tobytes()
 
     def _cut(self, piece: str) -> bytes:
         """A long piece in parts, with its space in front."""
@@ -64,46 +80,102 @@ class PieceIds:
             return b"".join(self._encode([piece]))
         return b"".join(self._encode(INSIDE.split(piece)))
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain = [p for p in new if not ALONE.search(p)]
-        odd = [p for p in new if ALONE.search(p)]
-        found = dict(zip(odd, self._encode([" " + p for p in odd])))
+    def _learn(self, new: list[str]) -> int:
+        """Ids of new pieces into the young generation; returns how many bytes they are."""
+        words, plain, odd, marked, lines = set(), [], [], [], []
+        queue, fresh = list(new), set(new)
+        for p in queue:
+            found = WORD.fullmatch(p)
+            if found:
+                base, tail = found.groups()
+                if tail:
+                    marked.append((p, base, tail))
+                    if base in self.young:
+                        continue
+                    if base in self.old:
+                        self.young[base] = self.old[base]
+                        continue
+                words.add(base)
+            elif LINES.fullmatch(p):
+                first, *others = p.split("\n")
+                lines.append((p, first, others))
+                if first not in self.young and first not in fresh:
+                    fresh.add(first)
+                    queue.append(first)
+            elif ALONE.search(p):
+                odd.append(p)
+            else:
+                plain.append(p)
+        self.young.update(zip(odd, self._encode([" " + p for p in odd])))
+        held = sum(len(self.young[p]) for p in odd)
+        words = list(words)
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            lists = [[t.id for t in self.model.tokenize("Ġ" + (p if p.isascii() else self._spelled(p)))] for p in some]
+            held += self._remember(some, np.array(list(chain.from_iterable(lists)), self.kind), np.cumsum([0, *map(len, lists[:-1])]))
+        tails = list({tail for *_, tail in marked})
+        ids_of = dict(zip(tails, self._encode(tails)))
+        for p, base, tail in marked:
+            self.young[p] = self.young[base] + ids_of[tail]
+        held += sum(len(self.young[p]) for p, *_ in marked)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             (encoded,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
-            cuts = (np.flatnonzero(self.starts[ids]) * 4).tolist()
-            if len(cuts) != len(some):
+            ids = np.array(encoded.ids, self.kind)
+            starts = np.flatnonzero(self.starts[ids])
+            if len(starts) != len(some):
                 raise ValueError("the tokenizer does not start a token at each space")
-            data = ids.tobytes()
-            found.update(zip(some, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
-        return found
+            held += self._remember(some, ids, starts)
+        starting = list({line for _, _, others in lines for line in others if line not in self.starts_of})
+        self.starts_of.update(zip(starting, self._bare(starting)))
+        for p, first, others in lines:
+            self.young[p] = b"".join([self.young[first], *(self.line_end + self.starts_of[line] for line in others)])
+        held += sum(len(self.young[p]) for p, *_ in lines) + PIECE_BYTES * len(starting)
+        return held
+
+    def _bare(self, lines: list[str]) -> Iterable[bytes]:
+        """Ids of texts without a space in front."""
+        for line in lines:
+            if line.isalpha() and line.isascii():
+                yield np.array([t.id for t in self.model.tokenize(line)], self.kind).tobytes()
+            else:
+                yield from self._encode([line])
+
+    def _spelled(self, word: str) -> str:
+        """The word in the characters that stand for its bytes."""
+        return "".join([self.characters[b] for b in word.encode()])
+
+    def _remember(self, some: list[str], ids: np.ndarray, starts: np.ndarray) -> int:
+        data, cuts = ids.tobytes(), (starts * self.kind.itemsize).tolist()
+        self.young.update(zip(some, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
+        return len(data)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if self.held > self.generation:
+            self.old, self.young, self.held, self.starts_of = self.young, {}, 0, {}
         split = [split_safely(t or "") for t in texts]
-        known: dict[str, bytes] = {}
-        new, kept = [], 0
-        for piece in {p for _, rest in split for p in rest}:
-            ids = self.young.get(piece)
-            if ids is None:
-                ids = self.old.get(piece)
-                if ids is None:
-                    if len(piece) > LONG:
-                        known[piece] = self._cut(" " + piece)
-                    else:
-                        new.append(piece)
-                    continue
-                self.young[piece] = ids
-                kept += 140 + len(piece) + len(ids)
-            known[piece] = ids
-        learnt = self._learn(new)
-        known.update(learnt)
-        self.young.update(learnt)
-        self.held += kept + sum(140 + len(p) + len(b) for p, b in learnt.items())
+        young, old, new, long = self.young, self.old, [], []
+        for piece in set().union(*(rest for _, rest in split)).difference(young):
+            ids = old.get(piece)
+            if ids is not None:
+                young[piece] = ids
+                self.held += PIECE_BYTES + len(piece) + len(ids)
+            elif len(piece) > LONG:
+                young[piece] = self._cut(" " + piece)
+                long.append(piece)
+            else:
+                new.append(piece)
+        self.held += self._learn(new) + PIECE_BYTES * len(new) + sum(map(len, new))
         firsts = [f for f, _ in split]
         heads = self._encode([f if len(f) <= LONG else "" for f in firsts])
-        get = known.__getitem__
+        get = young.__getitem__
         out = [b"".join([self._cut(f) if len(f) > LONG else head, *map(get, rest)]) for head, f, (_, rest) in zip(heads, firsts, split)]
-        if self.held > self.generation:
-            self.old, self.young, self.held = self.young, {}, 0
+        for piece in long:
+            del young[piece]
         return out
+
+
+@lru_cache(maxsize=1)
+def piece_ids(path: str) -> PieceIds:
+    """Stays in the worker for its next tasks; its memory has a bound."""
+    return PieceIds(path)

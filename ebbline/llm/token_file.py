@@ -28,31 +28,32 @@ from pyspark.sql import functions as F
 
 from ebbline.llm.common import byte_groups, new_folder, ship_package, store
 from ebbline.llm.huffman import MAX_BITS, Table, canonical_codes, code_lengths, pack
-from ebbline.llm.pieces import PieceIds
+from ebbline.llm.pieces import piece_ids
 from ebbline.llm.warc import open_folder
 
 MAGIC = b"EBTOKENS"
 HEADER = struct.Struct("<8sHHIII")  # magic, version, greatest length, ids a block, ids in the code, size of the deflated lengths
 TRAILER = struct.Struct("<QQI8s")  # place, size and crc32 of the directory, magic
 #: Ids that a checkpoint stands for, ids a segment holds before it is closed, ids a file is aimed at.
-BLOCK, SEGMENT_IDS, FILE_IDS = 4096, 1 << 20, 8 << 20
+BLOCK, SEGMENT_IDS, FILE_IDS = 1024, 1 << 20, 8 << 20
 
 
 def encode_texts(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids binary, n): the ids of each whole text, then ``end_id``, as little-endian 32-bit numbers; null is empty."""
+    """(doc_id, ids binary, n, width): the ids of each whole text, then ``end_id``, in ``width`` bytes each; null is empty."""
     ship_package(df.sparkSession)
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
     source = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("width", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = PieceIds(tokenizer_path)
+        work = piece_ids(tokenizer_path)
+        tail, width = np.array([] if end_id is None else [end_id], work.kind).tobytes(), work.kind.itemsize
         for batch in batches:
-            for part in byte_groups(batch, 1, 1 << 20):
+            for part in byte_groups(batch, 1, 2 << 20):
                 found = [b + tail for b in work(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array([len(b) // 4 for b in found], pa.int64())], schema=schema)
+                sizes = np.array([len(b) // width for b in found], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array(sizes), pa.array(np.full(len(found), width, np.int32))], schema=schema)
 
-    return source.mapInArrow(run, "doc_id long, ids binary, n long")
+    return source.mapInArrow(run, "doc_id long, ids binary, n long, width int")
 
 
 def id_counts(encoded: DataFrame) -> np.ndarray:
@@ -62,13 +63,13 @@ def id_counts(encoded: DataFrame) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for part in byte_groups(batch, 0, 4 << 20):
-                some = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), "<u4"), minlength=len(total))
+                some = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), f"<u{part.column(1)[0]}"), minlength=len(total))
                 some[: len(total)] += total
                 total = some
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -78,7 +79,8 @@ def id_counts(encoded: DataFrame) -> np.ndarray:
 class Writer:
     """Writes one file; memory is bounded by a segment and the directory's two numbers a document."""
 
-    def __init__(self, stream, lengths: np.ndarray, block: int = BLOCK, segment_ids: int = SEGMENT_IDS):
+    def __init__(self, stream, lengths: np.ndarray, block: int = BLOCK, segment_ids: int = SEGMENT_IDS, width: int = 4):
+        self.kind = np.dtype(f"<u{width}")
         self.stream, self.lengths, self.codes, self.block, self.segment_ids = stream, lengths, canonical_codes(lengths), block, segment_ids
         packed = zlib.compress(lengths.tobytes())
         self.place = HEADER.size + len(packed)
@@ -94,16 +96,16 @@ class Writer:
     def add(self, key: int | None, ids: bytes) -> None:
         self.keys.append(key or 0)
         self.nulls.append(key is None)
-        self.sizes.append(len(ids) // 4)
+        self.sizes.append(len(ids) // self.kind.itemsize)
         self.waiting.append(ids)
-        self.held += len(ids) // 4
+        self.held += self.sizes[-1]
         if self.held >= self.segment_ids:
             self._flush()
 
     def _flush(self) -> None:
         if not self.waiting:
             return
-        ids = np.frombuffer(b"".join(self.waiting), "<u4")
+        ids = np.frombuffer(b"".join(self.waiting), self.kind)
         data, starts = pack(ids, self.codes, self.lengths, self.block)
         self.stream.write(data)
         self.segments.append((self.place, len(data), len(ids), len(self.waiting)))
@@ -188,7 +190,8 @@ def write(
     that a much repeated one has many ranges too).  A file is named by one attempt of a task and
     listed only when that attempt has ended, so an attempt that is lost leaves nothing that is read.
     """
-    encoded = store(encoded.select("doc_id", "ids", "n"), folder, "encoded")
+    encoded.write.option("compression", "zstd").parquet(f"{folder}/encoded")
+    encoded = encoded.sparkSession.read.schema(encoded.schema).parquet(f"{folder}/encoded")
     counts = id_counts(encoded)
     lengths = encoded.sparkSession.sparkContext.broadcast(code_lengths(counts, max_bits))
     files = max(1, int(-(-int(counts.sum()) // file_ids)))
@@ -202,12 +205,12 @@ def write(
         writer, stream, path = None, None, ""
         for batch in batches:
             for part in byte_groups(batch, 1, 4 << 20):
-                for key, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for key, ids, width in zip(*(c.to_pylist() for c in part.columns)):
                     if writer is None:
                         place.create_dir(root, recursive=True)
                         path = f"{root}/{uuid.uuid4().hex}.tok"
                         stream = place.open_output_stream(path, compression=None)
-                        writer = Writer(stream, lengths.value, block, segment_ids)
+                        writer = Writer(stream, lengths.value, block, segment_ids, width)
                     writer.add(key, ids)
         if writer is not None:
             size = writer.close()
@@ -216,7 +219,7 @@ def write(
             yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     fields = "part int, path string, n_docs long, n_ids long, n_bytes long"
-    manifest = store(dealt.select("doc_id", "ids").mapInArrow(save, fields), folder, "manifest")
+    manifest = store(dealt.select("doc_id", "ids", "width").mapInArrow(save, fields), folder, "manifest")
     starts, total = [], 0
     for r in manifest.select("part", "n_ids").orderBy("part").collect():  # a row per file
         starts.append((r["part"], total))
