@@ -530,12 +530,17 @@ def top_segmentations(lattices: Lattices, words: list[np.ndarray], keys: np.ndar
     return rounds, kappa
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary_of(path: str, alpha: float) -> Vocabulary:
-    """Stays in the worker for its next tasks; its size is that of the model.  Lattices go with their task."""
     return Vocabulary(path, alpha)
 
 
+@lru_cache(maxsize=1)
+def lattices_of(path: str, alpha: float) -> Lattices:
+    """Stay in the worker for its next tasks; their memory has a bound."""
+    return Lattices(vocabulary_of(path, alpha))
+
+
 def encode_group(lattices: Lattices, texts: list[str | None], keys: np.ndarray, k: int, check: bool) -> pa.Array:
     """The samples of each text as an Arrow list; null for null."""
     rows = [j for j, t in enumerate(texts) if t is not None]
@@ -575,7 +580,7 @@ def encode_group(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
 
 def sample_segmentations(
     df: DataFrame, model_path: str, k: int = 2, key: str = "doc_id", keep: Sequence[str] = ("doc_id",), text: str = "text",
-    seed: int = 1, alpha: float = 1.0, check: bool = True, group_bytes: int = 1 << 20,
+    seed: int = 1, alpha: float = 1.0, check: bool = True, group_bytes: int = 1 << 19,
 ) -> DataFrame:
     """``keep`` with ``samples``: up to k distinct segmentations per row, highest perturbed value first.
 
@@ -592,7 +597,7 @@ def sample_segmentations(
     schema = T.StructType([*source.schema.fields[: len(keep)], *T.StructType.fromDDL(SAMPLES).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(vocabulary_of(model_path, alpha))
+        lattices = lattices_of(model_path, alpha)
         for batch in batches:
             for part in byte_groups(batch, len(keep) + 1, group_bytes):
                 keys = np.asarray(part.column(len(keep))).view(np.uint64)
