@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import fresh
+from ebbline.llm.common import fresh, new_folder, store
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,19 +33,16 @@ def test_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     listed = items.select(F.col(item_id).cast("string").alias("item"), words(text).alias("w")).filter(F.size("w") > 0)
     sized = listed.withColumn("size", F.least(F.size("w"), F.lit(window)))
     grams = sized.select("item", "size", F.explode(F.expr("transform(sequence(1, size(w) - size + 1), i -> slice(w, i, size))")).alias("gram"))
-    return grams.distinct().withColumn("code", F.xxhash64("gram"))
+    return grams.distinct().withColumn("code", F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))))
 
 
 def hits(docs: DataFrame, grams: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """One row per distinct key: n_words, copies (input rows), runs (place, size) and items that occur."""
-    grams = grams.persist()
-    try:
-        sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # ten at most
-        blocks = max(1, -(-grams.count() // BROADCAST_WINDOWS))
-        sides = [grams.filter(F.pmod("code", F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [grams]
-        found = reduce(DataFrame.unionAll, [_probe(docs, side, sizes, key, text, first=b == 0) for b, side in enumerate(sides)])
-    finally:
-        grams.unpersist()
+    grams = store(grams, new_folder(docs.sparkSession, "windows"), "grams")
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # ten at most
+    blocks = max(1, -(-grams.count() // BROADCAST_WINDOWS))
+    sides = [grams.filter(F.pmod("code", F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [grams]
+    found = reduce(DataFrame.unionAll, [_probe(docs, side, sizes, key, text, first=b == 0) for b, side in enumerate(sides)])
     return found.groupBy(*key).agg(
         F.max("n_words").alias("n_words"), F.sum(F.when(F.col("place") == 0, 1)).alias("copies"),
         F.collect_set(F.when(F.col("place") > 0, F.struct("place", "size"))).alias("runs"),
@@ -56,11 +53,11 @@ def hits(docs: DataFrame, grams: DataFrame, key: list[str], text: str = "text")
 def _probe(docs: DataFrame, grams: DataFrame, sizes: list[int], key: list[str], text: str, first: bool) -> DataFrame:
     """Rows of place 0 (one per document, in the first scan) and rows of verified hits."""
     codes = ", ".join(
-        f"transform(sequence(1, greatest(size(w) - {n} + 1, 1)), i -> struct(i AS place, {n} AS size, xxhash64(slice(w, i, {n})) AS code))"
+        f"transform(sequence(1, greatest(size(w) - {n} + 1, 1)), i -> struct(i AS place, {n} AS size, xxhash64(slice(h, i, {n})) AS code))"
         for n in sizes
     )
     own = "array(struct(0 AS place, 0 AS size, 0L AS code))"
-    listed = docs.select(*key, words(text).alias("w"))
+    listed = docs.select(*key, words(text).alias("w")).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))  # a word is hashed once
     rows = listed.select(*key, "w", F.explode(F.expr(f"concat({own}{', ' + codes if codes else ''})")).alias("p")).select(*key, "w", "p.*")
     side = F.broadcast(grams.select(F.col("code").alias("__code"), F.col("size").alias("__size"), "gram", "item"))
     same = (F.col("code") == F.col("__code")) & (F.col("size") == F.col("__size")) & (F.slice("w", F.greatest("place", F.lit(1)), F.greatest("size", F.lit(1))) == F.col("gram"))
