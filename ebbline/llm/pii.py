@@ -33,6 +33,7 @@ _PHONE = re.compile(r"[ ().0-9-]*")
 _ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _ACCOUNT = re.compile(r"(?: (?:no|nr|number|id))?\.?\s{0,2}[:=#]?\s{0,2}([A-Za-z0-9](?:[A-Za-z0-9_-]| (?=[A-Z0-9]{4}\b)){3,40}[A-Za-z0-9])", re.I)
 _DIGITS = frozenset("0123456789")
+_GROUPS = re.compile(r"[A-Za-z0-9](?: ?[A-Za-z0-9])*")
 _SSN = re.compile(r"([0-9]{3})[ -]?([0-9]{2})[ -]?([0-9]{4})(?![0-9A-Za-z])")
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -151,7 +152,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                     url_end = end
         elif start >= account_end and not (start and (text[start - 1].isalnum() or text[start - 1] == "_")):
             rest = _ACCOUNT.match(text, last + 1)
-            if rest and (size := _identifier(text[start : last + 1].lower(), rest[1])):
+            cue = text[start : last + 1].lower()
+            if rest and (size := _identifier(cue, _GROUPS.match(text, rest.start(1), rest.start(1) + 42)[0] if cue == "iban" else rest[1])):
                 found["account"].append((rest.start(1), rest.start(1) + size))
                 account_end = rest.start(1) + size
     return [(kind, *span) for kind in KINDS for span in found[kind]]

@@ -1,77 +1,25 @@
 """Token counts of whole texts by a byte-level BPE file, lengths only.
 
-A task encodes in groups of about equal bytes.  Texts are split at boundaries where the tokenizer's
-own pattern always starts a new piece (a space with a non-space on one side at least), so a long
-text never goes to the library whole, and a piece seen before is not encoded again.
+A task encodes in groups of about equal bytes; texts are split where the tokenizer's own pattern
+always starts a new token, and pieces that were seen lately are not encoded again (``pieces``).
 """
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.llm.common import map_texts
-
-#: A space between two white-space characters is inside a run that the tokenizer keeps together.
-UNSAFE = re.compile(r"\s (?:\s|\Z)")
-SAFE_SPLIT = re.compile(r"(?<=\S)(?= )")
-#: Pieces a worker remembers; beyond that it starts anew.  Bounds memory, never changes a count.
-REMEMBERED = 1_000_000
-
-
-def split_safely(text: str) -> tuple[str, list[str]]:
-    """The first piece, and the other pieces without the space they all start with."""
-    if UNSAFE.search(text):
-        first, *rest = SAFE_SPLIT.split(text)
-        return first, [piece[1:] for piece in rest]
-    first, *rest = text.split(" ")
-    return first, rest
-
-
-class PieceCounter:
-    """Counts the tokens of texts through the ``tokenizers`` library."""
-
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, int] = {}
-
-    def _lengths(self, pieces: list[str]) -> list[int]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [len(x) for x in found]
-
-    def __call__(self, texts: list[str | None]) -> list[int]:
-        split = [split_safely(t or "") for t in texts]
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        new = set()
-        for _, rest in split:
-            new.update(rest)
-        new.difference_update(self.known)
-        pieces = list(new)
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            self.known.update(zip(some, self._lengths([" " + p for p in some])))
-        count = self.known.__getitem__
-        return [n + sum(map(count, rest)) for n, (_, rest) in zip(self._lengths([f for f, _ in split]), split)]
-
-
-_counters: dict[str, PieceCounter] = {}
+from ebbline.llm.pieces import piece_ids
 
 
 def _counter(path: str) -> Callable[[], Callable[[list[str | None]], Sequence]]:
     def make() -> Callable[[list[str | None]], Sequence]:
-        counter = _counters.setdefault(path, None) or PieceCounter(path)
-        _counters[path] = counter  # stays in the worker for its next tasks
-        return lambda texts: ([len((t or "").encode()) for t in texts], counter(texts))
+        work = piece_ids(path)
+        width = work.kind.itemsize
+        return lambda texts: ([len((t or "").encode()) for t in texts], [len(ids) // width for ids in work(texts)])
 
     return make
 

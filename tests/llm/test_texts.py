@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ebbline.llm import language, pii, quality, segmentation, token_counts
+from ebbline.llm import language, pieces, pii, quality, segmentation, token_counts
 from ebbline.llm.common import held_out
 from ebbline.llm.queries import tokenizer_file
 from tests.llm.conftest import ODD
@@ -37,10 +37,10 @@ def test_token_counts_of_odd_rows(odd, nothing, library):
 
 def test_token_counts_at_any_boundary(library):
     pick, parts = random.Random(1), [" ", "  ", "\n", "\t", " \n", "a", "the", "Zü", "1", "23", "'s", ".", "<|endoftext|>", "\x1c", "\x85", "漢"]
-    counter = token_counts.PieceCounter(tokenizer_file(BPE), remembered=50)
+    counter = pieces.PieceIds(tokenizer_file(BPE), generation=5000)
     for _ in range(1500):
         text = "".join(pick.choice(parts) for _ in range(pick.randint(0, 25)))
-        assert counter([text]) == [len(library.encode(text, add_special_tokens=False).ids)], repr(text)
+        assert len(counter([text])[0]) // counter.kind.itemsize == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
 PATTERNS = {
@@ -273,3 +273,20 @@ def test_segmentation_of_a_long_word():
     text = "".join(np.random.default_rng(1).choice(list("abcdefghé漢"), 70_000))
     (samples,) = segmentation.encode_group(lattices, [text], np.array([7], np.uint64), 2, True).to_pylist()
     assert len(samples) == 2 and all(s["exact"] for s in samples) and samples[0]["ids"] != samples[1]["ids"]
+
+
+def test_cues_in_any_case_and_check_digits():
+    account = lambda t: [t[a:b] for kind, a, b in pii.find_spans(t) if kind == "account"]
+    assert account("API key: abcd12345678, User ID: 12345678") == ["abcd12345678", "12345678"]
+    assert account("iBaN: GB82 WEST 1234 5698 7654 32 is mine") == ["GB82 WEST 1234 5698 7654 32"]
+    assert account("IBAN: GB82 WEST 1234 5698 7654 33") == [] and pii.iban("GB82WEST12345698765432")
+    assert account("SSN 123-45-6789") == ["123-45-6789"] and account("ssn: 000-45-6789") == [] and account("ssn 123-00-6789") == []
+    assert account("Password: hunter2secret and so on") == ["hunter2secret"] and account("the password was changed again") == []
+    assert account("İİ Account no. 12345678") == ["12345678"]
+
+
+def test_stores_have_names_that_pyarrow_knows():
+    from ebbline.llm import warc
+
+    assert type(warc.open_folder("s3a://bucket/folder?region=us-east-1")[0]).__name__ == "S3FileSystem"
+    assert warc.open_folder("file:///tmp/x")[1] == "/tmp/x" and warc.open_folder("/tmp/x")[1] == "/tmp/x"
