@@ -285,3 +285,46 @@ def test_risk_edges(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert warehouse.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def _rows_with_likes(spark, n=600):
+    """Rows of few different features, labels and weights; the classes are not told apart fully."""
+    data = [(f"o{i}", 0, 0, (i % 5) / 4, (i % 3) / 2, 0.0 if i % 7 else 0.5, int((i * 37) % 11 < 2 + i % 5), i) for i in range(n)]
+    table = spark.createDataFrame(data, "occupant_id string, segment int, window int, f_late double, f_zero_vol double, f_anom3_vol double, cutoff_strict int, n int")
+    train = table.withColumns({"weights": F.expr("CASE WHEN cutoff_strict = 1 THEN 2.5D ELSE 0.75D END"), "fold": F.expr("n div 105 % 5")})
+    return train.drop("n")
+
+
+def test_equal_rows_are_fitted_once_with_the_result_of_all_rows(spark):
+    train, options = _rows_with_likes(spark), modeling.ModelOptions()
+    stages = modeling.feature_stages(options.features, True, modeling.missing_values(train, options.features)[0])
+    search = modeling.GridSearch(train, options, stages)
+    assert search.rows.count() == train.select(*options.features, "cutoff_strict", "fold").distinct().count() < 600
+    every_row = search.encoder.transform(train)
+    for fold in (None, 2):
+        kept = every_row if fold is None else every_row.filter(F.col("fold") != fold)
+        estimator = modeling._logistic(train, 0.01).setTol(1e-10).setMaxIter(500)
+        found, known = search.fit(estimator, fold), estimator.copy().fit(kept)
+        assert abs(found.coefficients.toArray() - known.coefficients.toArray()).max() < 1e-6 and abs(found.intercept - known.intercept) < 1e-6
+        assert (found.getRegParam(), found.getElasticNetParam()) == (0.01, 0.5)
+    search.run([modeling._logistic(train, 0.01)])
+    held_out = search.held_out(0)
+    assert held_out.count() == held_out.select("occupant_id").distinct().count() == 600 and held_out.filter("p_cutoff IS NULL").isEmpty()
+    own = modeling.metrics.score_metrics(held_out, "cutoff_strict", "p_cutoff").first()
+    assert abs(own["auc"] - search.stats[0]["auc"]) < 1e-12 and abs(own["logloss"] - search.stats[0]["logloss"]) < 1e-12
+
+
+def test_a_forest_takes_blocks_of_copies_and_single_rows_where_there_are_none(spark, monkeypatch):
+    options = modeling.ModelOptions()
+    train = _rows_with_likes(spark).withColumns({"f_zero_vol": F.lit(0.0), "f_anom3_vol": F.lit(0.5)})
+    stages = modeling.feature_stages(options.features, False, modeling.missing_values(train, options.features)[0])
+    search = modeling.GridSearch(train, options, stages)
+    assert search.use_blocks() == 1 and search.fitted.count() == 600
+    monkeypatch.setattr(modeling, "BLOCKS", 200)
+    size = search.use_blocks()
+    assert 1 < size <= 3 and search.fitted.count() < 600
+    by_class = {r[0]: r[1] for r in search.fitted.groupBy("cutoff_strict").agg(F.sum("weights")).collect()}
+    known = {r[0]: r[1] for r in train.groupBy("cutoff_strict").agg(F.sum("weights")).collect()}
+    assert by_class.keys() == known.keys() and all(abs(by_class[k] - known[k]) < 1e-6 for k in known)
+    alone = train.withColumn("f_late", F.xxhash64("occupant_id") / 1e20)
+    assert modeling.GridSearch(alone, options, stages).use_blocks() == 1
