@@ -15,6 +15,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space between two white-space characters is inside a run that the tokenizer keeps together.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -28,7 +30,7 @@ INSIDE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 #: Lines in one piece: between two of them a line end stands alone, which is a token of its own.
 LINES = re.compile("[^\\s\u180e\u200b-\u200d\u2060\ufeff<>|]+(?:\\n[^\\s\u180e\u200b-\u200d\u2060\ufeff<>|]+)+")
 #: A word and the marks behind it: with its space the word is one piece of the pattern, and so are the marks.
-WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?\\-\")]*)")
+WORD = "\\A(?P<base>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[.,;:!?\\-\")]*)\\z"
 #: Bytes a generation remembers, keys and ids with their overhead; there are two.
 GENERATION, PIECE_BYTES = 96 << 20, 180
 
@@ -42,6 +44,10 @@ def split_safely(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+def strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class PieceIds:
     """Ids of texts as bytes, equal to the ``tokenizers`` library's for the whole text.
 
@@ -80,44 +86,56 @@ class PieceIds:
             return b"".join(self._encode([piece]))
         return b"".join(self._encode(INSIDE.split(piece)))
 
-    def _learn(self, new: list[str]) -> int:
-        """Ids of new pieces into the young generation; returns how many bytes they are."""
-        words, plain, odd, marked, lines = set(), [], [], [], []
-        queue, fresh = list(new), set(new)
-        for p in queue:
-            found = WORD.fullmatch(p)
-            if found:
-                base, tail = found.groups()
-                if tail:
-                    marked.append((p, base, tail))
-                    if base in self.young:
-                        continue
-                    if base in self.old:
-                        self.young[base] = self.old[base]
-                        continue
-                words.add(base)
-            elif LINES.fullmatch(p):
-                first, *others = p.split("\n")
-                lines.append((p, first, others))
-                if first not in self.young and first not in fresh:
-                    fresh.add(first)
-                    queue.append(first)
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words with a space in front, each one a piece of the pattern by itself."""
+        found = list(map(self.young.get, words))
+        new = []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            word = words[k]
+            ids = self.old.get(word)
+            if ids is None:
+                new.append(k)
+            else:
+                found[k] = self.young[word] = ids
+                self.held += PIECE_BYTES + len(word) + len(ids)
+        for at in range(0, len(new), 4096):
+            some = [words[k] for k in new[at : at + 4096]]
+            lists = [[t.id for t in self.model.tokenize("Ġ" + (p if p.isascii() else self._spelled(p)))] for p in some]
+            self._remember(some, np.array(list(chain.from_iterable(lists)), self.kind), np.cumsum([0, *map(len, lists[:-1])]))
+        for k in new:
+            found[k] = self.young[words[k]]
+        return found
+
+    def _others(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces that are no word with marks, with a space in front."""
+        found, new = list(map(self.young.get, pieces)), []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            piece = pieces[k]
+            ids = self.old.get(piece)
+            if ids is not None:
+                found[k] = self.young[piece] = ids
+                self.held += PIECE_BYTES + len(piece) + len(ids)
+            elif len(piece) > LONG:
+                found[k] = self._cut(" " + piece)
+            else:
+                new.append(k)
+        self._learn([pieces[k] for k in new])
+        for k in new:
+            found[k] = self.young[pieces[k]]
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces into the young generation."""
+        plain, odd, lines = [], [], []
+        for p in new:
+            if LINES.fullmatch(p):
+                lines.append(p)
             elif ALONE.search(p):
                 odd.append(p)
             else:
                 plain.append(p)
         self.young.update(zip(odd, self._encode([" " + p for p in odd])))
-        held = sum(len(self.young[p]) for p in odd)
-        words = list(words)
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            lists = [[t.id for t in self.model.tokenize("Ġ" + (p if p.isascii() else self._spelled(p)))] for p in some]
-            held += self._remember(some, np.array(list(chain.from_iterable(lists)), self.kind), np.cumsum([0, *map(len, lists[:-1])]))
-        tails = list({tail for *_, tail in marked})
-        ids_of = dict(zip(tails, self._encode(tails)))
-        for p, base, tail in marked:
-            self.young[p] = self.young[base] + ids_of[tail]
-        held += sum(len(self.young[p]) for p, *_ in marked)
+        self.held += sum(len(self.young[p]) + PIECE_BYTES + len(p) for p in odd)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             (encoded,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
@@ -125,54 +143,77 @@ class PieceIds:
             starts = np.flatnonzero(self.starts[ids])
             if len(starts) != len(some):
                 raise ValueError("the tokenizer does not start a token at each space")
-            held += self._remember(some, ids, starts)
-        starting = list({line for _, _, others in lines for line in others if line not in self.starts_of})
+            self._remember(some, ids, starts)
+        if not lines:
+            return
+        split = [p.split("\n") for p in lines]
+        starting = list({line for _, *others in split for line in others}.difference(self.starts_of))
         self.starts_of.update(zip(starting, self._bare(starting)))
-        for p, first, others in lines:
-            self.young[p] = b"".join([self.young[first], *(self.line_end + self.starts_of[line] for line in others)])
-        held += sum(len(self.young[p]) for p, *_ in lines) + PIECE_BYTES * len(starting)
-        return held
-
-    def _bare(self, lines: list[str]) -> Iterable[bytes]:
+        self.held += PIECE_BYTES * len(starting)
+        firsts = list({first for first, *_ in split})
+        ids_of = dict(zip(firsts, self._distinct(pa.array(firsts, pa.string())).to_pylist()))
+        for p, (first, *others) in zip(lines, split):
+            self.young[p] = ids = b"".join([ids_of[first], *[self.line_end + self.starts_of[line] for line in others]])
+            self.held += PIECE_BYTES + len(p) + len(ids)
+
+    def _distinct(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces with a space in front: words and the marks behind them each once, the others whole."""
+        short = pc.if_else(pc.less_equal(pc.utf8_length(pieces), LONG), pieces, pa.scalar(None, pa.string()))
+        parts = pc.extract_regex(short, WORD)
+        word = parts.is_valid()
+        parts = parts.filter(word)
+        base, tail = (pc.struct_field(parts, name).dictionary_encode() for name in ("base", "tail"))
+        bases = pa.array(self._words(strings(base.dictionary)), pa.binary())
+        tails = pa.array(list(self._encode(strings(tail.dictionary))), pa.binary())
+        words = pc.binary_join_element_wise(bases.take(base.indices), tails.take(tail.indices), b"")
+        if len(words) == len(pieces):
+            return words
+        others = pa.array(self._others(strings(pieces.filter(pc.invert(word)))), pa.binary())
+        word = word.to_numpy(zero_copy_only=False)
+        place = np.where(word, np.cumsum(word) - 1, len(words) + np.cumsum(~word) - 1)
+        return pa.concat_arrays([words, others]).take(pa.array(place))
+
+    def _bare(self, lines: list[str]) -> list[bytes]:
         """Ids of texts without a space in front."""
-        for line in lines:
-            if line.isalpha() and line.isascii():
-                yield np.array([t.id for t in self.model.tokenize(line)], self.kind).tobytes()
-            else:
-                yield from self._encode([line])
+        words = {line: np.array([t.id for t in self.model.tokenize(line)], self.kind).tobytes() for line in lines if line.isalpha() and line.isascii()}
+        others = [line for line in lines if line not in words]
+        words.update(zip(others, self._encode(others)))
+        return [words[line] for line in lines]
 
     def _spelled(self, word: str) -> str:
         """The word in the characters that stand for its bytes."""
         return "".join([self.characters[b] for b in word.encode()])
 
-    def _remember(self, some: list[str], ids: np.ndarray, starts: np.ndarray) -> int:
+    def _remember(self, some: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
         data, cuts = ids.tobytes(), (starts * self.kind.itemsize).tolist()
         self.young.update(zip(some, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
-        return len(data)
+        self.held += len(data) + PIECE_BYTES * len(some) + sum(map(len, some))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def arrays(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text as binary; null is empty.  Arrow splits, finds the distinct pieces and joins."""
         if self.held > self.generation:
             self.old, self.young, self.held, self.starts_of = self.young, {}, 0, {}
-        split = [split_safely(t or "") for t in texts]
-        young, old, new, long = self.young, self.old, [], []
-        for piece in set().union(*(rest for _, rest in split)).difference(young):
-            ids = old.get(piece)
-            if ids is not None:
-                young[piece] = ids
-                self.held += PIECE_BYTES + len(piece) + len(ids)
-            elif len(piece) > LONG:
-                young[piece] = self._cut(" " + piece)
-                long.append(piece)
-            else:
-                new.append(piece)
-        self.held += self._learn(new) + PIECE_BYTES * len(new) + sum(map(len, new))
-        firsts = [f for f, _ in split]
-        heads = self._encode([f if len(f) <= LONG else "" for f in firsts])
-        get = young.__getitem__
-        out = [b"".join([self._cut(f) if len(f) > LONG else head, *map(get, rest)]) for head, f, (_, rest) in zip(heads, firsts, split)]
-        for piece in long:
-            del young[piece]
-        return out
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
+        unsafe = np.array([UNSAFE.search(t) is not None for t in strings(texts)], bool)
+        if unsafe.any():
+            apart = [[first, *rest] for first, rest in map(split_safely, strings(texts.filter(pa.array(unsafe))))]
+            place = np.where(unsafe, (~unsafe).sum() + np.cumsum(unsafe) - 1, np.cumsum(~unsafe) - 1)
+            split = pa.concat_arrays([split.filter(pa.array(~unsafe)), pa.array(apart, split.type)]).take(pa.array(place))
+        flat, counts = split.flatten(), np.asarray(split.value_lengths()).astype(np.int64)
+        starts = np.cumsum(counts) - counts
+        firsts = strings(flat.take(pa.array(starts)))
+        heads = [self._cut(f) if len(f) > LONG else head for head, f in zip(self._encode([f if len(f) <= LONG else "" for f in firsts]), firsts)]
+        behind = np.ones(len(flat), bool)
+        behind[starts] = False
+        pieces = flat.filter(pa.array(behind)).dictionary_encode()
+        ids = self._distinct(pieces.dictionary).take(pieces.indices)
+        ends = np.concatenate([[0], np.cumsum(counts - 1)]).astype(np.int32)
+        rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), ids), b"")
+        return pc.binary_join_element_wise(pa.array(heads, pa.binary()), rest, b"")
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        return self.arrays(pa.array(texts, pa.string())).to_pylist()
 
 
 @lru_cache(maxsize=1)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ def _counter(path: str) -> Callable[[], Callable[[list[str | None]], Sequence]]:
     def make() -> Callable[[list[str | None]], Sequence]:
         work = piece_ids(path)
         width = work.kind.itemsize
-        return lambda texts: ([len((t or "").encode()) for t in texts], [len(ids) // width for ids in work(texts)])
+        return lambda texts: ([len((t or "").encode()) for t in texts], np.asarray(pc.binary_length(work.arrays(pa.array(texts, pa.string())))) // width)
 
     return make
 

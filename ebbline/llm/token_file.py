@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +50,9 @@ def encode_texts(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, key
         tail, width = np.array([] if end_id is None else [end_id], work.kind).tobytes(), work.kind.itemsize
         for batch in batches:
             for part in byte_groups(batch, 1, 2 << 20):
-                found = [b + tail for b in work(part.column(1).to_pylist())]
-                sizes = np.array([len(b) // width for b in found], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array(sizes), pa.array(np.full(len(found), width, np.int32))], schema=schema)
+                found = pc.binary_join_element_wise(work.arrays(part.column(1)), tail, b"")
+                sizes = np.asarray(pc.binary_length(found)).astype(np.int64) // width
+                yield pa.RecordBatch.from_arrays([part.column(0), found, pa.array(sizes), pa.array(np.full(len(found), width, np.int32))], schema=schema)
 
     return source.mapInArrow(run, "doc_id long, ids binary, n long, width int")
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,19 @@ def test_pieces_equal_the_library():
     assert work.old and not any(len(p) > pieces.LONG for p in [*work.young, *work.old])
 
 
+def test_arrays_of_texts_with_each_word_learned_once(monkeypatch):
+    work = pieces.PieceIds(tokenizer_file(BYTE_BPE))
+    learned = []
+    monkeypatch.setattr(work, "_remember", lambda some, *rest: (learned.extend(some), pieces.PieceIds._remember(work, some, *rest)))
+    texts = pa.array(["cut off", "one two, two. two! one", None, "  two  ", "", *STRANGE, "one\ntwo two) Two", "cut off"]).slice(1, len(STRANGE) + 5)
+    for _ in range(2):
+        for t, got in zip(texts.to_pylist(), work.arrays(texts).to_pylist(), strict=True):
+            assert np.frombuffer(got, work.kind).tolist() == work.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    assert len(learned) == len(set(learned)) and {"two", "Two"} <= set(learned)
+    assert not {"two,", "two.", "two!", "two)"} & set(work.young)  # a word with marks takes no memory of its own
+    assert work.arrays(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_token_files_round_trip(shipped, odd, tmp_path):
     from tokenizers import Tokenizer
 
