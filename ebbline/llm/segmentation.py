@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,6 +106,8 @@ class Vocabulary:
         self.text_starts = np.cumsum(self.text_sizes) - self.text_sizes
         self.texts = np.frombuffer(b"".join(texts), np.uint8)
         self.longest = max(map(len, pieces.values()))
+        self.single = np.zeros(BYTES_FROM, bool)  # characters that are a piece
+        self.single[[ord(p) for p in pieces.values() if len(p) == 1]] = True
         found: dict[int, int] = {}
         for k, p in pieces.items():
             h = np.uint64(0)
@@ -167,6 +170,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.nodes = self.edges = 0  # how many are in use; the arrays below have room for more
         self.first = np.zeros(1, np.int64)  # node -> first edge; one more at the end
         self.entry = np.zeros(1, np.int64)  # word -> first node; one more at the end
         self.seen = np.zeros(0, np.int64)  # word -> groups that held it
@@ -174,34 +178,38 @@ class Lattices:
         self.source = np.zeros(0, np.int32)
         self.upto, self.log = np.zeros(0), np.zeros(0)
 
-    def words(self, split: list[list[str]]) -> list[np.ndarray]:
-        """Word numbers of split texts; new words get lattices."""
-        if EDGE_BYTES * len(self.piece) + 8 * len(self.first) + WORD_BYTES * len(self.known) > self.limit:
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of a group's distinct words; new words get lattices."""
+        if EDGE_BYTES * self.edges + 8 * self.nodes + WORD_BYTES * len(self.known) > self.limit:
             self._trim()
-        known = self.known
-        new = set().union(*split).difference(known)
+        new = [w for w in words if w not in self.known]
         if new:
-            self._add(list(new))
-        number = known.__getitem__
-        found = [np.fromiter(map(number, words), np.int64, len(words)) for words in split]
-        held = np.zeros(len(known), bool)
-        for numbers in found:
-            held[numbers] = True
-        self.seen += held
+            self._add(new)
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.seen[found] += 1
         return found
 
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Values behind the first ``at`` of an array, which grows by a quarter at least when it is full."""
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            wider = np.empty(max(len(held) * 5 // 4, at + len(values)), held.dtype)
+            wider[:at] = held[:at]
+            setattr(self, name, held := wider)
+        held[at : at + len(values)] = values
+
     def _trim(self) -> None:
-        edges = self.first[self.entry[1:]] - self.first[self.entry[:-1]]
-        cost = EDGE_BYTES * edges + 8 * np.diff(self.entry) + WORD_BYTES
-        order = np.argsort(-self.seen, kind="stable")
+        seen, entry = self.seen[: len(self.known)], self.entry[: len(self.known) + 1]
+        edges = self.first[entry[1:]] - self.first[entry[:-1]]
+        cost = EDGE_BYTES * edges + 8 * np.diff(entry) + WORD_BYTES
+        order = np.argsort(-seen, kind="stable")
         room = np.cumsum(cost[order]) <= self.limit // 2
-        keep = np.sort(order[room & (self.seen[order] > 1)])
+        keep = np.sort(order[room & (seen[order] > 1)])
         names = list(self.known)  # in order of their numbers
-        old = (self.first, self.entry, self.piece, self.step, self.source, self.upto, self.log)
+        first, piece, step, source, upto, log = self.first, self.piece, self.step, self.source, self.upto, self.log
         self.clear()
         if not len(keep):
             return
-        first, entry, piece, step, source, upto, log = old
         self.known.update((names[k], j) for j, k in enumerate(keep.tolist()))
         self.seen = np.ones(len(keep), np.int64)
         nodes, some = entry[keep + 1] - entry[keep], edges[keep]
@@ -213,24 +221,23 @@ class Lattices:
         self.first = np.append(first[at_node] + np.repeat(begin - first[entry[keep]], nodes), some.sum())
         self.piece, self.step, self.upto, self.log = piece[at_edge], step[at_edge], upto[at_edge], log[at_edge]
         self.source = (source[at_edge] + np.repeat(moved, some)).astype(np.int32)
+        self.nodes, self.edges = len(at_node), len(at_edge)
 
     def _add(self, words: list[str]) -> None:
         """Lattices of new words, in parts of some 30,000 characters."""
         sizes = np.cumsum([len(w) for w in words])
         cuts = np.flatnonzero(np.diff(sizes // PART, prepend=-1))
-        parts = [self._build(words[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)])]
-        nodes, edges = len(self.first) - 1, len(self.piece)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        entries, firsts, sources = [self.entry[:-1]], [self.first[:-1]], [self.source]
-        for entry, first, source, *_ in parts:
-            entries.append(entry[:-1] + nodes)
-            firsts.append(first[:-1] + edges)
-            sources.append((source + nodes).astype(np.int32))
-            nodes, edges = nodes + int(entry[-1]), edges + int(first[-1])
-        self.entry, self.first = np.concatenate([*entries, [nodes]]), np.concatenate([*firsts, [edges]])
-        self.source = np.concatenate(sources)
-        self.piece, self.step, self.upto, self.log = (np.concatenate([old, *(p[k] for p in parts)]) for k, old in ((3, self.piece), (4, self.step), (5, self.upto), (6, self.log)))
-        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)]):
+            entry, first, source, piece, step, upto, log = self._build(words[a:b])
+            number = len(self.known)
+            self.known.update(zip(words[a:b], range(number, number + b - a)))
+            self._put("seen", number, np.zeros(b - a, np.int64))
+            self._put("entry", number, entry + self.nodes)
+            self._put("first", self.nodes, first + self.edges)
+            self._put("source", self.edges, source + self.nodes)
+            for name, values in (("piece", piece), ("step", step), ("upto", upto), ("log", log)):
+                self._put(name, self.edges, values)
+            self.nodes, self.edges = self.nodes + int(entry[-1]), self.edges + int(first[-1])
 
     def _build(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """entry, first, source, piece, step, upto, log of these words alone."""
@@ -243,18 +250,17 @@ class Lattices:
         left = ends[owner] - np.arange(n)
         raw = np.flatnonzero(symbols >= BYTES_FROM)
         fitting = [(raw, np.array(vocabulary.bytes, np.int32)[symbols[raw] - BYTES_FROM], 1)]
-        at = np.flatnonzero(symbols < BYTES_FROM)
+        at, wide = np.flatnonzero(symbols < BYTES_FROM), symbols.astype(np.uint64)
         h = np.zeros(len(at), np.uint64)
         for length in range(1, vocabulary.longest + 1):
-            fits = left[at] >= length
-            at, h = at[fits], h[fits]
             if not len(at):
                 break
-            h = vocabulary.extend(h, symbols[at + length - 1].astype(np.uint64))
+            h = vocabulary.extend(h, wide[at + (length - 1)])
             found = vocabulary.lookup(h)
-            whole = found >= 0
+            whole = np.flatnonzero(found >= 0)
             fitting.append((at[whole], found[whole], length))
-            at, h = at[found > -2], h[found > -2]
+            longer = np.flatnonzero((found > -2) & (left[at] > length))
+            at, h = at[longer], h[longer]
         # edges go to their places without sorting: places by their distance from the word's end, long pieces first
         counts = np.zeros(n, np.int64)
         for source, _, _ in fitting:
@@ -316,8 +322,7 @@ class Lattices:
 
     def _bytes(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that are no piece give way to symbols for their bytes."""
-        ids = self.vocabulary.lookup(self.vocabulary.extend(np.zeros(len(symbols), np.uint64), symbols.astype(np.uint64)))
-        odd = ids < 0
+        odd = ~self.vocabulary.single[symbols]
         if not odd.any():
             return symbols, owner
         sizes = np.where(odd, 1 + (symbols > 0x7F) + (symbols > 0x7FF) + (symbols > 0xFFFF), 1)
@@ -383,6 +388,25 @@ def split_words(text: str) -> list[str]:
     return WORDS.findall(SPACE + text.replace(" ", SPACE))
 
 
+def split_group(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the place of each word among them, and how many words each text has."""
+    given = pa.array(texts, pa.string())
+    spaced = pc.if_else(pc.equal(given, ""), "", pc.binary_join_element_wise(SPACE, pc.replace_substring(given, " ", SPACE), ""))
+    # no plain space is left, so it can mark the cuts; several spaces in a row stay together
+    runs = pc.match_substring(spaced, SPACE * 2).to_numpy(zero_copy_only=False)
+    cut = pc.replace_substring(pc.replace_substring(spaced, SPACE, " " + SPACE), "\n", " \n ")
+    split = pc.split_pattern(cut, " ")
+    if runs.any():
+        apart = pa.array([split_words(texts[j]) for j in np.flatnonzero(runs)], split.type)
+        place = np.where(runs, (~runs).sum() + np.cumsum(runs) - 1, np.cumsum(~runs) - 1)
+        split = pa.concat_arrays([split.filter(pa.array(~runs)), apart]).take(pa.array(place))
+    flat, many = split.flatten(), np.asarray(split.value_lengths())
+    filled = pc.not_equal(flat, "")
+    coded = flat.filter(filled).dictionary_encode()
+    sizes = np.bincount(np.repeat(np.arange(len(texts)), many)[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices), sizes
+
+
 class Paths:
     """One segmentation of each of some texts: flat edges with the word of each, and log-probabilities."""
 
@@ -395,12 +419,10 @@ class Paths:
         self.total = (sums[self.begins + counts] - sums[self.begins]) / FINE
 
 
-def top_segmentations(lattices: Lattices, words: list[np.ndarray], keys: np.ndarray, k: int):
-    """Per text up to k segmentations: lists over the rounds of (texts, values, Paths), and each text's (k+1)-th value."""
-    n = len(words)
-    sizes = np.array([len(w) for w in words], np.int64)
+def top_segmentations(lattices: Lattices, flat: np.ndarray, sizes: np.ndarray, keys: np.ndarray, k: int):
+    """Per text, given its word numbers, up to k segmentations: lists over the rounds of (texts, values, Paths), and each text's (k+1)-th value."""
+    n = len(sizes)
     starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate(words) if n else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(n), sizes)
     place = np.arange(len(flat)) - np.repeat(starts, sizes)
 
@@ -544,9 +566,8 @@ def lattices_of(path: str, alpha: float) -> Lattices:
 def encode_group(lattices: Lattices, texts: list[str | None], keys: np.ndarray, k: int, check: bool) -> pa.Array:
     """The samples of each text as an Arrow list; null for null."""
     rows = [j for j, t in enumerate(texts) if t is not None]
-    split = [split_words(texts[j]) if texts[j] else [] for j in rows]
-    words = lattices.words(split)
-    rounds, kappa = top_segmentations(lattices, words, keys[rows], k)
+    words, place, sizes = split_group([texts[j] for j in rows])
+    rounds, kappa = top_segmentations(lattices, lattices.numbers(words)[place], sizes, keys[rows], k)
     owner = np.concatenate([r[0] for r in rounds])
     values = np.concatenate([r[1] for r in rounds])
     totals = np.concatenate([r[2].total for r in rounds])

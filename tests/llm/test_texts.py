@@ -267,6 +267,34 @@ def test_segmentations_do_not_depend_on_what_is_remembered():
     assert len(few.known) < len({w for t in texts if t for w in segmentation.split_words(t)})
 
 
+def test_distinct_words_of_a_group_are_split_words():
+    texts = [
+        "the cat sat", "", " ", "  two  spaces ", "a\n\nb \n c", "\n", " lead", "trail ", "▁ under▁ ▁▁line▁", "cat the\tcat\u00a0x\r\n y", "漢字 😀", "the cat sat\n", "\x00 \x00",
+    ]
+    words, place, sizes = segmentation.split_group(texts)
+    ends = np.cumsum(sizes)
+    for text, size, end in zip(texts, sizes.tolist(), ends.tolist(), strict=True):
+        assert [words[k] for k in place[end - size : end]] == (segmentation.split_words(text) if text else []), repr(text)
+    assert len(words) == len(set(words)) and ends[-1] == len(place)
+    assert segmentation.split_group([])[0] == [] and len(segmentation.split_group([""])[1]) == 0
+
+
+def test_lattices_grow_in_room_of_their_own():
+    vocabulary = segmentation.Vocabulary(tokenizer_file(PIECES), 1.0)
+    once, often = segmentation.Lattices(vocabulary), segmentation.Lattices(vocabulary)
+    words = [f"▁w{k}é{k % 7}漢" for k in range(400)]
+    once.numbers(words)
+    moved = 0
+    for k in range(0, len(words), 4):
+        held = often.log
+        often.numbers(words[k : k + 4])
+        moved += often.log is not held
+    assert moved < 40  # of 100 groups with new words
+    assert (once.nodes, once.edges, once.known) == (often.nodes, often.edges, often.known)
+    for name, size in (("first", once.nodes + 1), ("entry", len(words) + 1), ("piece", once.edges), ("step", once.edges), ("source", once.edges), ("upto", once.edges), ("log", once.edges)):
+        assert (getattr(once, name)[:size] == getattr(often, name)[:size]).all(), name
+
+
 def test_segmentation_of_a_long_word():
     path = tokenizer_file(PIECES)
     lattices = segmentation.Lattices(segmentation.Vocabulary(path, 1.0))
