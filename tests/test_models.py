@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,30 @@ def test_a_sweep_is_seen_when_it_is_complete_and_goes_on_where_it_stopped(spark,
     assert {r["run_id"] for r in modeling.recorded_runs(spark, root, options, "2000-01-01").collect()} == {r["run_id"] for r in runs.collect()}
 
 
+def test_runs_of_a_sweep_go_on_side_by_side_and_share_the_fits(spark, monkeypatch):
+    options = modeling.ModelOptions(n_samples=(4, 6), trees=3, folds=2, max_depths=(2,), reg_params=(0.1,), parallelism=2)
+    table = training(spark, 200).withColumn("n_samples", F.explode(F.array(F.lit(4), F.lit(6))))
+    real, fit, met, at_once, most = modeling.train_and_test, modeling.GridSearch.fit, threading.Barrier(2), [], []
+
+    def waits(prepared, kind, own):
+        met.wait(300)  # breaks where runs go one after another
+        return real(prepared, kind, own)
+
+    def counted(search, *args):
+        at_once.append(1)
+        most.append(len(at_once))
+        try:
+            return fit(search, *args)
+        finally:
+            at_once.pop()
+
+    monkeypatch.setattr(modeling, "train_and_test", waits)
+    monkeypatch.setattr(modeling.GridSearch, "fit", counted)
+    root = warehouse.new_folder(spark, "sweep")
+    together = modeling.train_sweep(spark, table, root, options, "2000-01-01").orderBy("grid_order").collect()
+    assert [r["grid_order"] for r in together] == [0, 1, 2, 3] and max(most) <= 2
+
+
 def test_map_cells_hold_every_customer_once(spark):
     rnd = random.Random(4)
     points = [(i, rnd.choice([rnd.uniform(-90, 90), 40.0 + rnd.random() / 1000]), rnd.choice([rnd.uniform(-180, 180), -80.0]), float(i)) for i in range(300)]
